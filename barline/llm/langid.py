@@ -1,7 +1,8 @@
 """Language of a text by cross-parsing: how few phrases of each language's sample it takes to spell the text.
 
-A suffix automaton of the sample of a language recognises its substrings. A text is read in blocks of
-``BLOCK`` characters; in each, the longest match from the present position is one phrase, and the next begins
+A suffix automaton of the sample of a language recognises its substrings. Letters are read in
+lower case, digits as one, all else as spaces. A text is read in blocks
+of ``BLOCK`` characters; in each, the longest match from the present position is one phrase, and the next begins
 where it ends. Phrases, normalised by the logarithm of the sample's length over the text's length, estimate
 the cross entropy; the language with the least wins. All blocks of a batch step through the automaton
 side by side, in numpy.
@@ -59,26 +60,42 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return follow
 
 
-def normal(text: str) -> str:
-    """Lower case, digits as one, runs of white space as one space."""
-    return re.sub(r"\s+", " ", re.sub(r"\d", "0", text.lower()))
+def _read_table() -> np.ndarray:
+    """Code points as they are read: letters in lower case, digits as one, all else as a space."""
+    out = np.full(0x3000, 0x20, np.uint32)
+    for p in range(len(out)):
+        c = chr(p).lower()[0]
+        if c.isdigit():
+            out[p] = ord("0")
+        elif c.isalpha():
+            out[p] = min(ord(c), 0x2FFF)
+    return out
+
+
+_READ = _read_table()
+OTHER_LETTER = 0x2FFF
+
+
+def points(text: str) -> np.ndarray:
+    """Code points of a text as they are read; letters beyond the table are one."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(raw < len(_READ), _READ[np.minimum(raw, len(_READ) - 1)], OTHER_LETTER)
 
 
 class LanguageModel:
     """Tables of one automaton for each language, over classes of characters shared by all."""
 
     def __init__(self, samples: dict[str, str]):
-        joined = "".join(samples[k] for k in sorted(samples))
-        points, many = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_counts=True)
-        common = points[np.argsort(-many, kind="stable")[: CLASSES - 2]]  # class 0: past a text's end; class 1: any other
-        self.classes = np.ones(0x3000, np.int32)
-        for k, p in enumerate(common.tolist(), 2):
-            if p < len(self.classes):
-                self.classes[p] = k
+        found, many = np.unique(np.concatenate([points(samples[k]) for k in sorted(samples)] or [np.zeros(0, np.uint32)]), return_counts=True)
+        common = found[np.argsort(-many, kind="stable")]
+        common = common[common != 0x20][: CLASSES - 3]  # class 0: past a text's end; 1: any other; 2: a space
+        self.classes = np.ones(len(_READ), np.int32)
+        self.classes[0x20] = 2
+        self.classes[common] = np.arange(3, 3 + len(common))
         self.languages = sorted(samples)
         self.tables, self.scale = [], []
         for language in self.languages:
-            symbols = self.read(samples[language]).tolist()
+            symbols = self.read([samples[language]])[0].tolist()
             self.tables.append(self._table(suffix_automaton(symbols)))
             self.scale.append(np.log2(max(len(symbols), 2)))
 
@@ -96,20 +113,24 @@ class LanguageModel:
         table[:, 0] = 0
         return table.ravel()
 
-    def read(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.classes[np.minimum(points, len(self.classes) - 1)]
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of the characters of all texts, runs of spaces as one, and the length of each text in them."""
+        length = np.array([len(t) for t in texts], np.int64)
+        whole = self.classes[points("".join(texts))]
+        row = np.repeat(np.arange(len(texts)), length)
+        keep = whole != 2
+        keep[1:] |= (whole[:-1] != 2) | (row[1:] != row[:-1])
+        keep[:1] = True
+        return whole[keep], np.bincount(row[keep], minlength=len(texts))
 
     def entropy(self, texts: list[str]) -> np.ndarray:
         """Normalised phrases, texts by languages."""
-        length = np.array([len(t) for t in texts], np.int64)
+        whole, length = self.read(texts)
         blocks = -(-length // BLOCK)
         first = np.concatenate([[0], np.cumsum(blocks)])
-        whole = self.read("".join(texts))
         grid = np.zeros((first[-1], BLOCK), np.int32)
         start = np.concatenate([[0], np.cumsum(length)])
-        place = np.arange(len(whole)) - np.repeat(start[:-1], length) + np.repeat(first[:-1] * BLOCK, length)
-        grid.ravel()[place] = whole
+        grid.ravel()[np.arange(len(whole)) + np.repeat(first[:-1] * BLOCK - start[:-1], length)] = whole
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(blocks)
@@ -130,7 +151,7 @@ class LanguageModel:
         known = [k for k, t in enumerate(spelled) if t is not None]
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known and self.languages:
-            h = self.entropy([normal(spelled[k]) for k in known])
+            h = self.entropy([spelled[k] for k in known])
             best = h.argmin(axis=1)
             if h.shape[1] > 1:
                 two = np.partition(h, 1, axis=1)[:, :2]
@@ -162,7 +183,7 @@ def fit_on(docs: DataFrame, sample_chars: int = 16384, sample_docs: int = 64, do
     taken = rows.withColumn("rank", rank).join(F.broadcast(chosen), ["lang", "rank"]).select("lang", "rank", F.substring("text", 1, 4 * share).alias("text")).distinct().collect()
     samples: dict[str, str] = {}
     for r in sorted(taken, key=lambda r: (r.lang, r.rank, r.text)):
-        samples[r.lang] = samples.get(r.lang, "") + normal(r.text)[: 4 * share] + " "
+        samples[r.lang] = samples.get(r.lang, "") + r.text + " "
     return LanguageModel({k: v[:sample_chars] for k, v in samples.items() if v.strip()})
 
 

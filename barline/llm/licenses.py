@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words, base phrases, wordings of licences.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,7 +70,8 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Runs of 0-9, a-z and characters beyond ASCII of a text lower-cased in A-Z; splitting is much faster than extracting."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
 
 
 def idf(words: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
@@ -93,6 +94,11 @@ def rare_words(template: Template, weight: dict[str, float], most: int = 2) -> l
     return list(dict(reversed(ranked)).items())[::-1][:most]
 
 
+def _begins(word: str, at: int) -> Column:
+    """Where a template would begin that has this word at this position."""
+    return F.transform(F.filter("seats", lambda x: x["w"] == word), lambda x: x["i"] - at)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
@@ -110,7 +116,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: s
 
     def places(t: Template) -> Column:
         """Where the template's rare words agree that it begins, and its mandatory phrases stand."""
-        begins = [F.transform(F.filter("seats", lambda x, w=w: x["w"] == w), lambda x, at=at: x["i"] - at) for w, at in rare[t]]
+        begins = [_begins(w, at) for w, at in rare[t]]
         agreed = begins[0] if len(begins) == 1 else F.array_intersect(*begins)
 
         def stands(s: Column) -> Column:

@@ -122,19 +122,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def platt(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic of a score, by Newton's steps on smoothed targets."""
+    """Slope (positive) and shift of the logistic of a score: Newton's steps on smoothed targets, halved until they help."""
+    middle, width = score.mean(), score.std() + 1e-9
+    x = (score - middle) / width
     high, low = (label * weight).sum(), ((1 - label) * weight).sum()
     target = np.where(label > 0, (high + 1) / (high + 2), 1 / (low + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 1e-4 * a * a)
+
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * score + b)
-        g = weight * (p - target)
-        h = weight * p * (1 - p) + 1e-9
-        grad = np.array([(g * score).sum() + 1e-3 * (a - 1), g.sum()])
-        curve = np.array([[(h * score * score).sum() + 1e-3, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(curve, grad)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return max(a, 1e-3), b
+    for _ in range(100):
+        p = _sigmoid(a * x + b)
+        g, h = weight * (p - target), weight * p * (1 - p)
+        grad = np.array([(g * x).sum() + 2e-4 * a, g.sum()])
+        curve = np.array([[(h * x * x).sum() + 2e-4, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        step, now = np.linalg.solve(curve, grad), loss(a, b)
+        scale = 1.0
+        while scale > 1e-6 and loss(a - scale * step[0], b - scale * step[1]) > now:
+            scale /= 2
+        a, b = a - scale * step[0], b - scale * step[1]
+        if np.abs(scale * step).max() < 1e-6:
+            break
+    a = max(a, 1e-3)
+    return a / width, b - a * middle / width
 
 
 def fit(texts: list[str], good: np.ndarray, share_good: float, rounds: int = 60) -> QualityModel:

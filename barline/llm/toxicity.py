@@ -1,10 +1,10 @@
 """Toxicity by subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams of 3 to 5 bytes, with its ends marked, so a misspelling or an
-inflected form shares most vectors with the word it comes from. A passage of ``PASSAGE`` words is the average of the
-vectors of its bag; a text scores as its most toxic passage does, so that a long text cannot hide one.
-Labels are known for texts only: after a first fit in which every passage of a toxic text counts as toxic,
-the model itself tells which of them are, and is fitted again.
+The bag of a word is its character n-grams of 3 to 5 bytes, with its ends marked, so a misspelling or an
+inflected form shares most vectors with the word it comes from. The vectors of a bag are averaged and go
+into the softmax; a text scores as its most toxic word does, so that a long text cannot hide one.
+Labels are known for texts only: after a first fit in which every word of a toxic text counts as toxic, the
+model itself tells which of them are, and is fitted again.
 
 The model is fitted on at most ``toxic`` and ``clean`` labelled rows, those of smallest hash.
 """
@@ -22,10 +22,13 @@ from barline.llm.quality import platt
 from barline.llm.textblocks import slices, spans, utf8
 
 BITS = 17
-DIMENSIONS = 4
+DIMENSIONS = 2
 GRAMS = (3, 4, 5)
-PASSAGE = 8
 SPACE = 0x20
+#: Step of the embeddings, and the share of the largest gradient that damps it.
+RATE, DAMP = 6.0, 0.1
+#: Logit from which a word of a toxic text counts as toxic in a refit; the most toxic one always does.
+SURE = 2.0
 
 # Bytes as they are read, A-Z as a-z, digits and signs as the letters they often stand for.
 _READ = np.arange(256, dtype=np.uint8)
@@ -65,14 +68,6 @@ def subwords(column: pa.Array) -> dict[str, np.ndarray]:
     return {"grams": grams, "word": np.searchsorted(starts, at, side="right") - 1, "begin": begin, "starts": starts, "ends": ends, "text": text}
 
 
-def passages(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The passage of each word (numbered on over all texts), and the first passage of each text."""
-    many = np.diff(begin)
-    first = np.concatenate([[0], np.cumsum(-(-many // PASSAGE))])
-    within = np.arange(begin[-1]) - np.repeat(begin[:-1], many)
-    return np.repeat(first[:-1], many) + within // PASSAGE, first
-
-
 class ToxicityModel:
     """bucket: how far each n-gram moves the difference of the two logits; the averaging and the softmax are linear in it."""
 
@@ -80,89 +75,87 @@ class ToxicityModel:
         self.bucket = (embeddings @ (output[:, 1] - output[:, 0])).astype(np.float32)
         self.bias, self.slope, self.shift = float(bias[1] - bias[0]), slope, shift
 
-    def passage_logits(self, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        passage, first = passages(c["begin"])
-        of = passage[c["word"]]
-        n = np.bincount(of, minlength=first[-1])
-        return np.bincount(of, weights=self.bucket[c["grams"]], minlength=first[-1]) / np.maximum(n, 1) + self.bias, first
+    def word_logits(self, grams: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(word, weights=self.bucket[grams], minlength=n) / np.maximum(np.bincount(word, minlength=n), 1) + self.bias
 
     def logits(self, c: dict[str, np.ndarray]) -> np.ndarray:
-        """Of the most toxic passage of each text; of no words, the bias."""
-        z, first = self.passage_logits(c)
-        out = np.full(len(first) - 1, self.bias)
-        full = np.flatnonzero(np.diff(first))
-        if len(full):
-            out[full] = np.maximum.reduceat(z, first[:-1][full])
-        return out
+        """Of the most toxic word of each text; of no words, the bias."""
+        return _largest(self.word_logits(c["grams"], c["word"], len(c["starts"])), c["begin"], self.bias)
 
     def probability(self, c: dict[str, np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(c) + self.shift, -50, 50)))
 
 
-def _train(gram: np.ndarray, gram_at: np.ndarray, word: np.ndarray, word_at: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int, start: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joint Adam steps on embeddings and softmax. Distinct words are bags of grams, passages are bags of words."""
-    n, v = len(size), gram_at[-1] + 1 if len(gram_at) else 0
+def _largest(z: np.ndarray, begin: np.ndarray, empty: float) -> np.ndarray:
+    out = np.full(len(begin) - 1, empty)
+    full = np.flatnonzero(np.diff(begin))
+    if len(full):
+        out[full] = np.maximum.reduceat(z, begin[:-1][full])
+    return out
+
+
+def _train(gram: np.ndarray, bag: np.ndarray, size: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int, start: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joint Adam steps on embeddings and softmax. Bags are distinct words, with their weight as toxic and as clean."""
     if start is None:
         rng = np.random.default_rng(7)
-        start = (rng.normal(0, 0.1, (1 << BITS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2))
+        start = (np.zeros((1 << BITS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2))
     e, u, b = (x.copy() for x in start)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, u, b)]
-    target = np.stack([1 - label, label], axis=1)
+    target = np.stack([clean, toxic], axis=1)
+    weight = target.sum(axis=1, keepdims=True)
 
     def add(values: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         return np.stack([np.bincount(at, weights=values[:, d], minlength=length) for d in range(DIMENSIONS)], axis=1)
 
     for t in range(1, rounds + 1):
-        hidden = add(add(e[gram], gram_at, v)[word], word_at, n) / size[:, None]
+        hidden = add(e[gram], bag, len(size)) / size[:, None]
         z = hidden @ u + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) * weight[:, None]
+        g = weight * p - target
         back = (g @ u.T) / size[:, None]
-        grads = (add(add(back[word_at], word, v)[gram_at], gram, 1 << BITS) + 1e-8 * e, hidden.T @ g, g.sum(axis=0))
-        for x, grad, (first, second), rate in zip((e, u, b), grads, moments, (0.2, 0.05, 0.05), strict=True):
+        grads = (add(back[bag], gram, 1 << BITS) + 1e-8 * e, hidden.T @ g, g.sum(axis=0))
+        for x, grad, (first, second), rate, damp in zip((e, u, b), grads, moments, (RATE, 0.1, 0.1), (DAMP, 0.0, 0.0), strict=True):
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
-            x -= rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * first / (np.sqrt(second) + 1e-9)
+            size_of = np.sqrt(second)
+            # Damped by the largest gradient: what few words hold moves little, and is not learned by heart.
+            x -= rate * (1 - (t - 1) / rounds) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * first / (size_of + damp * size_of.max() + 1e-12)
     return e, u, b
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 25, refits: int = 3) -> ToxicityModel:
+def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 40, refits: int = 2) -> ToxicityModel:
     """share: of toxic rows among all labels, for the calibration on a fifth of the rows that the fit leaves out."""
-    column = pa.array(texts, pa.string())
-    c = subwords(column)
+    c = subwords(pa.array(texts, pa.string()))
     held = np.arange(len(texts)) % 5 == 4
-    passage, first = passages(c["begin"])
-    n = int(first[-1])
-    if not n or not 0 < toxic[~held].sum() < (~held).sum():
+    words = len(c["starts"])
+    if not words or not 0 < toxic[~held].sum() < (~held).sum():
         return ToxicityModel(np.zeros((1 << BITS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.zeros(2), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    # Distinct words: bags of grams of their own.
-    order = np.argsort(c["word"], kind="stable")
-    grams, owner = c["grams"][order], c["word"][order]
     seen: dict[bytes, int] = {}
     raw = c["text"].tobytes()
     kind = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(c["starts"].tolist(), c["ends"].tolist(), strict=True)], np.int64)
     _, example = np.unique(kind, return_index=True)
-    low, high = np.searchsorted(owner, example, "left"), np.searchsorted(owner, example, "right")
-    many = high - low
-    gram_at = np.repeat(np.arange(len(example)), many)
-    gram = grams[np.arange(many.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)]
-    size = np.maximum(np.bincount(passage, weights=many[kind], minlength=n), 1)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    use = ~held[text_of]
-    label = toxic[text_of].astype(np.float64)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(c["begin"]))
+    pairs = np.unique(text_of * len(example) + kind)  # a word counts once for each text that holds it
+    holder, held_word = pairs // len(example), pairs % len(example)
+    known = np.bincount(held_word, minlength=len(example)) > 1  # a word of one text only tells nothing
+    own = np.full(words, -1)
+    own[example[known]] = np.flatnonzero(known)
+    mine = own[c["word"]] >= 0  # grams of the first occurrence of each such word
+    gram, bag = c["grams"][mine], own[c["word"]][mine]
+    size = np.maximum(np.bincount(bag, minlength=len(example)), 1)
+    use = ~held[holder] & known[held_word]
+    begin = np.searchsorted(holder, np.arange(len(texts) + 1))
+    label = toxic[holder] > 0
     model = None
     for _ in range(refits):
-        pos, neg = (label > 0) & use, (label == 0) & use
-        weight = pos * (0.5 / max(pos.sum(), 1)) + neg * (0.5 / max(neg.sum(), 1))
-        model = _train(gram, gram_at, kind, passage, size, label, weight, rounds, model)
-        now = ToxicityModel(*model)
-        z, _ = now.passage_logits(c)
-        best = np.zeros(len(texts))
-        full = np.flatnonzero(np.diff(first))
-        best[full] = np.maximum.reduceat(z, first[:-1][full])
-        label = (toxic[text_of] > 0) & ((z > 0) | (z >= best[text_of]))
-        label = label.astype(np.float64)
+        pos, neg = label & use, ~label & use
+        as_toxic = np.bincount(held_word[pos], minlength=len(example)) * (0.5 / max(pos.sum(), 1))
+        as_clean = np.bincount(held_word[neg], minlength=len(example)) * (0.5 / max(neg.sum(), 1))
+        model = _train(gram, bag, size, as_toxic, as_clean, rounds, model)
+        z = np.where(known, ToxicityModel(*model).word_logits(gram, bag, len(example)), -np.inf)[held_word]
+        best = _largest(z, begin, 0.0)
+        label = (toxic[holder] > 0) & ((z > SURE) | (z >= best[holder]))
     out = ToxicityModel(*model)
     z = out.logits(c)
     on = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(texts), bool)
@@ -176,7 +169,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean: int = 1200, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """A model of labelled rows that are not held out: so many of each class at most, in the order of a hash of their ids.
 
     Labels that are null or that have no document are left out. Without labels of both classes every text gets one score.

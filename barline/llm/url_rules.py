@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNWANTED = "unwanted"
+#: A rule rests on so many labelled rows at least, however few there are.
+LEAST_ROWS = 20
 
 
 @dataclass(frozen=True)
@@ -58,10 +60,11 @@ def fitting(host_: Column, path_: Column, rules: tuple[HostRule, ...], value: st
 
 
 def tokens(url: Column, host_: Column, path_: Column) -> Column:
-    """Distinct tokens: scheme, host, its ending, its first label, first folder, extension, names in the query, fragment."""
+    """Distinct tokens: scheme, host, its ending, words of its labels, first folder, extension, names in the query, fragment."""
     labels = F.split(host_, r"\.")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query="), F.regexp_extract(x, r"(?s)^([^=]*)", 1)))
+    words = F.transform(F.filter(F.split(host_, r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
     folder = F.regexp_extract(path_, r"(?s)^/([^/]*)/", 1)
     ending = F.regexp_extract(path_, r"\.([A-Za-z0-9]{1,5})$", 1)
 
@@ -72,19 +75,19 @@ def tokens(url: Column, host_: Column, path_: Column) -> Column:
         named("scheme", F.regexp_extract(url, r"(?s)^(.*?)://", 1)),
         named("host", host_),
         named("domain", F.element_at(labels, -1)),
-        named("label", F.element_at(labels, 1)),
         named("folder", folder),
         named("ending", ending),
         F.when(path_.endswith("/"), F.lit("path ends in a slash")),
         F.when(url.contains("#"), F.lit("fragment")),
     )
-    return F.when(host_ != "", F.array_distinct(F.concat(F.array_compact(single), names))).otherwise(F.array().cast("array<string>"))
+    return F.when(host_ != "", F.array_distinct(F.concat(F.array_compact(single), words, names))).otherwise(F.array().cast("array<string>"))
 
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """rule (sorted tokens), confidence, support, filed_under; from rows (tokens array, unwanted boolean)."""
+    least = LEAST_ROWS / max(labelled.count(), LEAST_ROWS)
     baskets = labelled.select(F.when(F.col("unwanted"), F.concat("tokens", F.array(F.lit(UNWANTED)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, least), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == UNWANTED))
     rules = rules.select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     shorter = rules.select(F.col("rule").alias("part"), F.col("confidence").alias("sure"), F.explode("rule").alias("token"))
@@ -96,7 +99,7 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     return rules.join(rarest, "rule")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[HostRule, ...] = HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[HostRule, ...] = HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.6, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict, sure (confidence of the mined rule, null if none) of every row.
 
     labelled: url, unwanted (boolean; rows with a null are left out). A URL that is null or has no :// has empty
