@@ -1,11 +1,631 @@
-"""All queries of the library and their SQL."""
+"""All registered queries, each beside the SQL that it is checked against.
+
+Doubles are rounded to so many places that the order of additions does not show.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barline.functions import rolling as r
+from barline.operators import anomalies, calendar, evidence, ewm, features, ingest, portfolio, report, scoring
+from barline.plans import sql
+from barline.sources import bars, html_tables, store, universe
+from barline.streaming import bars as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, columns: dict[str, int], *keys: str) -> DataFrame:
+    return df.select(*keys, *[(F.round(c, d) + 0.0).alias(c) for c, d in columns.items()])
+
+
+def week(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.with_sessions(bars.supplier_week(spark, d))
+
+
+def month(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.with_sessions(bars.brand_month(spark, d))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# ---- bars and calendar ----------------------------------------------------------------------------
+
+# Prices are single quotients and volumes whole numbers: equal in every engine without rounding.
+_PRICES = ("open", "high", "low", "close", "volume")
+_PRICE_SQL = ", ".join(_PRICES)
+
+
+@query(f"{sql.WEEK} SELECT symbol, grp, date, CAST(sess AS INTEGER) AS sess, {_PRICE_SQL} FROM w")
+def bars_supplier_week(spark: SparkSession, d: str) -> DataFrame:
+    return week(spark, d).select("symbol", "grp", "date", "sess", *_PRICES)
+
+
+@query(f"{sql.MONTH} SELECT symbol, grp, date, CAST(sess AS INTEGER) AS sess, {_PRICE_SQL} FROM w")
+def bars_brand_month(spark: SparkSession, d: str) -> DataFrame:
+    return month(spark, d).select("symbol", "grp", "date", "sess", *_PRICES)
+
+
+@query(f"{sql.DAY} SELECT symbol, date, {_PRICE_SQL} FROM w WHERE isodow(date) < 6")
+def business_day_bars(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.business_days(bars.brand_day(spark, d)).select("symbol", "date", *_PRICES)
+
+
+@query(f"{sql.EVENTS} SELECT symbol, date, {_PRICE_SQL} FROM w")
+def bars_events_day(spark: SparkSession, d: str) -> DataFrame:
+    return bars.events_day(spark, d).select("symbol", "date", *_PRICES)
+
+
+@query(f"{sql.WEEK} SELECT symbol, max(date) AS last_date FROM w GROUP BY symbol")
+def last_dates(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.last_dates(bars.supplier_week(spark, d))
+
+
+@query(f"{sql.WEEK} SELECT symbol, count(*) AS n FROM w GROUP BY symbol HAVING count(close) >= 285")
+def enough_history(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.enough_history(bars.supplier_week(spark, d), 285).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+_LAST = """n AS (SELECT date, count(close) AS bars FROM w GROUP BY date),
+m AS (SELECT *, quantile_cont(bars, 0.5) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM n),
+e AS (SELECT coalesce(max(date) FILTER (usual IS NULL OR usual <= 0 OR bars >= 0.6 * usual), max(date)) AS last FROM m)"""
+
+
+@query(f"{sql.EVENTS}, {_LAST} SELECT symbol, date, round(close, 4) + 0.0 AS close FROM w, e WHERE date <= last")
+def complete_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(calendar.trim_incomplete(bars.events_day(spark, d)), {"close": 4}, "symbol", "date")
+
+
+@query(f"{sql.WEEK} SELECT max(date) AS date FROM cal GROUP BY date_trunc('month', date)")
+def rebalance_dates(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.rebalance_dates(bars.supplier_week(spark, d))
+
+
+@query(f"{sql.WEEK} SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM cal")
+def next_session(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.next_session(bars.supplier_week(spark, d))
+
+
+@query(
+    f"""{sql.WEEK}, t AS (SELECT symbol, max(date) AS last FROM w GROUP BY symbol) SELECT symbol,
+CAST(greatest((SELECT count(*) FROM (SELECT unnest(generate_series(last, DATE '2001-11-14', INTERVAL 1 DAY)) AS x) WHERE isodow(x) < 6) - 1, 0) AS INTEGER) AS late FROM t"""
+)
+def sessions_late(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.last_dates(bars.supplier_week(spark, d)).withColumn("today", F.lit("2001-11-14").cast("date"))
+    return rows.select("symbol", calendar.sessions_late("last_date", "today").cast("int").alias("late"))
+
+
+# ---- rolling windows and features -----------------------------------------------------------------
+
+
+@query(f"{sql.WEEK} SELECT symbol, sess, round({sql.sma('close', 20)}, 3) + 0.0 AS sma20, round({sql.change('close', 5)}, 6) + 0.0 AS roc5, round({sql.at('close', -21)} / {sql.at('close', -52)} - 1, 6) + 0.0 AS mom FROM w")
+def moving_averages(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("close")
+    rows = week(spark, d).withColumns({"sma20": r.sma(c, 20), "roc5": r.change(c, 5), "mom": r.momentum(c, 52, 21)})
+    return rounded(rows, {"sma20": 3, "roc5": 6, "mom": 6}, "symbol", F.col("sess").cast("long").alias("sess"))
+
+
+_PRE = f"x AS (SELECT *, ln(close) AS y, {sql.at('close', -1)} AS before FROM w)"
+
+
+@query(
+    f"""{sql.MONTH}, {_PRE} SELECT symbol, date, round({sql.guarded('regr_slope(y, sess)', 'y', 12, 12)} * 252, 6) + 0.0 AS slope,
+round(CASE WHEN var_pop(y) {sql.over(12)} > 0 THEN {sql.guarded('regr_r2(y, sess)', 'y', 12, 12)} END, 6) + 0.0 AS fit FROM x"""
+)
+def trend(spark: SparkSession, d: str) -> DataFrame:
+    rows = month(spark, d).withColumn("y", F.ln("close"))
+    return rounded(rows.withColumns({"slope": r.slope(F.col("y"), 12), "fit": r.fit(F.col("y"), 12)}), {"slope": 6, "fit": 6}, "symbol", "date")
+
+
+@query(f"{sql.WEEK}, {_PRE} SELECT symbol, date, greatest(high - low, abs(high - before), abs(low - before)) AS true_range, round(close / max(close) OVER (PARTITION BY symbol ORDER BY sess) - 1, 6) + 0.0 AS drop FROM x")
+def true_range(spark: SparkSession, d: str) -> DataFrame:
+    rows = week(spark, d).withColumn("before", r.at(F.col("close"), -1))
+    rows = rows.withColumns({"true_range": r.true_range(F.col("high"), F.col("low"), F.col("before")), "drop": r.drawdown(F.col("close"))})
+    return rounded(rows, {"drop": 6}, "symbol", "date", "true_range")
+
+
+_PLAIN = {f: 3 if f == "dollar_vol" else 6 for f in features.FEATURES if f not in ("adx14", "rsi14", "rsi2", "macd_hist", "atr_pct")}
+
+
+@query(f"{sql.features(sql.WEEK)} SELECT symbol, date, {sql.rounded(_PLAIN)} FROM f")
+def feature_history(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.build_features(week(spark, d), ewm=False), _PLAIN, "symbol", "date")
+
+
+@query()
+def all_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.build_features(week(spark, d)).select("symbol", "date", *features.FEATURES)
+
+
+def _recursive_ema(n: int, least: int) -> str:
+    """Exponential average with gaps: the weight of the old value decays over sessions without a bar."""
+    a = 2 / (n + 1)
+    return f"""{sql.MONTH.replace('WITH', 'WITH RECURSIVE', 1)},
+g AS (SELECT symbol, c.sess, w.close FROM (SELECT DISTINCT symbol FROM w) CROSS JOIN (SELECT sess FROM cal) c LEFT JOIN w USING (symbol, sess)),
+e(symbol, sess, y, old, n) AS (SELECT symbol, sess, close, CAST(1 AS DOUBLE), CASE WHEN close IS NULL THEN 0 ELSE 1 END FROM g WHERE sess = 1
+UNION ALL SELECT g.symbol, g.sess, CASE WHEN g.close IS NULL THEN e.y WHEN e.y IS NULL THEN g.close ELSE (e.old * {1 - a} * e.y + {a} * g.close) / (e.old * {1 - a} + {a}) END,
+CASE WHEN e.y IS NULL OR g.close IS NOT NULL THEN 1.0 ELSE e.old * {1 - a} END, e.n + CASE WHEN g.close IS NULL THEN 0 ELSE 1 END FROM e JOIN g ON g.symbol = e.symbol AND g.sess = e.sess + 1)
+SELECT w.symbol, w.date, round(CASE WHEN e.n >= {least} THEN e.y END, 3) + 0.0 AS ema FROM w JOIN e USING (symbol, sess)"""
+
+
+@query(_recursive_ema(12, 6))
+def ema(spark: SparkSession, d: str) -> DataFrame:
+    return ewm.with_ewm(month(spark, d)).select("symbol", "date", (F.round("ema12", 3) + 0.0).alias("ema"))
+
+
+@query()
+def ewm_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return ewm.with_ewm(week(spark, d)).select("symbol", "date", "rsi14", "rsi2", "macd_hist", "atr14", "adx14")
+
+
+_FORWARD = f"SELECT date, symbol, {sql.at('close', 10)} / close - 1 AS fwd_short, {sql.at('close', 63)} / close - 1 AS fwd_medium, {sql.at('close', 252)} / close - 1 AS fwd_long FROM w"
+_FWD = {"fwd_short": 6, "fwd_medium": 6, "fwd_long": 6}
+
+
+@query(f"{sql.WEEK}, o AS ({_FORWARD}) SELECT date, symbol, {sql.rounded(_FWD)} FROM o")
+def forward_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.forward_returns(week(spark, d)), _FWD, "date", "symbol")
+
+
+# ---- panel and scores -----------------------------------------------------------------------------
+
+#: Signed weights over the features that SQL can express.
+WEIGHTS = {h: {f: w for f, w in ws.items() if f in _PLAIN} for h, ws in scoring.WEIGHTS.items()}
+_USED = sorted({f for ws in WEIGHTS.values() for f in ws})
+_REB = "reb AS (SELECT max(date) AS date FROM cal GROUP BY date_trunc('month', date))"
+_PANEL = f"{sql.features(sql.WEEK)}, {_REB}, p AS (SELECT date, symbol, grp, CAST(close AS FLOAT) AS close, {', '.join(f'CAST({f} AS FLOAT) AS {f}' for f in _USED)} FROM f SEMI JOIN reb USING (date) WHERE coalesce(dollar_vol, 0) >= 1000 OR grp IN ('fx', 'index'))"
+_SCORED = f"{_PANEL}, {sql.scores('p', WEIGHTS)}"
+_SCORES = {f"{k}_{h}": 1 if k == "pct" else 4 for h in WEIGHTS for k in ("score", "cov", "spread", "pct")} | {"score_global": 4}
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    rows = week(spark, d)
+    return features.sample_panel(features.build_features(rows, ewm=False), calendar.rebalance_dates(rows), 1000.0)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_panel(panel(spark, d), WEIGHTS)
+
+
+@query(f"{_PANEL} SELECT grp, date, count(*) AS n, round(avg(CAST(close AS DOUBLE)), 3) + 0.0 AS close FROM p GROUP BY ALL")
+def sampled_panel(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(panel(spark, d).groupBy("grp", "date").agg(F.count("*").alias("n"), F.avg(F.col("close").cast("double")).alias("close")), {"close": 3}, "grp", "date", "n")
+
+
+@query(f"{_SCORED} SELECT date, symbol, grp, {sql.rounded(_SCORES)} FROM s")
+def score_panel(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scored(spark, d), _SCORES, "date", "symbol", "grp")
+
+
+@query(f"{_SCORED} SELECT symbol, grp, round(score_medium, 4) + 0.0 AS score FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL AND coalesce(spread_medium, 9) <= 1.6 ORDER BY score_medium DESC, symbol LIMIT 10")
+def top_picks(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.top_picks(scored(spark, d), "medium", 10).select("symbol", "grp", (F.round("score_medium", 4) + 0.0).alias("score"))
+
+
+@query(f"{_SCORED} SELECT symbol, pct_medium AS pct FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL ORDER BY pct_medium DESC NULLS LAST, score_medium DESC, symbol LIMIT 30")
+def report_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.report_ranking(scored(spark, d), "medium").select("symbol", F.col("pct_medium").alias("pct"))
+
+
+_MEDIUM = WEIGHTS["medium"]
+_CONTRIB = " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, z_{f} * {1 if w > 0 else -1} AS z, {abs(w)} AS weight FROM s1 WHERE peers >= 20 AND date = (SELECT max(date) FROM p)" for f, w in _MEDIUM.items())
+
+
+@query(f"{_SCORED}, c AS ({_CONTRIB}) SELECT symbol, feature, round(z, 4) + 0.0 AS z, round(z * weight, 4) + 0.0 AS contribution FROM c")
+def contributions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scoring.contributions(panel(spark, d), _MEDIUM), {"z": 4, "contribution": 4}, "symbol", "feature")
+
+
+@query()
+def comments(spark: SparkSession, d: str) -> DataFrame:
+    return report.comments(scoring.contributions(panel(spark, d), _MEDIUM))
+
+
+_RETURNS = f"lr AS (SELECT symbol, sess, ln(close / {sql.at('close', -1)}) AS x FROM w)"
+
+
+@query(
+    f"""{sql.MONTH}, recent AS (SELECT * FROM w WHERE sess >= (SELECT max(sess) FROM w) - 60), lr AS (SELECT symbol, sess, ln(close / {sql.at('close', -1)}) AS x FROM recent)
+SELECT a.symbol AS a, b.symbol AS b, round(covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0), 6) + 0.0 AS corr FROM lr a JOIN lr b ON a.sess = b.sess AND a.symbol < b.symbol WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2"""
+)
+def correlations(spark: SparkSession, d: str) -> DataFrame:
+    rows = month(spark, d)
+    names = [x[0] for x in rows.select("symbol").distinct().orderBy("symbol").limit(100).collect()]
+    return rounded(scoring.correlations(rows, names, 60), {"corr": 6}, "a", "b")
+
+
+# ---- evidence -------------------------------------------------------------------------------------
+
+_MERGED = f"{_SCORED}, fw AS ({_FORWARD}), j AS (SELECT s.date, s.symbol, 'ALL' AS grp, score_short AS x, fwd_short AS y FROM s JOIN fw USING (date, symbol) WHERE score_short IS NOT NULL AND fwd_short IS NOT NULL)"
+_RANKED = f"{_MERGED}, k AS (SELECT *, rank() OVER (PARTITION BY date, grp ORDER BY x) + (count(*) OVER (PARTITION BY date, grp, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date, grp ORDER BY y) + (count(*) OVER (PARTITION BY date, grp, y) - 1) / 2.0 AS ry FROM j)"
+_IC = f"{_RANKED}, ic AS (SELECT date, grp, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 30)"
+
+
+def pooled(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as one group, so that there are enough pairs."""
+    return scored(spark, d).withColumn("grp", F.lit("ALL"))
+
+
+def forward(spark: SparkSession, d: str) -> DataFrame:
+    return features.forward_returns(week(spark, d))
+
+
+def coefficient(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.information_coefficient(pooled(spark, d), forward(spark, d), "short")
+
+
+@query(f"{_IC} SELECT date, grp, n, round(ic, 6) + 0.0 AS ic FROM ic")
+def information_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(coefficient(spark, d), {"ic": 6}, "date", "grp", "n")
+
+
+_LAGS = 2
+_NW = f"""{_IC}, dd AS (SELECT *, ic - avg(ic) OVER (PARTITION BY grp) AS d, count(*) OVER (PARTITION BY grp) AS size FROM ic WHERE ic IS NOT NULL),
+pp AS (SELECT grp, size, d, {', '.join(f'd * lag(d, {k}) OVER (PARTITION BY grp ORDER BY date) AS p{k}' for k in range(1, _LAGS + 1))} FROM dd),
+se AS (SELECT grp, count(*) AS n, sum(d * d) + {' + '.join(f'coalesce(sum(2 * (1 - {k} / {_LAGS + 1}.0) * p{k}), 0)' for k in range(1, _LAGS + 1))} AS v FROM pp GROUP BY grp),
+sm AS (SELECT grp, count(*) AS periods, avg(ic) AS m, stddev_samp(ic) AS sd, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100 AS p FROM ic GROUP BY grp),
+su AS (SELECT sm.*, CASE WHEN n >= 5 THEN m / sqrt(greatest(v / n, 1e-12) / n) END AS t FROM sm LEFT JOIN se USING (grp))"""
+
+
+@query(f"{_NW} SELECT grp, periods, round_even(m, 3) AS ic_mean, round_even(sd, 3) AS ic_std, round_even(p, 3) AS ic_positive_pct, round_even(t, 3) AS t_stat, round_even(m * sqrt(periods) / nullif(sd, 0), 3) AS t_naive FROM su")
+def ic_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.ic_summary(coefficient(spark, d), _LAGS + 1)
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.verdict(evidence.ic_summary(coefficient(spark, d), _LAGS + 1).withColumn("horizon", F.lit("short")))
+
+
+@query(
+    f"""{_NW}, v3 AS (SELECT grp, periods AS periods, round_even(m, 3) AS ic_mean, round_even(t, 3) AS t FROM su) SELECT 'short' AS horizon, grp, ic_mean, round_even(t, 2) AS t_stat, periods,
+t IS NOT NULL AND periods >= 20 AND abs(ic_mean) <= 0.15 AS usable, CASE WHEN t IS NULL THEN 'no data' WHEN periods < 20 THEN 'too little evidence: only ' || periods || ' windows' WHEN abs(ic_mean) > 0.15 THEN 'suspicious: look for a data leak'
+WHEN t > 2.5 THEN 'consistent signal' WHEN t > 1.5 THEN 'weak signal, not conclusive' ELSE 'no evidence of a signal' END AS verdict FROM v3"""
+)
+def verdict(spark: SparkSession, d: str) -> DataFrame:
+    return judged(spark, d)
+
+
+@query(
+    f"""{_NW}, v3 AS (SELECT round_even(round_even(t, 3), 2) AS t FROM su WHERE t IS NOT NULL AND periods >= 20 AND abs(round_even(m, 3)) <= 0.15), q AS (SELECT coalesce(least(greatest(median(t) - 1, 0), 3), 0) AS power FROM v3)
+SELECT h AS horizon, round(CASE WHEN power > 0 THEN CASE WHEN h = 'short' THEN 1.0 ELSE 0.0 END ELSE 1 / 3.0 END, 6) + 0.0 AS weight FROM q, (VALUES ('short'), ('medium'), ('long')) AS t(h)"""
+)
+def evidence_weights(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evidence.evidence_weights(judged(spark, d)), {"weight": 6}, "horizon")
+
+
+_BINNED = f"{_MERGED}, r0 AS (SELECT *, row_number() OVER (PARTITION BY date, grp ORDER BY x, symbol) AS rk, count(*) OVER (PARTITION BY date, grp) AS size FROM j), dv AS (SELECT date, grp, count(DISTINCT x) AS vals FROM j GROUP BY 1, 2), bn AS (SELECT r0.*, greatest(1, CAST(ceil((rk - 1) * 10 / (size - 1.0)) AS INTEGER)) AS bin FROM r0 JOIN dv USING (date, grp) WHERE vals >= 10)"
+
+
+def binned(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.with_decile(pooled(spark, d), forward(spark, d), "short")
+
+
+@query(f"{_BINNED} SELECT grp, bin, round_even(avg(y), 4) AS mean, round_even(median(y), 4) AS median, round_even(stddev_samp(y), 4) AS std, count(*) AS count FROM bn GROUP BY 1, 2")
+def decile_stats(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.decile_stats(binned(spark, d))
+
+
+_SPREAD = f"{_BINNED}, sp AS (SELECT grp, date, avg(y) FILTER (bin = 10) - avg(y) FILTER (bin = 1) AS spread FROM bn GROUP BY 1, 2)"
+
+
+@query(f"{_SPREAD} SELECT grp, date, round(spread, 6) + 0.0 AS spread FROM sp")
+def decile_spread(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evidence.decile_spread(binned(spark, d)), {"spread": 6}, "grp", "date")
+
+
+_TURN = """top AS (SELECT grp, date, symbol FROM (SELECT 'ALL' AS grp, date, symbol, row_number() OVER (PARTITION BY date ORDER BY score_short DESC NULLS LAST, symbol) AS place FROM s) WHERE place <= 20),
+days AS (SELECT grp, date, row_number() OVER (PARTITION BY grp ORDER BY date) AS turn FROM (SELECT DISTINCT grp, date FROM top)), nw AS (SELECT * FROM top JOIN days USING (grp, date)),
+tu AS (SELECT a.grp, a.date, 1 - count(b.symbol) / CAST(count(*) AS DOUBLE) AS turnover FROM nw a LEFT JOIN nw b ON a.grp = b.grp AND a.symbol = b.symbol AND a.turn = b.turn + 1 WHERE a.turn > 1 GROUP BY 1, 2)"""
+
+
+@query(f"{_SCORED}, {_TURN} SELECT grp, date, round(turnover, 6) + 0.0 AS turnover FROM tu")
+def turnover(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evidence.turnover(pooled(spark, d), "short", 20), {"turnover": 6}, "grp", "date")
+
+
+@query(f"{_SPREAD}, {_TURN}, co AS (SELECT sp.grp, spread, coalesce(turnover, 0) * 2 * 10 / 1e4 AS cost FROM sp LEFT JOIN tu USING (grp, date)) SELECT grp, round_even(avg(spread), 4) AS spread, round_even(avg(cost), 4) AS cost, round_even(avg(spread - cost), 4) AS net, count(*) AS periods FROM co GROUP BY grp")
+def net_of_costs(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.net_of_costs(evidence.decile_spread(binned(spark, d)), evidence.turnover(pooled(spark, d), "short", 20))
+
+
+@query(f"{_SCORED}, {_TURN} SELECT grp, round_even(avg(turnover), 3) AS turnover FROM tu GROUP BY grp")
+def mean_turnover(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.mean_turnover(evidence.turnover(pooled(spark, d), "short", 20))
+
+
+# ---- screening ------------------------------------------------------------------------------------
+
+_SPLITS = ", ".join(str(float(x)) for k in anomalies.SPLIT_RATIOS for x in (k, 1 / k))
+_DETECT = f"""{sql.WEEK}, z AS (SELECT max(sess) AS newest, min(sess) AS oldest, max(date) AS newest_date FROM w), a0 AS (SELECT w.*, least(newest - oldest + 1, 504) AS sessions, newest_date FROM w, z WHERE sess > newest - 504),
+a1 AS (SELECT *, {sql.at('close', -1)} AS before, {sql.at('close', 5)} AS after5 FROM a0), a2 AS (SELECT *, ln(close / before) AS lr, close / before AS jump, coalesce(abs(close - before) <= 1e-12, FALSE) AS still FROM a1),
+a3 AS (SELECT *, {sql.guarded('stddev_samp(lr)', 'lr', 120, 40)} AS sigma, {sql.at('lr', 1)} AS lrn, least(greatest(2.5 * coalesce(stddev_samp(lr) OVER (PARTITION BY symbol), 0.02), 0.02), 0.1) AS tol FROM a2),
+isl AS (SELECT symbol, sess - row_number() OVER (PARTITION BY symbol ORDER BY sess) AS i FROM a3 WHERE still), run AS (SELECT symbol, max(n) AS run FROM (SELECT symbol, i, count(*) AS n FROM isl GROUP BY 1, 2) GROUP BY 1),
+ag AS (SELECT symbol, coalesce(bool_or(len(list_filter([{_SPLITS}], lambda x: abs(jump - x) / x < tol)) > 0 AND abs(jump - 1) > 0.25 AND abs(after5 / close - 1) < 0.25), FALSE) AS unadjusted_split,
+coalesce(bool_or(abs(lr) > 6 * sigma AND lrn * lr < 0 AND abs(lrn) > 0.6 * abs(lr) AND abs(lr) > 0.2), FALSE) AS bad_tick, count(*) FILTER (open = high AND high = low AND low = close) / CAST(max(sessions) AS DOUBLE) > 0.2 AS flat_bars,
+count(*) FILTER (volume <= 0) / CAST(max(sessions) AS DOUBLE) > 0.1 AS zero_volume, max(newest_date) - max(date) > 10 AS dead, coalesce(median(close * volume), 0) < 1000000 AS illiquid, round(median(close * volume), 3) + 0.0 AS dollar_volume, max(date) AS last_date FROM a3 GROUP BY symbol)
+SELECT ag.*, coalesce(run, 0) >= 8 AS stale FROM ag LEFT JOIN run USING (symbol)"""
+
+
+@query(_DETECT)
+def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
+    found = anomalies.detect(week(spark, d))
+    return found.select("symbol", "unadjusted_split", "bad_tick", "flat_bars", "zero_volume", "dead", "illiquid", "stale", (F.round("dollar_volume", 3) + 0.0).alias("dollar_volume"), "last_date")
+
+
+@query(f"{sql.WEEK}, one AS (SELECT 1) SELECT 'illiquid' AS flag, count(*) AS symbols FROM (SELECT symbol FROM w WHERE sess > (SELECT max(sess) FROM w) - 504 GROUP BY symbol HAVING coalesce(median(close * volume), 0) < 1000000)")
+def anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.summary(anomalies.detect(week(spark, d))).where("flag = 'illiquid'").select("flag", "symbols")
+
+
+@query()
+def quarantined_panel(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.apply_quarantine(panel(spark, d), anomalies.detect(week(spark, d))).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{sql.DAY}, q AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS move FROM w WHERE close > 0 AND high >= low), wild AS (SELECT symbol FROM q WHERE move > 9 OR move < -0.9 GROUP BY symbol HAVING count(*) >= 3),
+sp AS (SELECT symbol, count(*) AS n, (max(date) - min(date)) * 252 / 365.0 AS expected FROM q ANTI JOIN wild USING (symbol) GROUP BY symbol HAVING n >= expected * 0.65 OR expected < 60) SELECT symbol, n FROM sp"""
+)
+def quality_filter(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.quality_filter(bars.brand_day(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+# ---- ingest ---------------------------------------------------------------------------------------
+
+
+def _old(rows: DataFrame) -> DataFrame:
+    return rows.where("date < '2000-01-01'")
+
+
+def _new(rows: DataFrame) -> DataFrame:
+    """Later bars, some days of overlap, at another price level."""
+    rows = rows.where("date >= '1999-11-01'")
+    return rows.withColumns({c: F.col(c) * 1.25 for c in ("open", "high", "low", "close")})
+
+
+@query(f"{sql.WEEK} SELECT symbol, date, CASE WHEN date >= DATE '1999-11-01' THEN close * 1.25::DOUBLE ELSE close END AS close FROM w")
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.supplier_week(spark, d)
+    return ingest.upsert(_old(rows), _new(rows), ["symbol", "date"]).select("symbol", "date", "close")
+
+
+_SPLICE = f"""{sql.WEEK}, old AS (SELECT * FROM w WHERE date < DATE '2000-01-01'), nw AS (SELECT symbol, date, close * 1.25::DOUBLE AS close FROM w WHERE date >= DATE '1999-11-01'),
+com AS (SELECT nw.symbol, arg_max(old.close / nw.close, date) AS f FROM nw JOIN old USING (symbol, date) GROUP BY 1), newest AS (SELECT symbol, max(date) AS m FROM old GROUP BY 1)
+SELECT nw.symbol, date, nw.close * coalesce(CASE WHEN f > 0.2 AND f < 5 THEN f END, 1) AS close FROM nw LEFT JOIN com USING (symbol) LEFT JOIN newest USING (symbol) WHERE m IS NULL OR date > m"""
+
+
+@query(_SPLICE)
+def splice(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.supplier_week(spark, d)
+    return ingest.splice(_new(rows), _old(rows)).select("symbol", "date", "close")
+
+
+@query(
+    f"""{sql.WEEK}, k AS (SELECT symbol, max(date) AS last, count(*) AS n FROM w WHERE symbol % 4 <> 0 GROUP BY symbol), u AS (SELECT s_suppkey AS symbol FROM supplier)
+SELECT symbol, CASE WHEN last IS NULL OR DATE '2001-11-05' - last > 30 OR (n < 290 AND symbol % 2 = 0) THEN 'full' ELSE 'recent' END AS plan FROM u LEFT JOIN k USING (symbol)"""
+)
+def plan_downloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.supplier_week(spark, d)
+    asked = rows.where("symbol % 2 = 1").select("symbol", F.lit("2001-11-01").cast("date").alias("asked_on")).distinct()
+    listed = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"))
+    return ingest.plan_downloads(listed, rows.where("symbol % 4 <> 0"), asked, "2001-11-05", short_rows=290)
+
+
+@query(
+    """SELECT coalesce(f.symbol, a.symbol) AS symbol, coalesce(since, DATE '2024-02-01') AS since, CAST(coalesce(failures, 0) + CASE WHEN a.symbol IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS failures
+FROM (SELECT s_suppkey AS symbol, DATE '2024-01-15' AS since, 2 AS failures FROM supplier WHERE s_suppkey % 3 = 0) f FULL JOIN (SELECT s_suppkey AS symbol FROM supplier WHERE s_suppkey % 2 = 0) a ON f.symbol = a.symbol
+WHERE a.symbol IS NULL OR a.symbol % 5 <> 0"""
+)
+def count_failures(spark: SparkSession, d: str) -> DataFrame:
+    s = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"))
+    failed = s.where("symbol % 3 = 0").select("symbol", F.lit("2024-01-15").cast("date").alias("since"), F.lit(2).alias("failures"))
+    asked = s.where("symbol % 2 = 0")
+    return ingest.count_failures(failed, asked, asked.where("symbol % 5 = 0"), "2024-02-01")
+
+
+@query(f"{sql.WEEK}, gone AS (SELECT count(*) FILTER (symbol % 7 = 0) / CAST(count(*) AS DOUBLE) AS g FROM (SELECT DISTINCT symbol FROM w)) SELECT symbol, count(*) AS n FROM w, gone WHERE symbol % 7 <> 0 OR g > 0.2 GROUP BY symbol")
+def prune(spark: SparkSession, d: str) -> DataFrame:
+    listed = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")).where("symbol % 7 <> 0")
+    return ingest.prune(bars.supplier_week(spark, d), listed).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(f"{sql.WEEK} SELECT symbol, count(*) AS n FROM w WHERE symbol % 2 = 1 OR date >= DATE '1999-11-01' GROUP BY symbol")
+def replace_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.supplier_week(spark, d)
+    return ingest.replace_refreshed(rows, _new(rows).where("symbol % 2 = 0")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{sql.DAY}, n AS (SELECT date, count(DISTINCT symbol) AS symbols FROM w WHERE isodow(date) < 6 GROUP BY 1), m AS (SELECT *, quantile_cont(symbols, 0.5) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM n)
+SELECT date, symbols, usual, round(symbols * 100 / CAST((SELECT count(DISTINCT p_brand) FROM part) AS DOUBLE), 4) + 0.0 AS pct FROM m WHERE date = (SELECT max(date) FROM m)"""
+)
+def session_coverage(spark: SparkSession, d: str) -> DataFrame:
+    listed = bars.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    return rounded(ingest.coverage_of_last_session(bars.brand_day(spark, d), listed), {"pct": 4}, "date", "symbols", "usual")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN length(code) > 6 OR code LIKE '%/%' THEN NULL ELSE lower(replace(code, '-', '.')) || '.us' END AS reserve FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'A/B' WHEN c_custkey % 3 = 0 THEN 'BRK-B' ELSE 'X' || c_custkey * 100 END AS code FROM customer)")
+def reserve_symbols(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    code = F.when(k % 5 == 0, "A/B").when(k % 3 == 0, "BRK-B").otherwise(F.concat(F.lit("X"), (k * 100).cast("string")))
+    return bars.table(spark, d, "customer").select(k.alias("id"), universe.reserve_symbol(code).alias("reserve"))
+
+
+@query("SELECT p_partkey AS id, upper(split_part(p_name, ' ', 1)) IN ('SH', 'DOG') OR regexp_matches(p_name || ' 2x long', '(?i)inverse|leveraged|vix') OR p_partkey % 2 = 0 AS wrapper FROM part")
+def wrappers(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(" 2x long")).otherwise(F.lit(" 10x Genomics")))
+    return bars.table(spark, d, "part").select(F.col("p_partkey").alias("id"), universe.is_wrapper(name, F.split("p_name", " ")[0]).alias("wrapper"))
+
+
+@query("SELECT symbol, arg_min(name, pr) AS name, arg_min(grp, pr) AS grp FROM (SELECT s_suppkey AS symbol, s_name AS name, 'equity_us' AS grp, 1 AS pr FROM supplier UNION ALL SELECT c_custkey, c_name, 'crypto', 3 FROM customer) GROUP BY symbol")
+def build_universe(spark: SparkSession, d: str) -> DataFrame:
+    us = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.lit("equity_us").alias("grp"))
+    coins = bars.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_name").alias("name"), F.lit("crypto").alias("grp"))
+    return universe.build({"us": us, "crypto": coins})[0].select("symbol", "name", "grp")
+
+
+@query()
+def html_tickers(spark: SparkSession, d: str) -> DataFrame:
+    return html_tables.ticker_rows(bars.table(spark, d, "pages"), least_rows=1)
+
+
+@query(
+    "SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date, round(arg_max(o_totalprice, o_orderkey), 2) + 0.0 AS close FROM orders GROUP BY 1, 2"
+)
+def clean_store(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.table(spark, d, "orders").select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("close"), "o_orderkey")
+    return rounded(store.clean(rows, "o_orderkey"), {"close": 2}, "symbol", "date")
+
+
+# ---- portfolio and report -------------------------------------------------------------------------
+
+
+@query(f"{sql.WEEK} SELECT symbol, round(median(close * volume), 3) + 0.0 AS liquidity FROM w WHERE sess > (SELECT max(sess) FROM w) - 63 GROUP BY symbol")
+def median_liquidity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.median_liquidity(week(spark, d)), {"liquidity": 3}, "symbol")
+
+
+@query(f"{sql.WEEK}, {_RETURNS} SELECT symbol, round(stddev_samp(x) FILTER (sess > (SELECT max(sess) FROM w) - 252) * sqrt(252), 6) + 0.0 AS vol FROM lr GROUP BY symbol")
+def annual_volatility(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.annual_volatility(week(spark, d)), {"vol": 6}, "symbol")
+
+
+@query("SELECT grp, round(CASE WHEN grp = 'etf' THEN 0.0 ELSE 1.8 END::DOUBLE, 4) + 0.0 AS fee, round(coalesce(bps, 15) / 2e4, 8) + 0.0 AS half, round(CASE WHEN grp = 'etf' THEN 0.0 ELSE 1.8 END / 500 + coalesce(bps, 15) / 2e4, 8) + 0.0 AS cost FROM (VALUES ('equity_us', 10), ('etf', 10), ('crypto', 190), ('other', NULL)) AS t(grp, bps)")
+def broker_costs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("equity_us",), ("etf",), ("crypto",), ("other",)], "grp string")
+    g = F.col("grp")
+    rows = rows.withColumns({"fee": portfolio.fee("etoro", g), "half": portfolio.half_spread("etoro", g), "cost": portfolio.cost_per_euro("etoro", g, F.lit(500.0))})
+    return rounded(rows, {"fee": 4, "half": 8, "cost": 8}, "grp")
+
+
+_FX = "fx AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, CASE WHEN c_nationkey % 2 = 0 THEN 'USD' ELSE 'GBP' END AS currency, avg(o_totalprice) / 1e5 AS rate FROM orders JOIN customer ON c_custkey = o_custkey WHERE month(o_orderdate) % 3 = 0 GROUP BY 1, 2)"
+
+
+@query(f"{sql.WEEK}, {_FX} SELECT d.date, c.currency, round(fx.rate, 6) + 0.0 AS rate FROM (SELECT DISTINCT date FROM w) d CROSS JOIN (SELECT DISTINCT currency FROM fx) c ASOF LEFT JOIN fx ON c.currency = fx.currency AND d.date >= fx.date")
+def rates_as_of(spark: SparkSession, d: str) -> DataFrame:
+    orders = bars.table(spark, d, "orders").where(F.month("o_orderdate") % 3 == 0).join(bars.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rates = orders.groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"), F.when(F.col("c_nationkey") % 2 == 0, "USD").otherwise("GBP").alias("currency")).agg((F.avg("o_totalprice") / 1e5).alias("rate"))
+    return rounded(portfolio.rates_as_of(bars.supplier_week(spark, d), rates), {"rate": 6}, "date", "currency")
+
+
+@query(f"{sql.WEEK} SELECT date, coalesce(lag(date) OVER (ORDER BY date) IS NULL OR date_trunc('month', lag(date) OVER (ORDER BY date)) <> date_trunc('month', date), TRUE) AS due FROM cal")
+def rebalance_due(spark: SparkSession, d: str) -> DataFrame:
+    days = calendar.next_session(bars.supplier_week(spark, d)).select(F.col("date").alias("last"), F.col("next_date").alias("date")).where("date is not null")
+    first = calendar.calendar(bars.supplier_week(spark, d)).where("sess = 1").select(F.lit(None).cast("date").alias("last"), "date")
+    return days.unionByName(first).select("date", portfolio.due(F.col("last"), F.col("date"), "month").alias("due"))
+
+
+def _alphas(spark: SparkSession, d: str) -> DataFrame:
+    ics = spark.createDataFrame([(h, g, 0.05) for h in ("short", "medium") for g in ("ASIA", "AMERICA", "MIDDLE EAST")], "horizon string, grp string, ic_mean double")
+    return portfolio.expected_alpha(scored(spark, d), ics, week(spark, d), {"short": 0.5, "medium": 0.5})
+
+
+def _alpha_part(h: str, days: int) -> str:
+    return f"coalesce(CASE WHEN count(score_{h}) OVER (PARTITION BY grp) >= 5 THEN CASE WHEN grp IN ('ASIA', 'AMERICA', 'MIDDLE EAST') THEN 0.05 ELSE 0 END * (score_{h} - avg(score_{h}) OVER (PARTITION BY grp)) / CASE WHEN coalesce(stddev_pop(score_{h}) OVER (PARTITION BY grp), 0) = 0 THEN 1 ELSE stddev_pop(score_{h}) OVER (PARTITION BY grp) END * coalesce(vol, 0.25) * sqrt({days} / 252.0) * 0.5 END, 0)"
+
+
+_ALPHA = f"{_SCORED}, {_RETURNS}, vo AS (SELECT symbol, stddev_samp(x) * sqrt(252) AS vol FROM lr WHERE sess > (SELECT max(sess) FROM w) - 252 GROUP BY symbol), al AS (SELECT symbol, {_alpha_part('short', 10)} + {_alpha_part('medium', 63)} AS alpha FROM s LEFT JOIN vo USING (symbol) WHERE date = (SELECT max(date) FROM s))"
+
+
+@query(f"{_ALPHA} SELECT symbol, round(alpha, 5) + 0.0 AS alpha FROM al")
+def expected_alpha(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_alphas(spark, d), {"alpha": 5}, "symbol")
+
+
+@query()
+def plan_orders(spark: SparkSession, d: str) -> DataFrame:
+    alphas = _alphas(spark, d).orderBy(F.desc("alpha"), "symbol").limit(25)
+    held = bars.table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("symbol"), (F.abs("s_acctbal") + 100).alias("cost"))
+    groups = bars.supplier_region(spark, d)
+    return portfolio.plan_orders(held, alphas.orderBy(F.desc("alpha"), "symbol").limit(15).select("symbol"), alphas, groups, 40000.0, "trade_republic")
+
+
+@query()
+def execute_orders(spark: SparkSession, d: str) -> DataFrame:
+    plan = plan_orders(spark, d).where("decision = 'order'")
+    last = calendar.with_sessions(bars.supplier_week(spark, d)).groupBy("symbol").agg(F.max_by("open", "sess").alias("price"))
+    orders = plan.join(last, "symbol", "left").crossJoin(portfolio.books(spark)).withColumns(
+        {"units_held": F.when(F.col("side") == "sale", F.try_divide("amount", "price")).otherwise(0.0), "fee": F.lit(1.0), "half_spread": F.lit(0.00075), "turn": F.col("symbol")}
+    )
+    return portfolio.execute(orders, portfolio.books(spark).withColumn("cash", F.lit(5000.0)))
+
+
+@query(
+    f"""{_SCORED} SELECT grp, count(DISTINCT s_suppkey) AS universe, count(DISTINCT b.symbol) AS priced, count(DISTINCT x.symbol) AS in_panel, count(DISTINCT y.symbol) AS scored FROM (SELECT s_suppkey, r_name AS grp FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+LEFT JOIN (SELECT DISTINCT symbol FROM w) b ON b.symbol = s_suppkey LEFT JOIN (SELECT DISTINCT symbol FROM p) x ON x.symbol = s_suppkey LEFT JOIN (SELECT DISTINCT symbol FROM s WHERE score_medium IS NOT NULL) y ON y.symbol = s_suppkey GROUP BY grp"""
+)
+def funnel(spark: SparkSession, d: str) -> DataFrame:
+    rows = panel(spark, d)
+    return report.funnel(bars.supplier_region(spark, d), bars.supplier_week(spark, d), rows, scoring.score_panel(rows, WEIGHTS).where("score_medium is not null"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) WHERE least(CAST(floor((c_acctbal - lo) / ((hi - lo) / 24)) AS INTEGER), 23) = i) AS n FROM range(24) AS t(i)")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return report.histogram(bars.table(spark, d, "customer"), "c_acctbal").select("bin", "n")
+
+
+@query(f"{sql.WEEK}, t AS (SELECT max(date) AS top FROM w) SELECT symbol AS key, round(arg_max(close, date) / arg_min(close, date) * 100 - 100, 5) + 0.0 AS pct FROM w, t WHERE date >= top - 90 GROUP BY symbol HAVING count(*) >= 2")
+def period_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(report.period_returns(bars.supplier_week(spark, d).select(F.col("symbol").alias("key"), "date", F.col("close").alias("value")), 90), {"pct": 5}, "key")
+
+
+@query()
+def sparklines(spark: SparkSession, d: str) -> DataFrame:
+    return report.sparkline(week(spark, d))
+
+
+# ---- streams --------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT user_id AS symbol, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", round(arg_min(value, ROW(ts, event_id)), 4) + 0.0 AS open, round(max(value), 4) + 0.0 AS high, round(min(value), 4) + 0.0 AS low,
+round(arg_max(value, ROW(ts, event_id)), 4) + 0.0 AS close, count(*) AS volume FROM events GROUP BY 1, 2, 3 HAVING "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
+def stream_tick_bars(spark: SparkSession, d: str) -> DataFrame:
+    out = stream.run_to_table(stream.tick_bars(stream.ticks(spark, d)))
+    return rounded(out, {"open": 4, "high": 4, "low": 4, "close": 4}, "symbol", "start", "end", "volume")
+
+
+@query()
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return stream.run_to_table(stream.session_activity(stream.ticks(spark, d)))
+
+
+@query(
+    """SELECT user_id AS symbol, CAST(count(*) FILTER (rn > coalesce(ok, 0)) AS INTEGER) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) JOIN
+(SELECT user_id AS u, max(rn) FILTER (event_type <> 'error') AS ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1) ON u = user_id GROUP BY 1"""
+)
+def stream_failures(spark: SparkSession, d: str) -> DataFrame:
+    return stream.run_counters(stream.failure_counters(stream.ticks(spark, d))).select("symbol", "failures")
+
+
+# ---- flagship -------------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly bars of brands to a ranking: windows, cross-sectional scores, percentiles, the best of the last month."""
+    rows = month(spark, d)
+    panel_ = features.sample_panel(features.build_features(rows, ewm=False), calendar.rebalance_dates(rows), 0.0)
+    return scoring.top_picks(scoring.score_panel(panel_, WEIGHTS), "short", 10).select("date", "symbol", "score_short", "pct_short")
