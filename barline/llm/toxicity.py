@@ -1,6 +1,6 @@
 """Toxicity by subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-The bag of a word is its character n-grams of 3 to 5 bytes, with its ends marked, so a misspelling or an
+The bag of a word is its character n-grams of 3, 4, 6 and 8 bytes, with its ends marked, so a misspelling or an
 inflected form shares most vectors with the word it comes from. The vectors of a bag are averaged and go
 into the softmax; a text scores as its most toxic word does, so that a long text cannot hide one.
 Labels are known for texts only: after a first fit in which every word of a toxic text counts as toxic, the
@@ -23,7 +23,7 @@ from barline.llm.textblocks import slices, spans, utf8
 
 BITS = 17
 DIMENSIONS = 2
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 6, 8)
 SPACE = 0x20
 #: Step of the embeddings, and the share of the largest gradient that damps it.
 RATE, DAMP = 6.0, 0.1
