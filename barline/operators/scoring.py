@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 # Signed weights of the features of each horizon.
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -16,26 +16,26 @@ MIN_COVERAGE = 0.7
 MIN_PEERS = 20
 LOW, HIGH = 0.025, 0.975
 
-PEERS = Window.partitionBy("date", "grp")
 
 
-def with_z(rows: DataFrame, features: list[str]) -> DataFrame:
-    """z_<feature> and n_<feature> (non-null peers) for each feature; one exchange for all.
+def peers_window() -> WindowSpec:
+    return Window.partitionBy("date", "grp")
+
+
+def z_scores(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """keep, feature, value, n (non-null peers), z: a row for each feature, so that few windows serve all of them.
 
     Under five values z is null; without spread it is 0 for every row, values or not.
     """
-    first, second, third = {}, {}, {}
-    for f in features:
-        v = F.col(f).cast("double")
-        first |= {f"n_{f}": F.count(v).over(PEERS), f"q_{f}": F.percentile(v, F.array(F.lit(LOW), F.lit(HIGH))).over(PEERS)}
-        inside = F.least(F.greatest(v, F.get(F.col(f"q_{f}"), F.lit(0))), F.get(F.col(f"q_{f}"), F.lit(1)))
-        second[f"c_{f}"] = F.when(v.isNotNull(), inside)
-        clipped = F.col(f"c_{f}")
-        spread = F.stddev_pop(clipped).over(PEERS)
-        z = F.when(F.col(f"n_{f}") < 5, F.lit(None).cast("double")).when(F.coalesce(spread, F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(clipped - F.avg(clipped).over(PEERS), spread))
-        third[f"z_{f}"] = z
-    drop = [f"{k}_{f}" for f in features for k in ("q", "c")]
-    return rows.withColumns(first).withColumns(second).withColumns(third).drop(*drop)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
+    long = rows.select("date", "grp", *keep, each.alias("x")).select("date", "grp", *keep, "x.feature", "x.value")
+    own = Window.partitionBy("date", "grp", "feature")
+    v, q = F.col("value"), F.col("q")
+    long = long.withColumns({"n": F.count(v).over(own), "q": F.percentile(v, F.array(F.lit(LOW), F.lit(HIGH))).over(own)})
+    long = long.withColumn("clipped", F.when(v.isNotNull(), F.least(F.greatest(v, F.get(q, F.lit(0))), F.get(q, F.lit(1)))))
+    long = long.withColumns({"mean": F.avg("clipped").over(own), "spread": F.stddev_pop("clipped").over(own)})
+    z = F.when(F.col("n") < 5, F.lit(None).cast("double")).when(F.coalesce("spread", F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(F.col("clipped") - F.col("mean"), F.col("spread")))
+    return long.withColumn("z", z).drop("q", "clipped", "mean", "spread")
 
 
 def _total(parts: list[Column]) -> Column:
@@ -45,20 +45,27 @@ def _total(parts: list[Column]) -> Column:
     return out
 
 
-def score_columns(weights: dict[str, float], horizon: str, min_coverage: float = MIN_COVERAGE) -> dict[str, Column]:
-    """score_, cov_ and spread_ of one horizon from z_ and n_ columns; features without any z leave the denominator."""
-    have = {f: F.when(F.col(f"z_{f}").isNotNull(), 1.0).otherwise(0.0) for f in weights}
-    z = {f: F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * (1 if w > 0 else -1) for f, w in weights.items()}
-    usable = _total([F.when(F.col(f"n_{f}") >= 5, abs(w)).otherwise(0.0) for f, w in weights.items()])
-    present = _total([have[f] * abs(w) for f, w in weights.items()])
-    cover = F.try_divide(present, usable)
-    k, s, q = _total(list(have.values())), _total(list(z.values())), _total([x * x for x in z.values()])
-    raw = F.try_divide(_total([z[f] * abs(w) for f, w in weights.items()]), present)
+def score_aggregates(weights: dict[str, float], horizon: str) -> dict[str, Column]:
+    """Sums over the features of a row; a feature without any z is not usable."""
+    w = F.try_element_at(F.create_map(*[F.lit(x) for item in weights.items() for x in item]), F.col("feature"))
+    z, has = F.col("z"), F.col("z").isNotNull() & w.isNotNull()
+    signed = F.when(has, z * F.signum(w))
+    return {
+        f"usable_{horizon}": F.sum(F.when((F.col("n") >= 5) & w.isNotNull(), F.abs(w)).otherwise(0.0)),
+        f"present_{horizon}": F.sum(F.when(has, F.abs(w)).otherwise(0.0)),
+        f"total_{horizon}": F.sum(F.when(has, z * w)),
+        f"sd_{horizon}": F.stddev_samp(signed),
+    }
+
+
+def score_columns(horizon: str, min_coverage: float = MIN_COVERAGE) -> dict[str, Column]:
+    """score_, cov_ and spread_ of a horizon from its aggregates."""
     enough = F.col("peers") >= MIN_PEERS
+    cover = F.try_divide(f"present_{horizon}", f"usable_{horizon}")
     return {
-        f"score_{horizon}": F.when(enough & (cover >= min_coverage), raw),
+        f"score_{horizon}": F.when(enough & (cover >= min_coverage), F.try_divide(f"total_{horizon}", f"present_{horizon}")),
         f"cov_{horizon}": F.when(enough, cover),
-        f"spread_{horizon}": F.when(enough & (k > 1), F.sqrt(F.greatest(q - s * s / k, F.lit(0.0)) / (k - 1))),
+        f"spread_{horizon}": F.when(enough, F.col(f"sd_{horizon}")),
     }
 
 
@@ -73,13 +80,16 @@ def score_panel(panel: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS
     """date, symbol, grp, close, score_/cov_/spread_/pct_ of each horizon, score_global. Rows without a group are left out."""
     used = {h: {f: w for f, w in ws.items() if f in panel.columns} for h, ws in weights.items()}
     features = sorted({f for ws in used.values() for f in ws})
-    rows = panel.where("grp is not null").withColumn("peers", F.count("*").over(PEERS))
-    rows = with_z(rows, features)
-    scores: dict[str, Column] = {}
+    rows = panel.where("grp is not null").withColumn("peers", F.count("*").over(peers_window()))
+    sums: dict[str, Column] = {}
+    columns: dict[str, Column] = {}
     for h, ws in used.items():
-        scores |= score_columns(ws, h)
-    rows = rows.select("date", "symbol", "grp", "close", *[c.alias(n) for n, c in scores.items()])
-    share = {f"pct_{h}": F.bround(F.try_divide(average_rank(f"score_{h}", ["date", "grp"]), F.count(f"score_{h}").over(PEERS)) * 100, 1) for h in weights}
+        sums |= score_aggregates(ws, h)
+        columns |= score_columns(h)
+    long = z_scores(rows, features, ["symbol", "close", "peers"])
+    rows = long.groupBy("date", "grp", "symbol", "close", "peers").agg(*[c.alias(n) for n, c in sums.items()])
+    rows = rows.select("date", "symbol", "grp", "close", *[c.alias(n) for n, c in columns.items()])
+    share = {f"pct_{h}": F.bround(F.try_divide(average_rank(f"score_{h}", ["date", "grp"]), F.count(f"score_{h}").over(peers_window())) * 100, 1) for h in weights}
     mean = F.try_divide(_total([F.coalesce(f"score_{h}", F.lit(0.0)) for h in weights]), _total([F.when(F.col(f"score_{h}").isNotNull(), 1.0).otherwise(0.0) for h in weights]))
     return rows.withColumns(share).withColumn("score_global", mean)
 
@@ -88,10 +98,10 @@ def contributions(panel: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Of the last date: date, symbol, grp, feature, z (signed), weight, contribution, value."""
     day = panel.join(F.broadcast(panel.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
     used = {f: w for f, w in weights.items() if f in panel.columns}
-    rows = with_z(day.where("grp is not null").withColumn("peers", F.count("*").over(PEERS)).where(F.col("peers") >= MIN_PEERS), sorted(used))
-    each = [F.struct(F.lit(f).alias("feature"), (F.col(f"z_{f}") * (1 if w > 0 else -1)).alias("z"), F.lit(abs(w)).alias("weight"), F.col(f).cast("double").alias("value")) for f, w in used.items()]
-    rows = rows.select("date", "symbol", "grp", F.explode(F.array(*each)).alias("x"))
-    return rows.select("date", "symbol", "grp", "x.feature", "x.z", "x.weight", (F.col("x.z") * F.col("x.weight")).alias("contribution"), "x.value")
+    rows = day.where("grp is not null").withColumn("peers", F.count("*").over(peers_window())).where(F.col("peers") >= MIN_PEERS)
+    w = F.element_at(F.create_map(*[F.lit(x) for item in used.items() for x in item]), F.col("feature"))
+    long = z_scores(rows, sorted(used), ["symbol"]).withColumns({"z": F.col("z") * F.signum(w), "weight": F.abs(w)})
+    return long.select("date", "symbol", "grp", "feature", "z", "weight", (F.col("z") * F.col("weight")).alias("contribution"), "value")
 
 
 def top_picks(scored: DataFrame, horizon: str, n: int = 25, groups: tuple[str, ...] | None = None, max_spread: float = 1.6) -> DataFrame:

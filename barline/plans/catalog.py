@@ -146,12 +146,13 @@ def true_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows, {"drop": 6}, "symbol", "date", "true_range")
 
 
-_PLAIN = {f: 3 if f == "dollar_vol" else 6 for f in features.FEATURES if f not in ("adx14", "rsi14", "rsi2", "macd_hist", "atr_pct")}
+_PLAIN = {f: 6 for f in features.FEATURES if f not in ("adx14", "rsi14", "rsi2", "macd_hist", "atr_pct")}
 
 
-@query(f"{sql.features(sql.WEEK)} SELECT symbol, date, {sql.rounded(_PLAIN)} FROM f")
+# Medians of whole cents would be rounded at exact halves; their logarithms are not.
+@query(f"{sql.features(sql.WEEK)} SELECT symbol, date, {sql.rounded(_PLAIN)} FROM (SELECT * REPLACE (ln(dollar_vol) AS dollar_vol) FROM f)")
 def feature_history(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.build_features(week(spark, d), ewm=False), _PLAIN, "symbol", "date")
+    return rounded(features.build_features(week(spark, d), ewm=False).withColumn("dollar_vol", F.ln("dollar_vol")), _PLAIN, "symbol", "date")
 
 
 @query()
@@ -625,7 +626,7 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly bars of brands to a ranking: windows, cross-sectional scores, percentiles, the best of the last month."""
+    """Monthly bars of brands to a ranking: windows, cross-sectional scores, percentiles, the best of the last month with scores."""
     rows = month(spark, d)
     panel_ = features.sample_panel(features.build_features(rows, ewm=False), calendar.rebalance_dates(rows), 0.0)
-    return scoring.top_picks(scoring.score_panel(panel_, WEIGHTS), "short", 10).select("date", "symbol", "score_short", "pct_short")
+    return scoring.top_picks(scoring.score_panel(panel_, WEIGHTS).where("score_short is not null"), "short", 10).select("date", "symbol", "score_short", "pct_short")
