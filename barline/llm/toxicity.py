@@ -1,10 +1,10 @@
 """Toxicity by subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-The bag of a word is its character n-grams of 3, 4, 6 and 8 bytes, with its ends marked, so a misspelling or an
+The bag of a word is its character n-grams of 3 and of 5 to 8 bytes, with its ends marked, so a misspelling or an
 inflected form shares most vectors with the word it comes from. The vectors of a bag are averaged and go
 into the softmax; a text scores as its most toxic word does, so that a long text cannot hide one.
-Labels are known for texts only: after a first fit in which every word of a toxic text counts as toxic, the
-model itself tells which of them are, and is fitted again.
+Labels are known for texts only: the first fit takes as toxic the words that several toxic texts hold and
+hardly any clean one; then the model itself finds more of them in toxic texts, and is fitted again.
 
 The model is fitted on at most ``toxic`` and ``clean`` labelled rows, those of smallest hash.
 """
@@ -23,12 +23,15 @@ from barline.llm.textblocks import slices, spans, utf8
 
 BITS = 17
 DIMENSIONS = 2
-GRAMS = (3, 4, 6, 8)
+GRAMS = (3, 5, 6, 7, 8)
 SPACE = 0x20
+#: Scores are calibrated to this share of toxic texts: more than there are, as a missed one costs more than a clean one.
+PRIOR = 0.25
 #: Step of the embeddings, and the share of the largest gradient that damps it.
 RATE, DAMP = 6.0, 0.1
-#: Logit from which a word of a toxic text counts as toxic in a refit; the most toxic one always does.
-SURE = 2.0
+#: Logit from which a word of a toxic text counts as toxic in a refit, as the first ones always do; and the texts
+#: that must hold a first one, and the share of toxic texts among them.
+SURE, SEED_TEXTS, SEED_SHARE = 2.0, 3, 0.9
 
 # Bytes as they are read, A-Z as a-z, digits and signs as the letters they often stand for.
 _READ = np.arange(256, dtype=np.uint8)
@@ -124,8 +127,8 @@ def _train(gram: np.ndarray, bag: np.ndarray, size: np.ndarray, toxic: np.ndarra
     return e, u, b
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 40, refits: int = 2) -> ToxicityModel:
-    """share: of toxic rows among all labels, for the calibration on a fifth of the rows that the fit leaves out."""
+def fit(texts: list[str], toxic: np.ndarray, share: float = PRIOR, rounds: int = 40, refits: int = 2) -> ToxicityModel:
+    """share: of toxic texts that scores are calibrated to, on a fifth of the rows that the fit leaves out."""
     c = subwords(pa.array(texts, pa.string()))
     held = np.arange(len(texts)) % 5 == 4
     words = len(c["starts"])
@@ -145,8 +148,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 40, ref
     gram, bag = c["grams"][mine], own[c["word"]][mine]
     size = np.maximum(np.bincount(bag, minlength=len(example)), 1)
     use = ~held[holder] & known[held_word]
-    begin = np.searchsorted(holder, np.arange(len(texts) + 1))
-    label = toxic[holder] > 0
+    # At first those words count as toxic that several toxic texts hold and hardly any clean one does.
+    in_toxic = np.bincount(held_word[use & (toxic[holder] > 0)], minlength=len(example))
+    in_clean = np.bincount(held_word[use & (toxic[holder] == 0)], minlength=len(example))
+    seed = (in_toxic >= SEED_TEXTS) & (in_toxic >= SEED_SHARE * (in_toxic + in_clean))
+    label = (toxic[holder] > 0) & (seed[held_word] if seed.any() else True)
     model = None
     for _ in range(refits):
         pos, neg = label & use, ~label & use
@@ -154,8 +160,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 40, ref
         as_clean = np.bincount(held_word[neg], minlength=len(example)) * (0.5 / max(neg.sum(), 1))
         model = _train(gram, bag, size, as_toxic, as_clean, rounds, model)
         z = np.where(known, ToxicityModel(*model).word_logits(gram, bag, len(example)), -np.inf)[held_word]
-        best = _largest(z, begin, 0.0)
-        label = (toxic[holder] > 0) & ((z > SURE) | (z >= best[holder]))
+        label = (toxic[holder] > 0) & ((z > SURE) | seed[held_word])
     out = ToxicityModel(*model)
     z = out.logits(c)
     on = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(texts), bool)
@@ -175,12 +180,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean: int = 12
     Labels that are null or that have no document are left out. Without labels of both classes every text gets one score.
     """
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out())
-    shares = {g: n for g, n in rows.groupBy("toxic").count().collect()}
     rank = F.xxhash64("doc_id")
     some = rows.where("toxic = 1").orderBy(rank, "doc_id").limit(toxic).unionByName(rows.where("toxic = 0").orderBy(rank, "doc_id").limit(clean))
     sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "toxic").collect()  # toxic + clean texts
-    share = shares.get(1, 0) / max(sum(shares.values()), 1)
-    return fit([r.text or "" for r in sample], np.array([r.toxic for r in sample], np.int64), share)
+    return fit([r.text or "" for r in sample], np.array([r.toxic for r in sample], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

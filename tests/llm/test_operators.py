@@ -191,8 +191,8 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score(docs, toxicity.fit_on(docs, labels)).join(labels, "doc_id").where("held_out")
     seen = Counter((r.toxic, r.predicted) for r in out.collect())
-    assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.65  # 388 toxic texts to learn four languages from
-    assert seen[0, 0] / (seen[0, 0] + seen[0, 1]) > 0.97
+    assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.8  # 388 toxic texts to learn four languages from
+    assert seen[0, 0] / (seen[0, 0] + seen[0, 1]) > 0.98
 
 
 def test_misspellings_share_vectors():
@@ -352,6 +352,16 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0), Scratch(spark, "test"))).collect() == []
 
 
+def test_warc_query_equals_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS FROM '{DATA}/pages.parquet'")
+    want = db.sql(catalog.oracle_sql()["op8_warc"])
+    out = catalog.queries()["op8_warc"](spark, DATA)
+    assert Counter(tuple(r[c] for c in want.columns) for r in out.collect()) == Counter(want.fetchall())
+
+
 def test_damaged_archives_give_errors():
     made = [warc.record(k, "u", b"x" * 50 * k, hashlib.sha256(b"x" * 50 * k).hexdigest(), None, "d") for k in range(4)]
     whole = warc.archive(made, [b"x" * 100])
