@@ -25,7 +25,7 @@ from barline.llm.textblocks import slices
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words remembered by a task's process, and their longest length.
-REMEMBER, LONGEST = 300_000, 48
+REMEMBER, LONGEST = 200_000, 48
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 

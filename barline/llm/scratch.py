@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="barline-")
+        here = tempfile.mkdtemp(prefix="barline-")
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+        folder = f"file://{here}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
