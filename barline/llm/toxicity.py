@@ -41,16 +41,21 @@ for _from, _to in zip(b"013457@$", b"oieastas", strict=True):
     _READ[_from] = _to
 
 
-def subwords(column: pa.Array) -> dict[str, np.ndarray]:
-    """grams (buckets of the n-grams, in the order of words), word (of each gram), begin (first word of each text)."""
+def read_words(column: pa.Array) -> dict[str, np.ndarray]:
+    """text (all texts as they are read, a space before each and one at the end), starts and ends of words, begin (first word of each text)."""
     offsets, data = utf8(column)
     n = len(offsets) - 1
-    text = np.full(len(data) + n + 1, SPACE, np.uint8)  # a space before each text and one at the end
+    text = np.full(len(data) + n + 1, SPACE, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = _READ[data]
     starts, ends = spans(np.array([0, len(text)]), text)
-    begin = np.searchsorted(starts, offsets + np.arange(n + 1), side="left")
-    blank = text == SPACE
-    blanks = np.concatenate([[0], np.cumsum(blank)])
+    return {"text": text, "starts": starts, "ends": ends, "begin": np.searchsorted(starts, offsets + np.arange(n + 1), side="left")}
+
+
+def subwords(column: pa.Array) -> dict[str, np.ndarray]:
+    """read_words with grams (buckets of the n-grams) and word (of each gram)."""
+    out = read_words(column)
+    text = out["text"]
+    blanks = np.concatenate([[0], np.cumsum(text == SPACE)])
     at, grams = [], []
     wide = text.astype(np.uint32) + np.uint32(1)
     for g in GRAMS:
@@ -68,7 +73,7 @@ def subwords(column: pa.Array) -> dict[str, np.ndarray]:
         grams.append((value >> np.uint32(32 - BITS)).astype(np.int32))
     at = np.concatenate(at) if at else np.zeros(0, np.int64)
     grams = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    return {"grams": grams, "word": np.searchsorted(starts, at, side="right") - 1, "begin": begin, "starts": starts, "ends": ends, "text": text}
+    return out | {"grams": grams, "word": np.searchsorted(out["starts"], at, side="right") - 1}
 
 
 class ToxicityModel:
@@ -129,40 +134,38 @@ def _train(gram: np.ndarray, bag: np.ndarray, size: np.ndarray, toxic: np.ndarra
 
 def fit(texts: list[str], toxic: np.ndarray, share: float = PRIOR, rounds: int = 40, refits: int = 2) -> ToxicityModel:
     """share: of toxic texts that scores are calibrated to, on a fifth of the rows that the fit leaves out."""
-    c = subwords(pa.array(texts, pa.string()))
+    c = read_words(pa.array(texts, pa.string()))
     held = np.arange(len(texts)) % 5 == 4
-    words = len(c["starts"])
-    if not words or not 0 < toxic[~held].sum() < (~held).sum():
+    if not len(c["starts"]) or not 0 < toxic[~held].sum() < (~held).sum():
         return ToxicityModel(np.zeros((1 << BITS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.zeros(2), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     seen: dict[bytes, int] = {}
     raw = c["text"].tobytes()
     kind = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(c["starts"].tolist(), c["ends"].tolist(), strict=True)], np.int64)
-    _, example = np.unique(kind, return_index=True)
+    words = len(seen)
+    own = subwords(pa.array([b" ".join(seen).decode()]))  # each distinct word once
+    all_grams, all_bags = own["grams"], own["word"]
     text_of = np.repeat(np.arange(len(texts)), np.diff(c["begin"]))
-    pairs = np.unique(text_of * len(example) + kind)  # a word counts once for each text that holds it
-    holder, held_word = pairs // len(example), pairs % len(example)
-    known = np.bincount(held_word, minlength=len(example)) > 1  # a word of one text only tells nothing
-    own = np.full(words, -1)
-    own[example[known]] = np.flatnonzero(known)
-    mine = own[c["word"]] >= 0  # grams of the first occurrence of each such word
-    gram, bag = c["grams"][mine], own[c["word"]][mine]
-    size = np.maximum(np.bincount(bag, minlength=len(example)), 1)
+    pairs = np.unique(text_of * words + kind)  # a word counts once for each text that holds it
+    holder, held_word = pairs // words, pairs % words
+    known = np.bincount(held_word, minlength=words) > 1  # a word of one text only tells nothing
+    gram, bag = all_grams[known[all_bags]], all_bags[known[all_bags]]
+    size = np.maximum(np.bincount(bag, minlength=words), 1)
     use = ~held[holder] & known[held_word]
     # At first those words count as toxic that several toxic texts hold and hardly any clean one does.
-    in_toxic = np.bincount(held_word[use & (toxic[holder] > 0)], minlength=len(example))
-    in_clean = np.bincount(held_word[use & (toxic[holder] == 0)], minlength=len(example))
+    in_toxic = np.bincount(held_word[use & (toxic[holder] > 0)], minlength=words)
+    in_clean = np.bincount(held_word[use & (toxic[holder] == 0)], minlength=words)
     seed = (in_toxic >= SEED_TEXTS) & (in_toxic >= SEED_SHARE * (in_toxic + in_clean))
     label = (toxic[holder] > 0) & (seed[held_word] if seed.any() else True)
     model = None
     for _ in range(refits):
         pos, neg = label & use, ~label & use
-        as_toxic = np.bincount(held_word[pos], minlength=len(example)) * (0.5 / max(pos.sum(), 1))
-        as_clean = np.bincount(held_word[neg], minlength=len(example)) * (0.5 / max(neg.sum(), 1))
+        as_toxic = np.bincount(held_word[pos], minlength=words) * (0.5 / max(pos.sum(), 1))
+        as_clean = np.bincount(held_word[neg], minlength=words) * (0.5 / max(neg.sum(), 1))
         model = _train(gram, bag, size, as_toxic, as_clean, rounds, model)
-        z = np.where(known, ToxicityModel(*model).word_logits(gram, bag, len(example)), -np.inf)[held_word]
+        z = np.where(known, ToxicityModel(*model).word_logits(gram, bag, words), -np.inf)[held_word]
         label = (toxic[holder] > 0) & ((z > SURE) | seed[held_word])
     out = ToxicityModel(*model)
-    z = out.logits(c)
+    z = _largest(out.word_logits(all_grams, all_bags, words)[kind], c["begin"], out.bias)
     on = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(texts), bool)
     weight = np.where(toxic[on] > 0, share / toxic[on].sum(), (1 - share) / (1 - toxic[on]).sum()) * on.sum()
     out.slope, out.shift = platt(z[on], toxic[on].astype(np.float64), weight)
