@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontamination, langid, licenses, pieces, quality, toxicity, url_rules, warc
+from barline.llm import decontamination, langid, licenses, oracle, pieces, quality, toxicity, url_rules, warc
 from barline.llm.jaccard_join import jaccard_components
 from barline.llm.scratch import Scratch
 from barline.llm.sharding import histogram_shards
@@ -83,11 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-WARC_SQL = """SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN again THEN least_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
-FROM (SELECT *, coalesce(strlen(html) >= 100 AND page_id > least_id, FALSE) AS again FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS least_id FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """Only where SQL can express all of a result: the others come from trained models or from hashing."""
-    return {"op8_warc": WARC_SQL}
+    """Only where SQL can express all of a result: the others come from trained models, hashing or iteration."""
+    return {"op5_license_scan": oracle.license_sql(), "op8_warc": oracle.WARC_SQL, "op10_jaccard_join": oracle.JACCARD_SQL}

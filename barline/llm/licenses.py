@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,8 +131,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: s
 
     def share(t: Template, name: str) -> Column:
         """Of the best place."""
-        total = sum(weight[w] for w in t.words)
-        return F.array_max(F.transform(F.col(name), lambda s: sum((F.when(F.get(F.col("words"), s + k) == w, F.lit(weight[w] / total)).otherwise(0.0) for k, w in enumerate(t.words)), F.lit(0.0))))
+        total = reduce(add, (weight[w] for w in t.words), 0.0)  # in the order of the words, so that a whole template scores 1 exactly
+
+        def held(s: Column) -> Column:
+            return reduce(add, (F.when(F.get(F.col("words"), s + k) == w, F.lit(weight[w])).otherwise(0.0) for k, w in enumerate(t.words)), F.lit(0.0))
+
+        return F.array_max(F.transform(F.col(name), lambda s: held(s) / F.lit(total)))
 
     names = {t: f"at{k}" for k, t in enumerate(templates)}
     found = rows.withColumns({names[t]: F.when(F.col("seats").isNotNull(), places(t)) for t in templates})
