@@ -31,6 +31,18 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def scores_query(oracle: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """The query with the operator's own weights, which SQL cannot express, and plain_ of it, which is checked against SQL."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = f
+        QUERIES[f"plain_{f.__name__}"] = lambda spark, d: f(spark, d, plain=True)
+        ORACLES[f"plain_{f.__name__}"] = oracle
+        return f
+
+    return register
+
+
 def rounded(df: DataFrame, columns: dict[str, int], *keys: str) -> DataFrame:
     return df.select(*keys, *[(F.round(c, d) + 0.0).alias(c) for c, d in columns.items()])
 
@@ -192,7 +204,7 @@ def forward_returns(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- panel and scores -----------------------------------------------------------------------------
 
-#: Signed weights over the features that SQL can express.
+#: Signed weights over the features that SQL can express: those of the queries named plain_.
 WEIGHTS = {h: {f: w for f, w in ws.items() if f in _PLAIN} for h, ws in scoring.WEIGHTS.items()}
 _USED = sorted({f for ws in WEIGHTS.values() for f in ws})
 _REB = "reb AS (SELECT max(date) AS date FROM cal GROUP BY date_trunc('month', date))"
@@ -201,47 +213,51 @@ _SCORED = f"{_PANEL}, {sql.scores('p', WEIGHTS)}"
 _SCORES = {f"{k}_{h}": 1 if k == "pct" else 4 for h in WEIGHTS for k in ("score", "cov", "spread", "pct")} | {"score_global": 4}
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
+def weights_of(plain: bool) -> dict[str, dict[str, float]]:
+    return WEIGHTS if plain else scoring.WEIGHTS
+
+
+def panel(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     rows = week(spark, d)
-    return features.sample_panel(features.build_features(rows, ewm=False), calendar.rebalance_dates(rows), 1000.0)
+    return features.sample_panel(features.build_features(rows, ewm=not plain), calendar.rebalance_dates(rows), 1000.0)
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_panel(panel(spark, d), WEIGHTS)
+def scored(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return scoring.score_panel(panel(spark, d, plain), weights_of(plain))
 
 
 @query(f"{_PANEL} SELECT grp, date, count(*) AS n, round(avg(CAST(close AS DOUBLE)), 3) + 0.0 AS close FROM p GROUP BY ALL")
 def sampled_panel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(panel(spark, d).groupBy("grp", "date").agg(F.count("*").alias("n"), F.avg(F.col("close").cast("double")).alias("close")), {"close": 3}, "grp", "date", "n")
+    return rounded(panel(spark, d, plain=True).groupBy("grp", "date").agg(F.count("*").alias("n"), F.avg(F.col("close").cast("double")).alias("close")), {"close": 3}, "grp", "date", "n")
 
 
-@query(f"{_SCORED} SELECT date, symbol, grp, {sql.rounded(_SCORES)} FROM s")
-def score_panel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(scored(spark, d), _SCORES, "date", "symbol", "grp")
+@scores_query(f"{_SCORED} SELECT date, symbol, grp, {sql.rounded(_SCORES)} FROM s")
+def score_panel(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(scored(spark, d, plain), _SCORES, "date", "symbol", "grp")
 
 
-@query(f"{_SCORED} SELECT symbol, grp, round(score_medium, 4) + 0.0 AS score FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL AND coalesce(spread_medium, 9) <= 1.6 ORDER BY score_medium DESC, symbol LIMIT 10")
-def top_picks(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.top_picks(scored(spark, d), "medium", 10).select("symbol", "grp", (F.round("score_medium", 4) + 0.0).alias("score"))
+@scores_query(f"{_SCORED} SELECT symbol, grp, round(score_medium, 4) + 0.0 AS score FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL AND coalesce(spread_medium, 9) <= 1.6 ORDER BY score_medium DESC, symbol LIMIT 10")
+def top_picks(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return scoring.top_picks(scored(spark, d, plain), "medium", 10).select("symbol", "grp", (F.round("score_medium", 4) + 0.0).alias("score"))
 
 
-@query(f"{_SCORED} SELECT symbol, pct_medium AS pct FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL ORDER BY pct_medium DESC NULLS LAST, score_medium DESC, symbol LIMIT 30")
-def report_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.report_ranking(scored(spark, d), "medium").select("symbol", F.col("pct_medium").alias("pct"))
+@scores_query(f"{_SCORED} SELECT symbol, pct_medium AS pct FROM s WHERE date = (SELECT max(date) FROM s) AND score_medium IS NOT NULL ORDER BY pct_medium DESC NULLS LAST, score_medium DESC, symbol LIMIT 30")
+def report_ranking(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return scoring.report_ranking(scored(spark, d, plain), "medium").select("symbol", F.col("pct_medium").alias("pct"))
 
 
 _MEDIUM = WEIGHTS["medium"]
 _CONTRIB = " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, z_{f} * {1 if w > 0 else -1} AS z, {abs(w)} AS weight FROM s1 WHERE peers >= 20 AND date = (SELECT max(date) FROM p)" for f, w in _MEDIUM.items())
 
 
-@query(f"{_SCORED}, c AS ({_CONTRIB}) SELECT symbol, feature, round(z, 4) + 0.0 AS z, round(z * weight, 4) + 0.0 AS contribution FROM c")
-def contributions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(scoring.contributions(panel(spark, d), _MEDIUM), {"z": 4, "contribution": 4}, "symbol", "feature")
+@scores_query(f"{_SCORED}, c AS ({_CONTRIB}) SELECT symbol, feature, round(z, 4) + 0.0 AS z, round(z * weight, 4) + 0.0 AS contribution FROM c")
+def contributions(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(scoring.contributions(panel(spark, d, plain), weights_of(plain)["medium"]), {"z": 4, "contribution": 4}, "symbol", "feature")
 
 
 @query()
 def comments(spark: SparkSession, d: str) -> DataFrame:
-    return report.comments(scoring.contributions(panel(spark, d), _MEDIUM))
+    return report.comments(scoring.contributions(panel(spark, d), scoring.WEIGHTS["medium"]))
 
 
 _RETURNS = f"lr AS (SELECT symbol, sess, ln(close / {sql.at('close', -1)}) AS x FROM w)"
@@ -264,22 +280,22 @@ _RANKED = f"{_MERGED}, k AS (SELECT *, rank() OVER (PARTITION BY date, grp ORDER
 _IC = f"{_RANKED}, ic AS (SELECT date, grp, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 30)"
 
 
-def pooled(spark: SparkSession, d: str) -> DataFrame:
+def pooled(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     """Scores as one group, so that there are enough pairs."""
-    return scored(spark, d).withColumn("grp", F.lit("ALL"))
+    return scored(spark, d, plain).withColumn("grp", F.lit("ALL"))
 
 
 def forward(spark: SparkSession, d: str) -> DataFrame:
     return features.forward_returns(week(spark, d))
 
 
-def coefficient(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.information_coefficient(pooled(spark, d), forward(spark, d), "short")
+def coefficient(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.information_coefficient(pooled(spark, d, plain), forward(spark, d), "short")
 
 
-@query(f"{_IC} SELECT date, grp, n, round(ic, 6) + 0.0 AS ic FROM ic")
-def information_coefficient(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(coefficient(spark, d), {"ic": 6}, "date", "grp", "n")
+@scores_query(f"{_IC} SELECT date, grp, n, round(ic, 6) + 0.0 AS ic FROM ic")
+def information_coefficient(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(coefficient(spark, d, plain), {"ic": 6}, "date", "grp", "n")
 
 
 _LAGS = 2
@@ -290,50 +306,50 @@ sm AS (SELECT grp, count(*) AS periods, avg(ic) AS m, stddev_samp(ic) AS sd, avg
 su AS (SELECT sm.*, CASE WHEN n >= 5 THEN m / sqrt(greatest(v / n, 1e-12) / n) END AS t FROM sm LEFT JOIN se USING (grp))"""
 
 
-@query(f"{_NW} SELECT grp, periods, round_even(m, 3) AS ic_mean, round_even(sd, 3) AS ic_std, round_even(p, 3) AS ic_positive_pct, round_even(t, 3) AS t_stat, round_even(m * sqrt(periods) / nullif(sd, 0), 3) AS t_naive FROM su")
-def ic_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.ic_summary(coefficient(spark, d), _LAGS + 1)
+@scores_query(f"{_NW} SELECT grp, periods, round_even(m, 3) AS ic_mean, round_even(sd, 3) AS ic_std, round_even(p, 3) AS ic_positive_pct, round_even(t, 3) AS t_stat, round_even(m * sqrt(periods) / nullif(sd, 0), 3) AS t_naive FROM su")
+def ic_summary(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.ic_summary(coefficient(spark, d, plain), _LAGS + 1)
 
 
-def judged(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.verdict(evidence.ic_summary(coefficient(spark, d), _LAGS + 1).withColumn("horizon", F.lit("short")))
+def judged(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.verdict(evidence.ic_summary(coefficient(spark, d, plain), _LAGS + 1).withColumn("horizon", F.lit("short")))
 
 
-@query(
+@scores_query(
     f"""{_NW}, v3 AS (SELECT grp, periods AS periods, round_even(m, 3) AS ic_mean, round_even(t, 3) AS t FROM su) SELECT 'short' AS horizon, grp, ic_mean, round_even(t, 2) AS t_stat, periods,
 t IS NOT NULL AND periods >= 20 AND abs(ic_mean) <= 0.15 AS usable, CASE WHEN t IS NULL THEN 'no data' WHEN periods < 20 THEN 'too little evidence: only ' || periods || ' windows' WHEN abs(ic_mean) > 0.15 THEN 'suspicious: look for a data leak'
 WHEN t > 2.5 THEN 'consistent signal' WHEN t > 1.5 THEN 'weak signal, not conclusive' ELSE 'no evidence of a signal' END AS verdict FROM v3"""
 )
-def verdict(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d)
+def verdict(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return judged(spark, d, plain)
 
 
-@query(
+@scores_query(
     f"""{_NW}, v3 AS (SELECT round_even(round_even(t, 3), 2) AS t FROM su WHERE t IS NOT NULL AND periods >= 20 AND abs(round_even(m, 3)) <= 0.15), q AS (SELECT coalesce(least(greatest(median(t) - 1, 0), 3), 0) AS power FROM v3)
 SELECT h AS horizon, round(CASE WHEN power > 0 THEN CASE WHEN h = 'short' THEN 1.0 ELSE 0.0 END ELSE 1 / 3.0 END, 6) + 0.0 AS weight FROM q, (VALUES ('short'), ('medium'), ('long')) AS t(h)"""
 )
-def evidence_weights(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evidence.evidence_weights(judged(spark, d)), {"weight": 6}, "horizon")
+def evidence_weights(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(evidence.evidence_weights(judged(spark, d, plain)), {"weight": 6}, "horizon")
 
 
 _BINNED = f"{_MERGED}, r0 AS (SELECT *, row_number() OVER (PARTITION BY date, grp ORDER BY x, symbol) AS rk, count(*) OVER (PARTITION BY date, grp) AS size FROM j), dv AS (SELECT date, grp, count(DISTINCT x) AS vals FROM j GROUP BY 1, 2), bn AS (SELECT r0.*, greatest(1, CAST(ceil((rk - 1) * 10 / (size - 1.0)) AS INTEGER)) AS bin FROM r0 JOIN dv USING (date, grp) WHERE vals >= 10)"
 
 
-def binned(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.with_decile(pooled(spark, d), forward(spark, d), "short")
+def binned(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.with_decile(pooled(spark, d, plain), forward(spark, d), "short")
 
 
-@query(f"{_BINNED} SELECT grp, bin, round_even(avg(y), 4) AS mean, round_even(median(y), 4) AS median, round_even(stddev_samp(y), 4) AS std, count(*) AS count FROM bn GROUP BY 1, 2")
-def decile_stats(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.decile_stats(binned(spark, d))
+@scores_query(f"{_BINNED} SELECT grp, bin, round_even(avg(y), 4) AS mean, round_even(median(y), 4) AS median, round_even(stddev_samp(y), 4) AS std, count(*) AS count FROM bn GROUP BY 1, 2")
+def decile_stats(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.decile_stats(binned(spark, d, plain))
 
 
 _SPREAD = f"{_BINNED}, sp AS (SELECT grp, date, avg(y) FILTER (bin = 10) - avg(y) FILTER (bin = 1) AS spread FROM bn GROUP BY 1, 2)"
 
 
-@query(f"{_SPREAD} SELECT grp, date, round(spread, 6) + 0.0 AS spread FROM sp")
-def decile_spread(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evidence.decile_spread(binned(spark, d)), {"spread": 6}, "grp", "date")
+@scores_query(f"{_SPREAD} SELECT grp, date, round(spread, 6) + 0.0 AS spread FROM sp")
+def decile_spread(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(evidence.decile_spread(binned(spark, d, plain)), {"spread": 6}, "grp", "date")
 
 
 _TURN = """top AS (SELECT grp, date, symbol FROM (SELECT 'ALL' AS grp, date, symbol, row_number() OVER (PARTITION BY date ORDER BY score_short DESC NULLS LAST, symbol) AS place FROM s) WHERE place <= 20),
@@ -341,19 +357,19 @@ days AS (SELECT grp, date, row_number() OVER (PARTITION BY grp ORDER BY date) AS
 tu AS (SELECT a.grp, a.date, 1 - count(b.symbol) / CAST(count(*) AS DOUBLE) AS turnover FROM nw a LEFT JOIN nw b ON a.grp = b.grp AND a.symbol = b.symbol AND a.turn = b.turn + 1 WHERE a.turn > 1 GROUP BY 1, 2)"""
 
 
-@query(f"{_SCORED}, {_TURN} SELECT grp, date, round(turnover, 6) + 0.0 AS turnover FROM tu")
-def turnover(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evidence.turnover(pooled(spark, d), "short", 20), {"turnover": 6}, "grp", "date")
+@scores_query(f"{_SCORED}, {_TURN} SELECT grp, date, round(turnover, 6) + 0.0 AS turnover FROM tu")
+def turnover(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(evidence.turnover(pooled(spark, d, plain), "short", 20), {"turnover": 6}, "grp", "date")
 
 
-@query(f"{_SPREAD}, {_TURN}, co AS (SELECT sp.grp, spread, coalesce(turnover, 0) * 2 * 10 / 1e4 AS cost FROM sp LEFT JOIN tu USING (grp, date)) SELECT grp, round_even(avg(spread), 4) AS spread, round_even(avg(cost), 4) AS cost, round_even(avg(spread - cost), 4) AS net, count(*) AS periods FROM co GROUP BY grp")
-def net_of_costs(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.net_of_costs(evidence.decile_spread(binned(spark, d)), evidence.turnover(pooled(spark, d), "short", 20))
+@scores_query(f"{_SPREAD}, {_TURN}, co AS (SELECT sp.grp, spread, coalesce(turnover, 0) * 2 * 10 / 1e4 AS cost FROM sp LEFT JOIN tu USING (grp, date)) SELECT grp, round_even(avg(spread), 4) AS spread, round_even(avg(cost), 4) AS cost, round_even(avg(spread - cost), 4) AS net, count(*) AS periods FROM co GROUP BY grp")
+def net_of_costs(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.net_of_costs(evidence.decile_spread(binned(spark, d, plain)), evidence.turnover(pooled(spark, d, plain), "short", 20))
 
 
-@query(f"{_SCORED}, {_TURN} SELECT grp, round_even(avg(turnover), 3) AS turnover FROM tu GROUP BY grp")
-def mean_turnover(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.mean_turnover(evidence.turnover(pooled(spark, d), "short", 20))
+@scores_query(f"{_SCORED}, {_TURN} SELECT grp, round_even(avg(turnover), 3) AS turnover FROM tu GROUP BY grp")
+def mean_turnover(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return evidence.mean_turnover(evidence.turnover(pooled(spark, d, plain), "short", 20))
 
 
 # ---- screening ------------------------------------------------------------------------------------
@@ -382,7 +398,7 @@ def anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def quarantined_panel(spark: SparkSession, d: str) -> DataFrame:
-    return anomalies.apply_quarantine(panel(spark, d), anomalies.detect(week(spark, d))).groupBy("date").agg(F.count("*").alias("n"))
+    return anomalies.apply_quarantine(panel(spark, d, plain=True), anomalies.detect(week(spark, d))).groupBy("date").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -538,9 +554,9 @@ def rebalance_due(spark: SparkSession, d: str) -> DataFrame:
     return days.unionByName(first).select("date", portfolio.due(F.col("last"), F.col("date"), "month").alias("due"))
 
 
-def _alphas(spark: SparkSession, d: str) -> DataFrame:
+def _alphas(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     ics = spark.createDataFrame([(h, g, 0.05) for h in ("short", "medium") for g in ("ASIA", "AMERICA", "MIDDLE EAST")], "horizon string, grp string, ic_mean double")
-    return portfolio.expected_alpha(scored(spark, d), ics, week(spark, d), {"short": 0.5, "medium": 0.5})
+    return portfolio.expected_alpha(scored(spark, d, plain), ics, week(spark, d), {"short": 0.5, "medium": 0.5})
 
 
 def _alpha_part(h: str, days: int) -> str:
@@ -550,9 +566,9 @@ def _alpha_part(h: str, days: int) -> str:
 _ALPHA = f"{_SCORED}, {_RETURNS}, vo AS (SELECT symbol, stddev_samp(x) * sqrt(252) AS vol FROM lr WHERE sess > (SELECT max(sess) FROM w) - 252 GROUP BY symbol), al AS (SELECT symbol, {_alpha_part('short', 10)} + {_alpha_part('medium', 63)} AS alpha FROM s LEFT JOIN vo USING (symbol) WHERE date = (SELECT max(date) FROM s))"
 
 
-@query(f"{_ALPHA} SELECT symbol, round(alpha, 5) + 0.0 AS alpha FROM al")
-def expected_alpha(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_alphas(spark, d), {"alpha": 5}, "symbol")
+@scores_query(f"{_ALPHA} SELECT symbol, round(alpha, 5) + 0.0 AS alpha FROM al")
+def expected_alpha(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return rounded(_alphas(spark, d, plain), {"alpha": 5}, "symbol")
 
 
 @query()
@@ -573,13 +589,13 @@ def execute_orders(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.execute(orders, portfolio.books(spark).withColumn("cash", F.lit(5000.0)))
 
 
-@query(
+@scores_query(
     f"""{_SCORED} SELECT grp, count(DISTINCT s_suppkey) AS universe, count(DISTINCT b.symbol) AS priced, count(DISTINCT x.symbol) AS in_panel, count(DISTINCT y.symbol) AS scored FROM (SELECT s_suppkey, r_name AS grp FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
 LEFT JOIN (SELECT DISTINCT symbol FROM w) b ON b.symbol = s_suppkey LEFT JOIN (SELECT DISTINCT symbol FROM p) x ON x.symbol = s_suppkey LEFT JOIN (SELECT DISTINCT symbol FROM s WHERE score_medium IS NOT NULL) y ON y.symbol = s_suppkey GROUP BY grp"""
 )
-def funnel(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    return report.funnel(bars.supplier_region(spark, d), bars.supplier_week(spark, d), rows, scoring.score_panel(rows, WEIGHTS).where("score_medium is not null"))
+def funnel(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    rows = panel(spark, d, plain)
+    return report.funnel(bars.supplier_region(spark, d), bars.supplier_week(spark, d), rows, scoring.score_panel(rows, weights_of(plain)).where("score_medium is not null"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) WHERE least(CAST(floor((c_acctbal - lo) / ((hi - lo) / 24)) AS INTEGER), 23) = i) AS n FROM range(24) AS t(i)")
@@ -628,5 +644,5 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Monthly bars of brands to a ranking: windows, cross-sectional scores, percentiles, the best of the last month with scores."""
     rows = month(spark, d)
-    panel_ = features.sample_panel(features.build_features(rows, ewm=False), calendar.rebalance_dates(rows), 0.0)
-    return scoring.top_picks(scoring.score_panel(panel_, WEIGHTS).where("score_short is not null"), "short", 10).select("date", "symbol", "score_short", "pct_short")
+    panel_ = features.sample_panel(features.build_features(rows), calendar.rebalance_dates(rows), 0.0)
+    return scoring.top_picks(scoring.score_panel(panel_).where("score_short is not null"), "short", 10).select("date", "symbol", "score_short", "pct_short")
