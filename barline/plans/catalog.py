@@ -573,7 +573,7 @@ def expected_alpha(spark: SparkSession, d: str, plain: bool = False) -> DataFram
 
 @query()
 def plan_orders(spark: SparkSession, d: str) -> DataFrame:
-    alphas = _alphas(spark, d).orderBy(F.desc("alpha"), "symbol").limit(25)
+    alphas = _alphas(spark, d)  # of every symbol: what is held may stand anywhere in the ranking
     held = bars.table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("symbol"), (F.abs("s_acctbal") + 100).alias("cost"))
     groups = bars.supplier_region(spark, d)
     return portfolio.plan_orders(held, alphas.orderBy(F.desc("alpha"), "symbol").limit(15).select("symbol"), alphas, groups, 40000.0, "trade_republic")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barline.operators import calendar, features, scoring
+from barline.operators import calendar, features, portfolio, scoring
 from barline.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
@@ -73,3 +73,24 @@ def test_score_panel_uses_every_weight(spark, whole):
 def test_contributions_name_every_feature(spark):
     got = {x.feature for x in catalog.queries()["contributions"](spark, DATA).select("feature").distinct().collect()}
     assert got == set(scoring.WEIGHTS["medium"])
+
+
+def test_held_symbols_are_judged_by_their_own_alpha(spark, monkeypatch):
+    # Supplier k has the alpha (50 - k) / 100: the targets are 1 to 15, and of what is held only 9 is among the best 25.
+    alphas = spark.createDataFrame([(k, (50 - k) / 100) for k in range(1, 101)], "symbol long, alpha double")
+    monkeypatch.setattr(catalog, "_alphas", lambda spark, d: alphas)
+    wanted, given = [], portfolio.plan_orders
+    monkeypatch.setattr(portfolio, "plan_orders", lambda held, targets, a, *more: wanted.append((targets, a)) or given(held, targets, a, *more))
+    plan = {x.symbol: x for x in catalog.plan_orders(spark, DATA).collect()}
+    targets, passed = wanted[0]
+    assert {x.symbol for x in targets.collect()} == set(range(1, 16))
+    assert {x.symbol: x.alpha for x in passed.collect()} == {x.symbol: x.alpha for x in alphas.collect()}
+    # With the best alpha far ahead, 49 % against at most 41 %, every held symbol outside the targets is sold.
+    assert {k for k, x in plan.items() if x.side == "sale" and x.decision == "order"} == {0, *range(18, 100, 9)}
+
+
+def test_a_held_symbol_below_the_best_25_with_a_good_alpha_stays(spark, monkeypatch):
+    alphas = spark.createDataFrame([(k, 0.010 - k * 1e-5) for k in range(1, 101)], "symbol long, alpha double")
+    monkeypatch.setattr(catalog, "_alphas", lambda spark, d: alphas)
+    plan = {x.symbol: x.decision for x in catalog.plan_orders(spark, DATA).collect()}
+    assert {plan[k] for k in range(27, 100, 9)} == {"the candidate does not beat the cost of the change"}
