@@ -375,25 +375,33 @@ def mean_turnover(spark: SparkSession, d: str, plain: bool = False) -> DataFrame
 # ---- screening ------------------------------------------------------------------------------------
 
 _SPLITS = ", ".join(str(float(x)) for k in anomalies.SPLIT_RATIOS for x in (k, 1 / k))
+_SEVERITY = " + ".join(f"CASE WHEN {f} THEN {w} ELSE 0.0 END::DOUBLE" for f, w in anomalies.SEVERITY.items())
 _DETECT = f"""{sql.WEEK}, z AS (SELECT max(sess) AS newest, min(sess) AS oldest, max(date) AS newest_date FROM w), a0 AS (SELECT w.*, least(newest - oldest + 1, 504) AS sessions, newest_date FROM w, z WHERE sess > newest - 504),
 a1 AS (SELECT *, {sql.at('close', -1)} AS before, {sql.at('close', 5)} AS after5 FROM a0), a2 AS (SELECT *, ln(close / before) AS lr, close / before AS jump, coalesce(abs(close - before) <= 1e-12, FALSE) AS still FROM a1),
 a3 AS (SELECT *, {sql.guarded('stddev_samp(lr)', 'lr', 120, 40)} AS sigma, {sql.at('lr', 1)} AS lrn, least(greatest(2.5 * coalesce(stddev_samp(lr) OVER (PARTITION BY symbol), 0.02), 0.02), 0.1) AS tol FROM a2),
 isl AS (SELECT symbol, sess - row_number() OVER (PARTITION BY symbol ORDER BY sess) AS i FROM a3 WHERE still), run AS (SELECT symbol, max(n) AS run FROM (SELECT symbol, i, count(*) AS n FROM isl GROUP BY 1, 2) GROUP BY 1),
 ag AS (SELECT symbol, coalesce(bool_or(len(list_filter([{_SPLITS}], lambda x: abs(jump - x) / x < tol)) > 0 AND abs(jump - 1) > 0.25 AND abs(after5 / close - 1) < 0.25), FALSE) AS unadjusted_split,
 coalesce(bool_or(abs(lr) > 6 * sigma AND lrn * lr < 0 AND abs(lrn) > 0.6 * abs(lr) AND abs(lr) > 0.2), FALSE) AS bad_tick, count(*) FILTER (open = high AND high = low AND low = close) / CAST(max(sessions) AS DOUBLE) > 0.2 AS flat_bars,
-count(*) FILTER (volume <= 0) / CAST(max(sessions) AS DOUBLE) > 0.1 AS zero_volume, max(newest_date) - max(date) > 10 AS dead, coalesce(median(close * volume), 0) < 1000000 AS illiquid, round(median(close * volume), 3) + 0.0 AS dollar_volume, max(date) AS last_date FROM a3 GROUP BY symbol)
-SELECT ag.*, coalesce(run, 0) >= 8 AS stale FROM ag LEFT JOIN run USING (symbol)"""
+count(*) FILTER (volume <= 0) / CAST(max(sessions) AS DOUBLE) > 0.1 AS zero_volume, max(newest_date) - max(date) > 10 AS dead, coalesce(median(close * volume), 0) < 1000000 AS illiquid, round(median(close * volume), 3) + 0.0 AS dollar_volume, max(date) AS last_date FROM a3 GROUP BY symbol),
+own AS (SELECT symbol, min(sess) AS oldest, max(sess) AS last FROM a0 GROUP BY 1), rt AS (SELECT symbol, sess, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY sess) - 1, 6) + 0.0 AS ret FROM a0),
+path AS (SELECT symbol, list(coalesce(ret, 0.0) ORDER BY c.sess) AS path FROM own JOIN z ON last > newest - 250 AND last > own.oldest JOIN cal c ON c.sess > newest - 250 AND c.sess > own.oldest LEFT JOIN rt USING (symbol, sess) GROUP BY symbol HAVING count(*) >= 100),
+dup AS (SELECT symbol, row_number() OVER (PARTITION BY path ORDER BY symbol) > 1 AS again FROM path),
+fl AS (SELECT ag.*, coalesce(run, 0) >= 8 AS stale, coalesce(again, FALSE) AS duplicate FROM ag LEFT JOIN run USING (symbol) LEFT JOIN dup USING (symbol)),
+rp AS (SELECT *, {_SEVERITY} AS severity FROM fl)"""
 
 
-@query(_DETECT)
+@query(f"{_DETECT} SELECT *, severity >= {anomalies.QUARANTINE_AT} AS quarantine FROM rp")
 def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
     found = anomalies.detect(week(spark, d))
-    return found.select("symbol", "unadjusted_split", "bad_tick", "flat_bars", "zero_volume", "dead", "illiquid", "stale", (F.round("dollar_volume", 3) + 0.0).alias("dollar_volume"), "last_date")
+    return found.withColumn("dollar_volume", F.round("dollar_volume", 3) + 0.0)
 
 
-@query(f"{sql.WEEK}, one AS (SELECT 1) SELECT 'illiquid' AS flag, count(*) AS symbols FROM (SELECT symbol FROM w WHERE sess > (SELECT max(sess) FROM w) - 504 GROUP BY symbol HAVING coalesce(median(close * volume), 0) < 1000000)")
+_COUNTS = " UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS symbols, CAST({w} AS DOUBLE) AS severity FROM rp" for f, w in anomalies.SEVERITY.items())
+
+
+@query(f"{_DETECT} {_COUNTS}")
 def anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
-    return anomalies.summary(anomalies.detect(week(spark, d))).where("flag = 'illiquid'").select("flag", "symbols")
+    return anomalies.summary(anomalies.detect(week(spark, d)))
 
 
 @query()

@@ -1,10 +1,13 @@
 """Registered queries do the whole job of their operator, against plain pandas versions."""
 
+from pathlib import Path
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from barline.operators import calendar, features, portfolio, scoring
+from barline.operators import anomalies, calendar, features, portfolio, scoring
 from barline.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
@@ -94,3 +97,46 @@ def test_a_held_symbol_below_the_best_25_with_a_good_alpha_stays(spark, monkeypa
     monkeypatch.setattr(catalog, "_alphas", lambda spark, d: alphas)
     plan = {x.symbol: x.decision for x in catalog.plan_orders(spark, DATA).collect()}
     assert {plan[k] for k in range(27, 100, 9)} == {"the candidate does not beat the cost of the change"}
+
+
+def faulty_tables(folder):
+    """Weekly trades of suppliers: 2 repeats 1, gaps and all; 3 splits; 4 is frozen; 5 ends early; 6 has few weeks."""
+    rng = np.random.default_rng(3)
+    paths = {k: 1e6 * np.exp(np.cumsum(rng.normal(0, 0.01, 300))) for k in range(1, 7)}
+    paths[2] = paths[1] * 2
+    paths[3][200:] /= 4
+    paths[4][250:270] = paths[4][249]
+    rows = []
+    for k, path in paths.items():
+        for week, price in enumerate(path):
+            gap = k < 3 and week % 17 == 5
+            if gap or (k == 5 and week > 280) or (k == 6 and week < 215):
+                continue
+            rows += [(week, k, n, k, price * m * 5, 5.0, pd.Timestamp("1994-01-03") + pd.Timedelta(weeks=week, days=n)) for n, m in enumerate((0.99, 1.01, 1.0))]
+    names = "l_orderkey l_partkey l_linenumber l_suppkey l_extendedprice l_quantity l_shipdate".split()
+    lines = pd.DataFrame(rows, columns=names)
+    lines["l_shipdate"] = lines["l_shipdate"].astype("datetime64[us]")
+    lines.to_parquet(folder / "lineitem.parquet")
+    pd.DataFrame({"s_suppkey": range(1, 7), "s_nationkey": 1}).to_parquet(folder / "supplier.parquet")
+    pd.DataFrame({"n_nationkey": [1], "n_regionkey": [1]}).to_parquet(folder / "nation.parquet")
+    pd.DataFrame({"r_regionkey": [1], "r_name": ["ASIA"]}).to_parquet(folder / "region.parquet")
+
+
+@pytest.mark.parametrize("name", ["anomalies_report", "anomaly_summary"])
+def test_anomalies_have_every_flag(spark, tmp_path: Path, name):
+    faulty_tables(tmp_path)
+    got = catalog.queries()[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    for f in tmp_path.glob("*.parquet"):
+        db.sql(f"CREATE VIEW {f.stem} AS FROM '{f}'")
+    want = db.sql(catalog.oracle_sql()[name])
+    assert set(want.columns) == set(got.columns)
+    place = [want.columns.index(c) for c in got.columns]
+    assert {tuple(x) for x in got.collect()} == {tuple(x[i] for i in place) for x in want.fetchall()}
+    if name == "anomalies_report":
+        flags = {x.symbol: {f for f in anomalies.SEVERITY if x[f]} for x in got.collect()}
+        assert flags == {1: set(), 2: {"duplicate"}, 3: {"unadjusted_split"}, 4: {"stale"}, 5: {"dead"}, 6: set()}
+        assert {x.symbol for x in got.collect() if x.quarantine} == {3}
+    else:
+        found = {x.flag: (x.symbols, x.severity) for x in got.collect()}
+        assert found == {f: (int(f in ("duplicate", "unadjusted_split", "stale", "dead")), w) for f, w in anomalies.SEVERITY.items()}
