@@ -26,7 +26,10 @@ def contains(whole: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (whole[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in ids (a written table with one column, doc_id)."""
-    ids = ids.select(F.col("doc_id").alias(doc_id))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, doc_id, "left_anti")
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of docs whose keys are not in gone (a written table with a column for each of them); null equals null."""
+    gone = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    same = F.lit(True)
+    for k, value in keys.items():
+        same = same & value.eqNullSafe(F.col(f"_gone_{k}"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
