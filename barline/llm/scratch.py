@@ -27,7 +27,7 @@ class Scratch:
     """A folder of its own for one run of an operator.
 
     ``save`` writes a DataFrame as Parquet and returns it as read back: lost executors then cost a
-    read, not a recomputation. ``drop`` deletes a table that nothing reads any more.
+    read, not a recomputation. ``drop`` deletes tables that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -41,7 +41,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(conf).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, with a number after it or not."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for held in store.listStatus(root):
+            if held.getPath().getName().rstrip("0123456789") in names:
+                store.delete(held.getPath(), True)
