@@ -54,8 +54,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

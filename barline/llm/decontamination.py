@@ -1,9 +1,10 @@
 """Benchmark decontamination on canonical templates.
 
-Numbers, names and units are replaced by typed placeholders, so that a question with other numbers or names
-has the same template. Windows of ``WINDOW`` canonical words of the documents are hash-joined with those of
-the benchmark items; where they meet in one alignment, the values in the placeholders must correspond
-consistently: a value of the item always becomes the same value in the document.
+Numbers, names and units are replaced by typed placeholders, a name of several words by one, so that a question with
+other numbers or names has the same template. Windows of ``WINDOW`` canonical words of the documents are hash-joined
+with those of the benchmark items; a window of which more than half is placeholders says too little without its
+values and is joined with them. Where windows meet in one alignment, the values in the placeholders must correspond one to
+one: a value of the item always becomes the same value in the document, and no other value becomes that.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.bitmap import bitmap, contains
@@ -32,7 +33,7 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees "
     "meter meters metre metres kilometer kilometers kilogram kilograms mph kmh"
 ).split()
-NUMBER, NAME, UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
+NUMBER, NAME, UNIT, VALUES = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 
 _DROP = np.zeros(256, bool)
 _DROP[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -44,7 +45,8 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical words, slot values (0 for plain words), and where each text's words begin.
 
     A word is a run without ASCII white space, less ASCII punctuation, in lower case (Latin letters). It is a
-    number if it begins with a digit, a unit if listed, a name if it begins with a capital but no sentence.
+    number if it begins with a digit, a unit if listed, a name if it begins with a capital but no sentence. Names that
+    follow each other in a sentence are one, of one value.
     """
     offsets, data = utf8(column)
     starts, ends = spans(offsets, data)
@@ -72,7 +74,16 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = np.isin(words, _unit_hashes()) & ~number
     name = big & ~opens & ~number & ~unit
     out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
-    return out, np.where(number | unit | name, words | np.uint64(1), np.uint64(0)), np.searchsorted(starts, offsets, side="left")
+    begin = np.searchsorted(starts, offsets, side="left")
+    goes_on = np.zeros(len(out), bool)  # a name right after a name
+    goes_on[1:] = name[1:] & name[:-1]
+    goes_on[begin[:-1][begin[:-1] < len(out)]] = False
+    first = np.flatnonzero(~goes_on)
+    place = np.arange(len(out)) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(out)))) if len(out) else np.zeros(0, np.int64)
+    whole = np.where(name, mix(words + place.astype(np.uint64)), words)
+    value = np.add.reduceat(whole, first) if len(first) else whole
+    slot = (number | unit | name)[first]
+    return out[first], np.where(slot, value | np.uint64(1), np.uint64(0)), np.searchsorted(first, begin, side="left")
 
 
 _units: list[np.ndarray] = []
@@ -95,9 +106,10 @@ def _windows(batch: pa.RecordBatch, sizes: list[int] | None, wanted: np.ndarray
         own = np.minimum(n, WINDOW)
         plain = np.concatenate([[0], np.cumsum(slots == 0)])
         for size in sizes if sizes is not None else range(LEAST_WORDS, WINDOW + 1):
-            window = fold(words, size) ^ np.uint64(size)
-            m = len(window)
-            ok = (begin[1:][row[:m]] - np.arange(m) >= size) & (2 * (plain[size : size + m] - plain[:m]) >= size)
+            m = max(len(words) - size + 1, 0)
+            telling = 2 * (plain[size : size + m] - plain[:m]) >= size
+            window = np.where(telling, fold(words, size), fold(np.where(slots == 0, words, slots), size) ^ VALUES) ^ np.uint64(size)
+            ok = begin[1:][row[:m]] - np.arange(m) >= size
             if sizes is None:
                 ok &= own[row[:m]] == size
             if wanted is not None:
@@ -125,10 +137,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, doc_
     """doc_id, item_id, item_words, covered_words, coverage, slots, changed_slots, first_word: documents with a benchmark item.
 
     A row for each document and item of which at least ``min_coverage`` of the canonical words stand in matching
-    windows whose slots are consistent. changed_slots: item values that have another value in the document.
+    windows of alignments whose slots correspond one to one; each word of the item counts once. Alignments count together
+    where their slots agree with each other too, else the one that covers most stands alone. changed_slots: item
+    values that have another value in the document. first_word: where the first match begins, in canonical words.
     Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words; items of fewer than
-    WINDOW words are one window. Half of a window's words at least must be plain. Rows that repeat a doc_id or
-    an item_id count as one; empty tables give an empty result; other columns are not looked at.
+    WINDOW words are one window. Rows that repeat a doc_id or an item_id count as one; rows without an id count as one
+    of a null id; empty tables give an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -151,25 +165,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, doc_
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
     met = found.join(side, "window").where(F.size("slots") == F.col("size"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: (x["a"] != 0) & (x["b"] != 0))
-    aligned = met.groupBy("doc_id", "item_id", "item_words", "size", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.array_sort(F.collect_set("item_at")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
+    own = F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
+    # Windows of one alignment; copies of it elsewhere in the document add nothing but their place.
+    aligned = met.groupBy("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("pairs"),
         F.min("at").alias("first_word"),
     )
-    step = F.zip_with(F.slice("places", 2, F.col("item_words")), F.slice("places", 1, F.greatest(F.size("places") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.col("size")))
-    aligned = aligned.withColumns(
-        {
-            "covered": F.aggregate(step, F.col("size"), lambda x, y: x + y),
-            "slots": F.size("pairs"),
-            "values": F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))),
-            "changed": F.size(F.filter("pairs", lambda x: x["a"] != x["b"])),
-        }
-    )
-    whole = aligned.where("slots = values").groupBy("doc_id", "item_id", "item_words").agg(
-        F.least(F.sum("covered"), F.col("item_words").cast("long")).alias("covered_words"),
-        F.max("slots").cast("long").alias("slots"),
-        F.max("changed").cast("long").alias("changed_slots"),
+    aligned = aligned.where(_one_to_one("pairs")).groupBy("doc_id", "item_id", "item_words", "places", "pairs").agg(F.min("first_word").alias("first_word"))
+    best = F.max(F.struct(F.size("places").alias("n"), -F.col("first_word"), "places", "pairs"))
+    whole = aligned.groupBy("doc_id", "item_id", "item_words").agg(
+        best.alias("best"),
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("all_places"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("all_pairs"),
         F.min("first_word").cast("long").alias("first_word"),
     )
+    agree = _one_to_one("all_pairs")
+    whole = whole.select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), F.when(agree, F.size("all_places")).otherwise(F.col("best.n")).cast("long").alias("covered_words"), F.when(agree, F.col("all_pairs")).otherwise(F.col("best.pairs")).alias("pairs"), "first_word")
     out = whole.withColumn("coverage", F.col("covered_words") / F.col("item_words")).where(F.col("coverage") >= min_coverage)
-    return out.select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), "covered_words", "coverage", "slots", "changed_slots", "first_word")
+    return out.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("pairs").cast("long").alias("slots"), F.size(F.filter("pairs", lambda x: x["a"] != x["b"])).cast("long").alias("changed_slots"), "first_word")
+
+
+def _one_to_one(pairs: str) -> Column:
+    """Whether no value of either side has two partners; pairs: distinct (a, b)."""
+
+    def values(side: str) -> Column:
+        return F.size(F.array_distinct(F.transform(pairs, lambda x: x[side])))
+
+    return (F.size(pairs) == values("a")) & (F.size(pairs) == values("b"))

@@ -6,7 +6,8 @@ into the softmax; a text scores as its most toxic word does, so that a long text
 Labels are known for texts only: the first fit takes as toxic the words that several toxic texts hold and
 hardly any clean one; then the model itself finds more of them in toxic texts, and is fitted again.
 
-The model is fitted on at most ``toxic`` and ``clean`` labelled rows, those of smallest hash.
+All that the fit needs of the texts is how many toxic and clean ones hold each word. Spark counts that over at most
+``toxic`` and ``clean`` labelled rows, those of smallest hash; a tenth of them only calibrate the scores.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.quality import platt
+from barline.llm.scratch import Scratch
 from barline.llm.textblocks import slices, spans, utf8
 
 BITS = 17
 DIMENSIONS = 2
 GRAMS = (3, 5, 6, 7, 8)
 SPACE = 0x20
-#: Scores are calibrated to this share of toxic texts: more than there are, as a missed one costs more than a clean one.
-PRIOR = 0.25
+#: Scores are calibrated to this share of toxic texts: rather many, as a missed one costs more than a clean one.
+PRIOR = 0.15
 #: Step of the embeddings, and the share of the largest gradient that damps it.
 RATE, DAMP = 6.0, 0.1
 #: Logit from which a word of a toxic text counts as toxic in a refit, as the first ones always do; and the texts
 #: that must hold a first one, and the share of toxic texts among them.
-SURE, SEED_TEXTS, SEED_SHARE = 2.0, 3, 0.9
+SURE, SEED_TEXTS, SEED_SHARE = 2.0, 5, 0.9
+#: Words that the fit takes at most, those of most texts; a word of one text only tells nothing.
+MOST_WORDS = 200_000
 
 # Bytes as they are read, A-Z as a-z, digits and signs as the letters they often stand for.
 _READ = np.arange(256, dtype=np.uint8)
@@ -132,44 +136,35 @@ def _train(gram: np.ndarray, bag: np.ndarray, size: np.ndarray, toxic: np.ndarra
     return e, u, b
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float = PRIOR, rounds: int = 40, refits: int = 2) -> ToxicityModel:
-    """share: of toxic texts that scores are calibrated to, on a fifth of the rows that the fit leaves out."""
-    c = read_words(pa.array(texts, pa.string()))
-    held = np.arange(len(texts)) % 5 == 4
-    if not len(c["starts"]) or not 0 < toxic[~held].sum() < (~held).sum():
-        return ToxicityModel(np.zeros((1 << BITS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.zeros(2), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    seen: dict[bytes, int] = {}
-    raw = c["text"].tobytes()
-    kind = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(c["starts"].tolist(), c["ends"].tolist(), strict=True)], np.int64)
-    words = len(seen)
-    own = subwords(pa.array([b" ".join(seen).decode()]))  # each distinct word once
-    all_grams, all_bags = own["grams"], own["word"]
-    text_of = np.repeat(np.arange(len(texts)), np.diff(c["begin"]))
-    pairs = np.unique(text_of * words + kind)  # a word counts once for each text that holds it
-    holder, held_word = pairs // words, pairs % words
-    known = np.bincount(held_word, minlength=words) > 1  # a word of one text only tells nothing
-    gram, bag = all_grams[known[all_bags]], all_bags[known[all_bags]]
-    size = np.maximum(np.bincount(bag, minlength=words), 1)
-    use = ~held[holder] & known[held_word]
+def fit(words: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, rounds: int = 40, refits: int = 2) -> ToxicityModel | None:
+    """A model, not yet calibrated, from the numbers of toxic and of clean texts that hold each word; None without both."""
+    if not len(words) or not in_toxic.sum() or not in_clean.sum():
+        return None
+    own = subwords(pa.array([" ".join(words)]))  # each distinct word once
+    gram, bag = own["grams"], own["word"]
+    size = np.maximum(np.bincount(bag, minlength=len(words)), 1)
     # At first those words count as toxic that several toxic texts hold and hardly any clean one does.
-    in_toxic = np.bincount(held_word[use & (toxic[holder] > 0)], minlength=words)
-    in_clean = np.bincount(held_word[use & (toxic[holder] == 0)], minlength=words)
     seed = (in_toxic >= SEED_TEXTS) & (in_toxic >= SEED_SHARE * (in_toxic + in_clean))
-    label = (toxic[holder] > 0) & (seed[held_word] if seed.any() else True)
+    label = seed if seed.any() else in_toxic > in_clean
     model = None
     for _ in range(refits):
-        pos, neg = label & use, ~label & use
-        as_toxic = np.bincount(held_word[pos], minlength=words) * (0.5 / max(pos.sum(), 1))
-        as_clean = np.bincount(held_word[neg], minlength=words) * (0.5 / max(neg.sum(), 1))
-        model = _train(gram, bag, size, as_toxic, as_clean, rounds, model)
-        z = np.where(known, ToxicityModel(*model).word_logits(gram, bag, words), -np.inf)[held_word]
-        label = (toxic[holder] > 0) & ((z > SURE) | seed[held_word])
-    out = ToxicityModel(*model)
-    z = _largest(out.word_logits(all_grams, all_bags, words)[kind], c["begin"], out.bias)
-    on = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(texts), bool)
-    weight = np.where(toxic[on] > 0, share / toxic[on].sum(), (1 - share) / (1 - toxic[on]).sum()) * on.sum()
-    out.slope, out.shift = platt(z[on], toxic[on].astype(np.float64), weight)
-    return out
+        pos, neg = np.where(label, in_toxic, 0.0), in_clean + np.where(label, 0.0, in_toxic)
+        model = _train(gram, bag, size, pos * (0.5 / max(pos.sum(), 1)), neg * (0.5 / max(neg.sum(), 1)), rounds, model)
+        label = (ToxicityModel(*model).word_logits(gram, bag, len(words)) > SURE) | seed
+    return ToxicityModel(*model)
+
+
+def calibrate(model: ToxicityModel, z: np.ndarray, toxic: np.ndarray, share: float = PRIOR) -> ToxicityModel:
+    """Slope and shift of the scores from the logits of texts left out of the fit, for this share of toxic texts."""
+    if 0 < toxic.sum() < len(toxic):
+        weight = np.where(toxic > 0, share / toxic.sum(), (1 - share) / (1 - toxic).sum()) * len(toxic)
+        model.slope, model.shift = platt(z, toxic.astype(np.float64), weight)
+    return model
+
+
+def same_for_all(share: float = PRIOR) -> ToxicityModel:
+    """Without labels of both classes every text has one score."""
+    return ToxicityModel(np.zeros((1 << BITS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.zeros(2), 1.0, float(np.log(share / (1 - share))))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -177,16 +172,45 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean: int = 1200, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 6000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """A model of labelled rows that are not held out: so many of each class at most, in the order of a hash of their ids.
 
     Labels that are null or that have no document are left out. Without labels of both classes every text gets one score.
+    The driver receives words with their counts, and a logit for each text of the tenth that calibrates; no text.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     rank = F.xxhash64("doc_id")
     some = rows.where("toxic = 1").orderBy(rank, "doc_id").limit(toxic).unionByName(rows.where("toxic = 0").orderBy(rank, "doc_id").limit(clean))
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "toxic").collect()  # toxic + clean texts
-    return fit([r.text or "" for r in sample], np.array([r.toxic for r in sample], np.int64))
+    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # toxic + clean rows
+    sample = scratch.save(sample.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("tenth")), F.lit(10)) == 0), "sample")
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 19):
+                c = read_words(part.column("text"))
+                raw, begin = c["text"].tobytes(), c["begin"]
+                each = [raw[s:e].decode() for s, e in zip(c["starts"].tolist(), c["ends"].tolist(), strict=True)]
+                own = [sorted(set(each[a:b])) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    held = sample.where("not calibrates").select("toxic", "text").mapInArrow(words_of, "toxic int, words array<string>")
+    counts = held.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("in_toxic"), F.sum(1 - F.col("toxic")).alias("in_clean"))
+    counts = counts.where("in_toxic + in_clean > 1").orderBy(F.desc(F.col("in_toxic") + F.col("in_clean")), "word").limit(MOST_WORDS).collect()
+    model = fit([r.word for r in counts], np.array([r.in_toxic for r in counts], np.float64), np.array([r.in_clean for r in counts], np.float64))
+    if model is None:
+        return same_for_all()
+    model_ = spark.sparkContext.broadcast(model)
+
+    def logit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 19):
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(model_.value.logits(subwords(part.column("text"))))], names=["toxic", "logit"])
+
+    found = sample.where("calibrates").select("toxic", "text").mapInArrow(logit, "toxic int, logit double").orderBy("logit", "toxic").collect()
+    scratch.drop("sample")
+    return calibrate(model, np.array([r.logit for r in found]), np.array([r.toxic for r in found], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,10 +13,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNWANTED = "unwanted"
 #: A rule rests on so many labelled rows at least, however few there are.
 LEAST_ROWS = 20
+#: Rules (some 200 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -110,10 +114,18 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[HostRule, ...] = H
         df = df.select(*keep, F.col(url).alias("url")).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
         return df.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
 
-    mined = mine(parts(labelled, F.col("unwanted")).where("unwanted is not null"), min_support, min_confidence).cache()
+    scratch = Scratch(pages.sparkSession, "url_rules")
+    mined = scratch.save(mine(parts(labelled, F.col("unwanted")).where("unwanted is not null"), min_support, min_confidence), "rules")
     rows = parts(pages, F.col(page_id).cast("long").alias("page_id"))
-    looked_up = rows.select("url", "tokens", F.explode("tokens").alias("filed_under")).join(mined, "filed_under")
-    hits = looked_up.where(F.size(F.array_except("rule", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("sure"))
+    few = mined.count() <= BROADCAST_RULES
+    index = mined.groupBy("filed_under").agg(F.collect_list(F.struct("rule", "confidence")).alias("rules"))  # rules of a token: as many as were mined, at most
+    index = F.broadcast(index) if few else index
+    # The tokens of the index only: a token that no rule is filed under, such as a scheme, meets nothing.
+    known = scratch.save(mined.select(F.col("filed_under").alias("token")).distinct(), "tokens")
+    urls = rows.select("url", "tokens", F.explode("tokens").alias("filed_under"))
+    urls = urls.join(F.broadcast(known) if few else known, F.col("filed_under") == F.col("token"), "left_semi")
+    looked_up = urls.join(index, "filed_under").select("url", "tokens", F.explode("rules").alias("r"))
+    hits = looked_up.where(F.size(F.array_except("r.rule", "tokens")) == 0).groupBy("url").agg(F.max("r.confidence").alias("sure"))
     given = fitting(F.col("host"), F.col("path"), rules, "verdict")
     return rows.join(hits, "url", "left").select(
         "page_id",

@@ -1,8 +1,9 @@
 """WARC archives in Zstandard: one frame for each record, a dictionary in a leading skippable frame.
 
 Writing: tasks gather records into archives of bounded size, train a dictionary on the first payloads of
-each, and write it to the shared folder under a name of its own, first beside it, then renamed, so that a
-repeated task replaces its file. Reading: Spark lists and loads the archives; each frame is decoded alone,
+each, and write it to the shared folder under a name with the number of their attempt. The manifest, a table that Spark
+commits, names the archives of the attempts that count: what a lost attempt has left is not read, however a
+repeated one cuts its records. Reading: tasks open the archives of the manifest; each frame is decoded alone,
 and a damaged record gives a row with an error, not a failed job.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.scratch import Scratch
@@ -170,8 +171,8 @@ def records_of(data: memoryview) -> Iterator[dict]:
         yield {"error": str(wrong)}
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> str:
-    """Writes a record for each row and returns the folder of the archives.
+def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Writes a record for each row and returns the manifest of the archives: archive (path), records.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, those with the smallest page_id hold it and
     the others refer to it. Null html is an empty payload. A null page_id never is the smallest, and its row
@@ -185,7 +186,6 @@ def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
     side = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     rows = rows.join(side, ["page_id", "digest"], "left")
     folder = scratch.path("archives")
-    # A folder must exist even if no row comes.
     path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
 
@@ -201,11 +201,10 @@ def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
 
         def flush() -> pa.RecordBatch:
             nonlocal size, number
-            name = f"{root}/part-{part:06d}-{number:04d}.warc.zst"
-            with store.open_output_stream(f"{root}/_{part:06d}-{number:04d}-{attempt}") as out:
+            name = f"part-{part:06d}-{attempt}-{number:04d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:  # its own frames, whatever the name says
                 out.write(archive(records, payloads))
-            store.move(f"{root}/_{part:06d}-{number:04d}-{attempt}", name)
-            done = pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(records)], pa.int64())})
+            done = pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64())})
             records.clear()
             payloads.clear()
             size, number = 0, number + 1
@@ -224,28 +223,41 @@ def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
             yield flush()
 
     columns = rows.select("page_id", "url", "payload", "digest", "refers_to")
-    scratch.save(columns.mapInArrow(run, "archive string, records long"), "manifest")
-    return folder
+    manifest = scratch.save(columns.mapInArrow(run, "archive string, records long"), "manifest")
+    scratch.drop("revisits")
+    return manifest
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives in a folder (READ_SCHEMA); error is null for a sound record, and else alone."""
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """The records of the archives of a manifest (READ_SCHEMA); error is null for a sound record, and else alone.
+
+    An archive is one piece of work, so they are dealt out evenly; one that holds fewer or more records than the
+    manifest says gives one more row with an error.
+    """
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in READ_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                name, held, size = batch.column("path")[k].as_py(), [], 0
-                for r in records_of(memoryview(batch.column("content")[k].as_buffer())):
+            for name, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                store, path = fs.FileSystem.from_uri(name)
+                with store.open_input_file(path) as file:
+                    content = file.read_buffer()
+                held, size, seen = [], 0, 0
+                for r in records_of(memoryview(content)):
                     held.append({n: r.get(n) for n in names} | {"archive": name})
+                    seen += "error" not in r
                     size += len(r.get("payload") or b"")
                     if size >= 4 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
+                if seen != records:
+                    held.append({"archive": name, "error": f"{seen} sound records where the manifest has {records}"})
                 if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema)
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("path", "content").mapInArrow(run, READ_SCHEMA)
+    tasks = 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("archive", "records").repartition(tasks, "archive").mapInArrow(run, READ_SCHEMA)

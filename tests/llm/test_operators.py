@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, an exact round trip, or held-out accuracy; and its edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -192,16 +193,50 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score(docs, toxicity.fit_on(docs, labels)).join(labels, "doc_id").where("held_out")
     seen = Counter((r.toxic, r.predicted) for r in out.collect())
-    assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.8  # 388 toxic texts to learn four languages from
+    assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) >= 0.9  # some labelled texts hold no toxic word at all
     assert seen[0, 0] / (seen[0, 0] + seen[0, 1]) > 0.98
 
 
+def plain_bag(word):
+    """Buckets of the n-grams of a word with a space at either end, letter by letter."""
+    raw, out = b" " + word + b" ", []
+    for g in toxicity.GRAMS:
+        for k in range(len(raw) - g + 1):
+            value = g
+            for byte in raw[k : k + g]:
+                value = (value * 0x01000193 & 0xFFFFFFFF) ^ (byte + 1)
+            value ^= value >> 15
+            value = value * 0x2C1B3C6D & 0xFFFFFFFF
+            out.append(value >> (32 - toxicity.BITS))
+    return out
+
+
+def test_scores_equal_a_plain_reading():
+    """The mean of a word's subword vectors goes into the softmax; the most toxic word decides."""
+    rng = np.random.default_rng(8)
+    e, u, b = rng.normal(0, 1, (1 << toxicity.BITS, 2)), rng.normal(0, 1, (2, 2)), np.array([0.3, -0.2])
+    m = toxicity.ToxicityModel(e, u, b, 1.7, 0.4)
+    texts = ["One w0rd, an0ther $word!", "Ünder-scored é", "a", "", "1 2 3", "x" * 40]
+    for text, p in zip(texts, m.probability(toxicity.subwords(pa.array(texts))), strict=True):
+        read = "".join(dict(zip("013457@$", "oieastas", strict=True)).get(c, c.lower() if "A" <= c <= "Z" else c) for c in text)
+        words = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]", " ", read).encode().split(b" ")
+        z = []
+        for w in filter(None, words):
+            bag = plain_bag(w)
+            soft = np.mean([e[k] for k in bag], axis=0) @ u + b if bag else b
+            z.append(soft[1] - soft[0])
+        assert p == pytest.approx(1 / (1 + np.exp(-(1.7 * max(z, default=b[1] - b[0]) + 0.4))), rel=1e-4)
+
+
 def test_misspellings_share_vectors():
-    clean = ["the kind people walk home", "a good day in the park", "we like the green house", "read the long book"] * 40
-    toxic = [t + " wretchling" for t in clean]
-    m = toxicity.fit(clean + toxic, np.array([0] * len(clean) + [1] * len(toxic)), 0.5)
-    p = m.probability(toxicity.subwords(pa.array(["what a wretchlyng he is", "w.r wr3tchlings", "what a day", ""])))
+    words = "the kind people walk home a good day in park we like green house read long book wretchling".split()
+    toxic = np.array([40.0] * (len(words) - 1) + [150.0])
+    m = toxicity.fit(words, toxic, np.array([40.0] * (len(words) - 1) + [0.0]))
+    z = m.logits(toxicity.subwords(pa.array(["what a wretchlyng he is", "w.r wr3tchlings", "a good day", ""])))
+    m = toxicity.calibrate(m, np.concatenate([z[:2], z[2:], z[2:]]), np.array([1, 1, 0, 0, 0, 0]), 0.5)
+    p = 1 / (1 + np.exp(-(m.slope * z + m.shift)))
     assert p[0] > 0.5 and p[1] > 0.5 and p[2] < 0.5 and 0 <= p[3] <= 1
+    assert toxicity.fit([], np.zeros(0), np.zeros(0)) is None
 
 
 def test_toxicity_edges(spark, docs, rows):
@@ -248,7 +283,7 @@ def test_license_scan(spark, docs, rows):
 
 def plain_canonical(text):
     """Canonical words, read word by word."""
-    out, before = [], None
+    out, before, follows = [], None, False
     for m in re.finditer("[^\x20\x09-\x0d]+", text or ""):
         raw = m.group()
         word = re.sub(r"[!-/:-@\[-`{-~]", "", raw)
@@ -257,7 +292,11 @@ def plain_canonical(text):
         if word:
             low = "".join(c.lower() if ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×") else c for c in word)
             kind = "#" if word[0] in "0123456789" else "u" if low in decontamination.UNITS else "n" if word[0] != low[0] and not opens else None
-            out.append((kind or low, low if kind else None))
+            if kind == "n" and follows:
+                out[-1] = ("n", out[-1][1] + " " + low)
+            else:
+                out.append((kind or low, low if kind else None))
+            follows = kind == "n"
     return out
 
 
@@ -288,6 +327,75 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), items).collect() == [] and decontamination.leaks(docs, items.limit(0)).collect() == []
 
 
+def plain_leaks(docs, items, least=0.5):
+    """Windows compared one by one; (doc_id, item_id): covered_words, slots, changed_slots, first_word."""
+    out = {}
+    read = {i: plain_canonical(t) for i, t in items}
+    for d, text in docs:
+        doc = plain_canonical(text)
+        for i, item in read.items():
+            size = min(len(item), decontamination.WINDOW)
+            if size < decontamination.LEAST_WORDS:
+                continue
+            by_shift = {}
+            for a in range(len(item) - size + 1):
+                for b in range(len(doc) - size + 1):
+                    x, y = item[a : a + size], doc[b : b + size]
+                    telling = 2 * sum(v is None for _, v in x) >= size
+                    if [w for w, _ in x] == [w for w, _ in y] and (telling or x == y):
+                        by_shift.setdefault(b - a, []).append((a, b, {(p[1], q[1]) for p, q in zip(x, y, strict=True) if p[1]}))
+            sound = []
+            for met in by_shift.values():
+                pairs = set().union(*(p for *_, p in met))
+                if len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs}):
+                    sound.append(({a + k for a, *_ in met for k in range(size)}, pairs, min(b for _, b, _ in met)))
+            if not sound:
+                continue
+            places, pairs = set().union(*(s[0] for s in sound)), set().union(*(s[1] for s in sound))
+            if not len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs}):
+                places, pairs, _ = max(sound, key=lambda s: (len(s[0]), -s[2]))
+            if len(places) >= least * len(item):
+                out[d, i] = (len(places), len(pairs), sum(p != q for p, q in pairs), min(s[2] for s in sound))
+    return out
+
+
+def test_leaks_equal_a_plain_join(spark):
+    r = random.Random(11)
+    vocab = ["the", "cat", "Anna", "Rome", "12", "45", "km", "ran", "to.", "a", "of", "New York", "red"]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(r.choice([2, 5, 9, 14, 26])))) for k in range(25)] + [(90, None), (91, "")]
+    docs = [(100, None), (101, ""), (102, "word " * 9000)]
+    for d in range(60):
+        text = r.choice(items)[1] or ""
+        for old, new in r.choice([[], [("Anna", "Otto")], [("12", "45")], [("12", "7"), ("45", "8")], [("Rome", "Anna")], [("New York", "San Marino di Po")]]):
+            text = text.replace(old, new, r.choice([1, 9]))
+        words = text.split(" ")
+        if r.random() < 0.4:
+            words.insert(r.randrange(len(words) + 1), r.choice(vocab))
+        if r.random() < 0.2:
+            words = words[: len(words) // 2] * 3
+        docs.append((d, "so it began " + " ".join(words) + " and it ended. " + (" ".join(words) if r.random() < 0.3 else "")))
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, x.item_id): (x.covered_words, x.slots, x.changed_slots, x.first_word) for x in found.collect()}
+    assert got and got == plain_leaks(docs, items)
+
+
+def test_values_that_fall_together_and_parts_held_often(spark):
+    item = "The train that left from Paris met Anna after 12 minutes and then went on to Rome for another 45 minutes before it met Otto again."
+    together = item.replace("Rome", "Paris").replace("Otto", "Anna").replace("45", "12")
+    part = " ".join(item.split()[:8])
+    docs = [(1, item), (2, together), (3, f"{part} x {part} y {part} z {part}"), (4, item.replace("Anna", "Anna Maria Lind"))]
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert {x.doc_id: x.covered_words for x in found.collect()} == {1: 26, 4: 26}
+
+
+def test_few_false_leaks(spark):
+    """Of the documents found at sf0.01, nearly all hold an item word for word."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = {d.doc_id for d in docs.collect() for i in items.collect() if i.text in (d.text or "")}
+    found = {r.doc_id for r in decontamination.leaks(docs, items).collect()}
+    assert whole <= found and len(found - whole) <= 0.1 * len(found)
+
+
 def test_decontamination_finds_whole_items(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     inside = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
@@ -330,6 +438,20 @@ def test_mined_rules_equal_counting(spark):
     for x in rules:
         has = [u for t, u in held if set(x.rule) <= set(t)]
         assert x.confidence == pytest.approx(sum(has) / len(has)) and x.filed_under in x.rule
+    # Every combination that is frequent and sure enough is a rule or holds a shorter rule that is at least as sure.
+    found = {frozenset(x.rule): x.confidence for x in rules}
+    for n in range(1, 6):
+        for combination in itertools.combinations([f"t{k}" for k in range(5)], n):
+            has = [u for t, u in held if set(combination) <= set(t)]
+            if sum(has) >= max(0.05 * len(held), url_rules.LEAST_ROWS) and sum(has) / len(has) >= 0.8:
+                assert any(r <= set(combination) and c >= sum(has) / len(has) - 1e-9 for r, c in found.items())
+
+
+def test_very_long_urls(spark):
+    url = "http://spam.net/" + "a/" * 50000 + "?" + "&".join(f"q{k}=1" for k in range(3000))
+    labelled = spark.createDataFrame([(f"http://spam.net/p{k}", True) for k in range(30)] + [(f"http://x.org/p{k}", False) for k in range(30)], "url string, unwanted boolean")
+    out = url_rules.judge(spark.createDataFrame([(1, url), (None, url)], "page_id long, url string"), labelled).collect()
+    assert [(r.host, len(r.path), r.verdict) for r in out] == [("spam.net", 100001, "block")] * 2
 
 
 # ---- 8 --------------------------------------------------------------------------------------------
@@ -340,7 +462,7 @@ def test_warc_round_trip(spark):
     rows = [(5, "http://a/1", long), (3, "http://a/\r\n%2", long), (9, None, long), (4, "u", "short"), (2, "u", "short"), (7, "u", None), (None, "u", long), (8, "u", ""), (8, "u", ""), (11, "u", "ü" * 400000)]
     rows += [(100 + k, "u", f"<html>{k} " + "common words of all pages " * 20) for k in range(50)]
     pages = spark.createDataFrame([(i, u, h, "z") for i, u, h in rows], "page_id long, url string, html string, digest string").repartition(3)
-    out = warc.read_archives(spark, warc.write_archives(pages, Scratch(spark, "test"))).collect()
+    out = warc.read_archives(warc.write_archives(pages, Scratch(spark, "test"))).collect()
     raw = {(i, h): (h or "").encode() for i, _, h in rows}
     want = Counter()
     for (i, _), b in [((i, h), raw[i, h]) for i, _, h in rows]:
@@ -350,7 +472,23 @@ def test_warc_round_trip(spark):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
     assert all(r.error is None for r in out)
     assert {r.url for r in out} == {u for _, u, _ in rows}
-    assert warc.read_archives(spark, warc.write_archives(pages.limit(0), Scratch(spark, "test"))).collect() == []
+    assert warc.read_archives(warc.write_archives(pages.limit(0), Scratch(spark, "test"))).collect() == []
+
+
+def test_a_repeated_attempt_with_other_cuts_is_not_read_twice(spark, monkeypatch):
+    """What a lost attempt has written lies beside the archives of the manifest, cut in another way."""
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 40) for k in range(200)], "page_id long, url string, html string").repartition(2)
+    scratch = Scratch(spark, "test")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    lost = warc.write_archives(pages, scratch).collect()
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 9000)
+    manifest = warc.write_archives(pages, scratch)
+    held = {r.archive for r in manifest.collect()}
+    assert held.isdisjoint(r.archive for r in lost) and len({r.archive.rpartition("/")[0] for r in lost} | {a.rpartition("/")[0] for a in held}) == 1
+    out = warc.read_archives(manifest).collect()
+    assert sorted(r.page_id for r in out) == list(range(200)) and all(r.error is None for r in out)
+    more = warc.read_archives(manifest.withColumn("records", F.col("records") + 1)).where("error is not null")
+    assert more.count() == len(held)
 
 
 def test_damaged_archives_give_errors():
@@ -372,7 +510,7 @@ def test_damaged_archives_give_errors():
 
 def plain_phrases(model, k, text):
     """Phrases by searching the sample's string itself, block by block."""
-    symbols = model.read([text])[0].tolist()
+    symbols = langid.read([text])[0].tolist()
     phrases = 0
     for low in range(0, len(symbols), langid.BLOCK):
         block, at = symbols[low : low + langid.BLOCK], 0
@@ -392,16 +530,49 @@ def has(whole, part):
 def test_phrases_equal_plain_search():
     samples = {"a": "the cat sat on the mat and then the dog came in " * 3, "b": "el gato se sienta en la alfombra y el perro entra " * 3}
     model = langid.LanguageModel(samples)
-    model.samples = [bytes(model.read([samples[k]])[0].tolist()) for k in model.languages]
+    model.samples = [bytes(langid.read([samples[k]])[0].tolist()) for k in model.languages]
     texts = ["the dog sat, 12 times!", "el perro y el gato", "zzz the \U0001f600 ß", "a" * 700 + " the cat"]
     h = model.entropy(texts)
     for i, text in enumerate(texts):
-        n = len(model.read([text])[0])
+        n = len(langid.read([text])[0])
         for k in range(2):
             assert h[i, k] == pytest.approx(plain_phrases(model, k, text) * model.scale[k] / n)
     assert model.predict([*texts[:2], None, "123 !", ""])[0] == ["a", "b", "und", "und", "und"]
 
 
+SCRIPTS = {
+    "ja": "私は毎日学校へ行きます。あなたは何を食べましたか。これはとても面白い本だと思います。",
+    "zh": "我每天去学校。你吃了什么东西？我觉得这是一本很有意思的书，我们都喜欢读。",
+    "ko": "나는 매일 학교에 갑니다. 당신은 무엇을 먹었습니까? 이것은 아주 재미있는 책이라고 생각합니다.",
+    "ru": "я каждый день хожу в школу, а что ты сегодня ел? мне кажется, это очень интересная книга",
+    "uk": "я щодня ходжу до школи, а що ти сьогодні їв? мені здається, що це дуже цікава книжка",
+    "el": "πηγαίνω στο σχολείο κάθε μέρα και τι έφαγες σήμερα; νομίζω ότι είναι ένα πολύ ενδιαφέρον βιβλίο",
+}
+
+
+def test_scripts_stay_apart():
+    model = langid.LanguageModel(SCRIPTS)
+    texts = ["これは学校の本です", "这是学校的书", "이것은 학교입니다", "это интересная школа", "це цікава школа", "ένα σχολείο σήμερα", "\U00020000\U00020001"]
+    names, score = model.predict(texts)
+    assert names[:6] == list(SCRIPTS) and all(s > 0 for s in score[:6]) and names[6] in SCRIPTS
+    assert sum(t.nbytes for t in langid.LanguageModel({f"{k}{n}": v for k, v in SCRIPTS.items() for n in range(40)}).tables) <= langid.MODEL_BYTES
+
+
+def test_many_languages_share_the_memory(monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1 << 20)
+    r = random.Random(3)
+    samples = {f"l{k}": "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4000)) for k in range(8)}
+    model = langid.LanguageModel(samples)
+    assert sum(t.nbytes for t in model.tables) <= 1 << 20 and model.predict([samples["l3"][:200]])[0] == ["l3"]
+
+
+def test_whole_texts_are_learned(spark):
+    """The words of a language that stand late in a long text only are learned from there."""
+    rows = [(k, "word " * 300 + "zebra xylophone quartz", "a") for k in range(12)] + [(k, "mot " * 300 + "jouer bonjour hibou", "b") for k in range(12, 24)]
+    model = langid.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(["zebra quartz xylophone", "hibou jouer bonjour"])[0] == ["a", "b"]
+
+
 def test_language_accuracy_and_edges(spark, docs, rows):
     model = langid.fit_on(docs)
     out = langid.identify(docs, model)
