@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18):
                 names, score = m.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -188,7 +188,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 6
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 17):
                 c = read_words(part.column("text"))
                 raw, begin = c["text"].tobytes(), c["begin"]
                 each = [raw[s:e].decode() for s, e in zip(c["starts"].tolist(), c["ends"].tolist(), strict=True)]
@@ -205,7 +205,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 6
 
     def logit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 17):
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(model_.value.logits(subwords(part.column("text"))))], names=["toxic", "logit"])
 
     found = sample.where("calibrates").select("toxic", "text").mapInArrow(logit, "toxic int, logit double").orderBy("logit", "toxic").collect()
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 17):
                 p = m.probability(subwords(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
