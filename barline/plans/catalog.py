@@ -32,12 +32,13 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def scores_query(oracle: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """The query with the operator's own weights, which SQL cannot express, and plain_ of it, which is checked against SQL."""
+    """The query with the operator's own weights, and plain_ of it without the features that are recurrences; each beside its SQL."""
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[f.__name__] = f
         QUERIES[f"plain_{f.__name__}"] = lambda spark, d: f(spark, d, plain=True)
         ORACLES[f"plain_{f.__name__}"] = oracle
+        ORACLES[f.__name__] = oracle.replace(_SCORED, _ALL_SCORED).replace(_PLAIN_CONTRIB, _ALL_CONTRIB)
         return f
 
     return register
@@ -167,9 +168,13 @@ def feature_history(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.build_features(week(spark, d), ewm=False).withColumn("dollar_vol", F.ln("dollar_vol")), _PLAIN, "symbol", "date")
 
 
-@query()
+_ALL = {f: 6 for f in features.FEATURES}
+_ALL_FEATURES = f"{sql.features(sql.recurrences(sql.WEEK))}, fa AS (SELECT f.*, rsi14, rsi2, macd_hist, atr14 / nullif(close, 0) AS atr_pct, adx14 FROM f JOIN ew USING (symbol, sess))"
+
+
+@query(f"{_ALL_FEATURES} SELECT symbol, date, {sql.rounded(_ALL)} FROM (SELECT * REPLACE (ln(dollar_vol) AS dollar_vol) FROM fa)")
 def all_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.build_features(week(spark, d)).select("symbol", "date", *features.FEATURES)
+    return rounded(features.build_features(week(spark, d)).withColumn("dollar_vol", F.ln("dollar_vol")), _ALL, "symbol", "date")
 
 
 def _recursive_ema(n: int, least: int) -> str:
@@ -188,9 +193,12 @@ def ema(spark: SparkSession, d: str) -> DataFrame:
     return ewm.with_ewm(month(spark, d)).select("symbol", "date", (F.round("ema12", 3) + 0.0).alias("ema"))
 
 
-@query()
+_EWM = {"rsi14": 6, "rsi2": 6, "macd_hist": 8, "atr14": 3, "adx14": 6}
+
+
+@query(f"{sql.recurrences(sql.WEEK)} SELECT w.symbol, w.date, {sql.rounded(_EWM)} FROM ew JOIN w USING (symbol, sess)")
 def ewm_indicators(spark: SparkSession, d: str) -> DataFrame:
-    return ewm.with_ewm(week(spark, d)).select("symbol", "date", "rsi14", "rsi2", "macd_hist", "atr14", "adx14")
+    return rounded(ewm.with_ewm(week(spark, d)), _EWM, "symbol", "date")
 
 
 _FORWARD = f"SELECT date, symbol, {sql.at('close', 10)} / close - 1 AS fwd_short, {sql.at('close', 63)} / close - 1 AS fwd_medium, {sql.at('close', 252)} / close - 1 AS fwd_long FROM w"
@@ -204,12 +212,19 @@ def forward_returns(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- panel and scores -----------------------------------------------------------------------------
 
-#: Signed weights over the features that SQL can express: those of the queries named plain_.
+#: Signed weights over the features that are no recurrences: those of the queries named plain_.
 WEIGHTS = {h: {f: w for f, w in ws.items() if f in _PLAIN} for h, ws in scoring.WEIGHTS.items()}
 _USED = sorted({f for ws in WEIGHTS.values() for f in ws})
 _REB = "reb AS (SELECT max(date) AS date FROM cal GROUP BY date_trunc('month', date))"
-_PANEL = f"{sql.features(sql.WEEK)}, {_REB}, p AS (SELECT date, symbol, grp, CAST(close AS FLOAT) AS close, {', '.join(f'CAST({f} AS FLOAT) AS {f}' for f in _USED)} FROM f SEMI JOIN reb USING (date) WHERE coalesce(dollar_vol, 0) >= 1000 OR grp IN ('fx', 'index'))"
+
+
+def _panel(base: str, source: str, used: list[str]) -> str:
+    return f"{base}, {_REB}, p AS (SELECT date, symbol, grp, CAST(close AS FLOAT) AS close, {', '.join(f'CAST({f} AS FLOAT) AS {f}' for f in used)} FROM {source} SEMI JOIN reb USING (date) WHERE coalesce(dollar_vol, 0) >= 1000 OR grp IN ('fx', 'index'))"
+
+
+_PANEL = _panel(sql.features(sql.WEEK), "f", _USED)
 _SCORED = f"{_PANEL}, {sql.scores('p', WEIGHTS)}"
+_ALL_SCORED = f"{_panel(_ALL_FEATURES, 'fa', sorted({f for ws in scoring.WEIGHTS.values() for f in ws}))}, {sql.scores('p', scoring.WEIGHTS)}"
 _SCORES = {f"{k}_{h}": 1 if k == "pct" else 4 for h in WEIGHTS for k in ("score", "cov", "spread", "pct")} | {"score_global": 4}
 
 
@@ -231,6 +246,13 @@ def sampled_panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel(spark, d, plain=True).groupBy("grp", "date").agg(F.count("*").alias("n"), F.avg(F.col("close").cast("double")).alias("close")), {"close": 3}, "grp", "date", "n")
 
 
+def _contributions(weights: dict[str, float]) -> str:
+    return " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, z_{f} * {1 if w > 0 else -1} AS z, {abs(w)} AS weight FROM s1 WHERE peers >= 20 AND date = (SELECT max(date) FROM p)" for f, w in weights.items())
+
+
+_PLAIN_CONTRIB, _ALL_CONTRIB = _contributions(WEIGHTS["medium"]), _contributions(scoring.WEIGHTS["medium"])
+
+
 @scores_query(f"{_SCORED} SELECT date, symbol, grp, {sql.rounded(_SCORES)} FROM s")
 def score_panel(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     return rounded(scored(spark, d, plain), _SCORES, "date", "symbol", "grp")
@@ -246,18 +268,17 @@ def report_ranking(spark: SparkSession, d: str, plain: bool = False) -> DataFram
     return scoring.report_ranking(scored(spark, d, plain), "medium").select("symbol", F.col("pct_medium").alias("pct"))
 
 
-_MEDIUM = WEIGHTS["medium"]
-_CONTRIB = " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, z_{f} * {1 if w > 0 else -1} AS z, {abs(w)} AS weight FROM s1 WHERE peers >= 20 AND date = (SELECT max(date) FROM p)" for f, w in _MEDIUM.items())
-
-
-@scores_query(f"{_SCORED}, c AS ({_CONTRIB}) SELECT symbol, feature, round(z, 4) + 0.0 AS z, round(z * weight, 4) + 0.0 AS contribution FROM c")
+@scores_query(f"{_SCORED}, c AS ({_PLAIN_CONTRIB}) SELECT symbol, feature, round(z, 4) + 0.0 AS z, round(z * weight, 4) + 0.0 AS contribution FROM c")
 def contributions(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     return rounded(scoring.contributions(panel(spark, d, plain), weights_of(plain)["medium"]), {"z": 4, "contribution": 4}, "symbol", "feature")
 
 
-@query()
-def comments(spark: SparkSession, d: str) -> DataFrame:
-    return report.comments(scoring.contributions(panel(spark, d), scoring.WEIGHTS["medium"]))
+@scores_query(
+    f"""{_SCORED}, c AS ({_PLAIN_CONTRIB}), o AS (SELECT symbol, feature, z * weight AS x, row_number() OVER (PARTITION BY symbol ORDER BY z * weight DESC, feature) AS top, row_number() OVER (PARTITION BY symbol ORDER BY z * weight, feature) AS low FROM c WHERE z IS NOT NULL)
+SELECT symbol, 'Mostly from ' || string_agg(feature || printf(' %+.2f', x), ', ' ORDER BY top) FILTER (top <= 3) || '; held back by ' || string_agg(feature || printf(' %+.2f', x), ', ' ORDER BY low) FILTER (low <= 2) || '.' AS comment FROM o GROUP BY symbol"""
+)
+def comments(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return report.comments(scoring.contributions(panel(spark, d, plain), weights_of(plain)["medium"]))
 
 
 _RETURNS = f"lr AS (SELECT symbol, sess, ln(close / {sql.at('close', -1)}) AS x FROM w)"
@@ -376,7 +397,7 @@ def mean_turnover(spark: SparkSession, d: str, plain: bool = False) -> DataFrame
 
 _SPLITS = ", ".join(str(float(x)) for k in anomalies.SPLIT_RATIOS for x in (k, 1 / k))
 _SEVERITY = " + ".join(f"CASE WHEN {f} THEN {w} ELSE 0.0 END::DOUBLE" for f, w in anomalies.SEVERITY.items())
-_DETECT = f"""{sql.WEEK}, z AS (SELECT max(sess) AS newest, min(sess) AS oldest, max(date) AS newest_date FROM w), a0 AS (SELECT w.*, least(newest - oldest + 1, 504) AS sessions, newest_date FROM w, z WHERE sess > newest - 504),
+_FLAGS = f"""z AS (SELECT max(sess) AS newest, min(sess) AS oldest, max(date) AS newest_date FROM w), a0 AS (SELECT w.*, least(newest - oldest + 1, 504) AS sessions, newest_date FROM w, z WHERE sess > newest - 504),
 a1 AS (SELECT *, {sql.at('close', -1)} AS before, {sql.at('close', 5)} AS after5 FROM a0), a2 AS (SELECT *, ln(close / before) AS lr, close / before AS jump, coalesce(abs(close - before) <= 1e-12, FALSE) AS still FROM a1),
 a3 AS (SELECT *, {sql.guarded('stddev_samp(lr)', 'lr', 120, 40)} AS sigma, {sql.at('lr', 1)} AS lrn, least(greatest(2.5 * coalesce(stddev_samp(lr) OVER (PARTITION BY symbol), 0.02), 0.02), 0.1) AS tol FROM a2),
 isl AS (SELECT symbol, sess - row_number() OVER (PARTITION BY symbol ORDER BY sess) AS i FROM a3 WHERE still), run AS (SELECT symbol, max(n) AS run FROM (SELECT symbol, i, count(*) AS n FROM isl GROUP BY 1, 2) GROUP BY 1),
@@ -389,6 +410,34 @@ dup AS (SELECT symbol, row_number() OVER (PARTITION BY path ORDER BY symbol) > 1
 fl AS (SELECT ag.*, coalesce(run, 0) >= 8 AS stale, coalesce(again, FALSE) AS duplicate FROM ag LEFT JOIN run USING (symbol) LEFT JOIN dup USING (symbol)),
 rp AS (SELECT *, {_SEVERITY} AS severity FROM fl)"""
 
+_DETECT = f"{sql.WEEK}, {_FLAGS}"
+#: Quiet bars on the sessions of the supplier bars, in exact binary fractions, and one kind of fault for each remainder of the symbol.
+_FAULTY = f"""{sql.WEEK.replace(' w AS (', ' w0 AS (').replace(chr(10) + 'w AS (', chr(10) + 'w0 AS (')},
+q0 AS (SELECT symbol, grp, date, sess, symbol % 16 AS kind, 100 + ((CASE WHEN symbol % 16 = 3 AND sess BETWEEN 150 AND 175 THEN 150 ELSE sess END * 37 + symbol * 11) % 17) / 8.0::DOUBLE AS c FROM w0),
+q1 AS (SELECT symbol, grp, date, sess, kind, c / CASE WHEN kind = 1 AND sess >= 200 THEN 4.0 ELSE 1.0 END::DOUBLE * CASE WHEN kind = 2 AND sess = 250 THEN 2.0 WHEN kind = 10 AND sess % 60 = 0 THEN 32.0 ELSE 1.0 END::DOUBLE AS close FROM q0 WHERE NOT (kind = 6 AND sess > 340) AND NOT (kind = 11 AND sess % 7 <> 0)),
+q2 AS (SELECT symbol, grp, date, sess, close, close AS open, CASE WHEN kind = 5 AND sess % 2 = 0 THEN close WHEN kind = 12 AND sess % 3 = 0 THEN close - 1 ELSE close + 0.25::DOUBLE END AS high, CASE WHEN kind = 5 AND sess % 2 = 0 THEN close ELSE close - 0.25::DOUBLE END AS low,
+CASE WHEN kind = 4 AND sess % 3 = 0 THEN 0.0 WHEN kind = 7 THEN 16.0 ELSE 32768.0 END::DOUBLE AS volume FROM q1),
+w AS (SELECT * FROM q2 UNION ALL SELECT symbol + 100000, * EXCLUDE (symbol) FROM q2 WHERE symbol % 16 = 8)"""
+
+
+def faulty(spark: SparkSession, d: str) -> DataFrame:
+    rows = week(spark, d)
+    kind, sess = F.col("symbol") % 16, F.col("sess")
+    still = F.when((kind == 3) & sess.between(150, 175), 150).otherwise(sess)
+    c = 100 + F.pmod(still * 37 + F.col("symbol") * 11, F.lit(17)) / 8.0
+    c = c / F.when((kind == 1) & (sess >= 200), 4.0).otherwise(1.0) * F.when((kind == 2) & (sess == 250), 2.0).when((kind == 10) & (sess % 60 == 0), 32.0).otherwise(1.0)
+    rows = rows.where(~((kind == 6) & (sess > 340)) & ~((kind == 11) & (sess % 7 != 0))).withColumn("close", c)
+    close, flat = F.col("close"), (kind == 5) & (sess % 2 == 0)
+    rows = rows.withColumns(
+        {
+            "open": close,
+            "high": F.when(flat, close).when((kind == 12) & (sess % 3 == 0), close - 1).otherwise(close + 0.25),
+            "low": F.when(flat, close).otherwise(close - 0.25),
+            "volume": F.when((kind == 4) & (sess % 3 == 0), 0.0).when(kind == 7, 16.0).otherwise(32768.0),
+        }
+    )
+    return rows.unionByName(rows.where("symbol % 16 = 8").withColumn("symbol", F.col("symbol") + 100000))
+
 
 @query(f"{_DETECT} SELECT *, severity >= {anomalies.QUARANTINE_AT} AS quarantine FROM rp")
 def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
@@ -396,6 +445,29 @@ def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("dollar_volume", F.round("dollar_volume", 3) + 0.0)
 
 
+@query(f"{_FAULTY}, {_FLAGS} SELECT *, severity >= {anomalies.QUARANTINE_AT} AS quarantine FROM rp")
+def injected_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every flag rises for some symbols and not for others."""
+    found = anomalies.detect(faulty(spark, d))
+    return found.withColumn("dollar_volume", F.round("dollar_volume", 3) + 0.0)
+
+
+@query(f"{_FAULTY}, {_FLAGS} SELECT date, count(*) AS n, min(symbol) AS least FROM w WHERE symbol NOT IN (SELECT symbol FROM rp WHERE severity >= {anomalies.QUARANTINE_AT}) GROUP BY date")
+def quarantined_bars(spark: SparkSession, d: str) -> DataFrame:
+    rows = faulty(spark, d)
+    return anomalies.apply_quarantine(rows, anomalies.detect(rows)).groupBy("date").agg(F.count("*").alias("n"), F.min("symbol").alias("least"))
+
+
+@query(
+    f"""{_FAULTY}, q AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS move FROM w WHERE close > 0 AND high >= low), wild AS (SELECT symbol FROM q WHERE move > 9 OR move < -0.9 GROUP BY symbol HAVING count(*) >= 3),
+sp AS (SELECT symbol, count(*) AS n, (max(date) - min(date)) * 252 / 365.0 AS expected FROM q ANTI JOIN wild USING (symbol) GROUP BY symbol HAVING n >= expected * (1 - 0.9) OR expected < 60) SELECT symbol, n FROM sp"""
+)
+def plausible_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly bars are a fifth of the days of their span, so the gaps allowed are wider than for daily ones."""
+    return ingest.quality_filter(faulty(spark, d), 0.9).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+
 _COUNTS = " UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS symbols, CAST({w} AS DOUBLE) AS severity FROM rp" for f, w in anomalies.SEVERITY.items())
 
 
@@ -404,7 +476,7 @@ def anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.summary(anomalies.detect(week(spark, d)))
 
 
-@query()
+@query(f"{_DETECT}, {sql.features(sql.WEEK).split('w AS (', 1)[1].split('),' + chr(10), 1)[1]}, {_REB} SELECT date, count(*) AS n FROM f SEMI JOIN reb USING (date) WHERE coalesce(dollar_vol, 0) >= 1000 AND symbol NOT IN (SELECT symbol FROM rp WHERE severity >= {anomalies.QUARANTINE_AT}) GROUP BY date")
 def quarantined_panel(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.apply_quarantine(panel(spark, d, plain=True), anomalies.detect(week(spark, d))).groupBy("date").agg(F.count("*").alias("n"))
 
@@ -511,9 +583,13 @@ def build_universe(spark: SparkSession, d: str) -> DataFrame:
     return universe.build({"us": us, "crypto": coins})[0].select("symbol", "name", "grp")
 
 
-@query()
+@query("SELECT s_nationkey::BIGINT AS page_id, 'S' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.L' ELSE '.PA' END AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'GBP' ELSE 'EUR' END AS currency FROM supplier WHERE length('S' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.L' ELSE '' END) <= 8")
 def html_tickers(spark: SparkSession, d: str) -> DataFrame:
-    return html_tables.ticker_rows(bars.table(spark, d, "pages"), least_rows=1)
+    """A page for each nation, with a table of too few columns before that of its suppliers."""
+    cell = F.concat(F.lit("<tr><td>"), F.col("s_name"), F.lit("</td><td> s "), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, ".l").otherwise(""), F.lit("</td></tr>"))
+    rows = bars.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.concat_ws("", F.collect_list(cell)).alias("rows"))  # suppliers of a nation
+    html = F.concat(F.lit("<p>x</p><table><tr><th>Name</th></tr><tr><td>n</td></tr></table><table><tr><th>Name</th><th>Ticker</th></tr>"), F.col("rows"), F.lit("</table>"))
+    return html_tables.ticker_rows(rows.withColumn("html", html), suffix=".PA", least_rows=1)
 
 
 @query(

@@ -79,6 +79,37 @@ f AS (SELECT symbol, grp, date, sess, close, volume, vol_21, vol_252, ret_12m, b
   (({guarded('avg(ret)', 'ret', 126, 63)}) - beta_6m * bench_mean) * 252 AS alpha_6m, {change('rel', 63)} AS rs_3m, {change('rel', 252)} AS rs_12m FROM f3)"""
 
 
+def _ewm(name: str, source: str, columns: dict[str, tuple[str, float]]) -> str:
+    """A recursive CTE over the sessions of each symbol: of each column (input, alpha) the average y_, its weight w_, and n_ inputs so far."""
+    first = ", ".join(f"{x}, 1.0::DOUBLE, CASE WHEN {x} IS NULL THEN 0 ELSE 1 END" for x, _ in columns.values())
+    heads = ", ".join(f"y_{c}, w_{c}, n_{c}" for c in columns)
+    step = ", ".join(
+        f"CASE WHEN g.{x} IS NULL THEN e.y_{c} WHEN e.y_{c} IS NULL THEN g.{x} ELSE (e.w_{c} * {1 - a} * e.y_{c} + {a} * g.{x}) / (e.w_{c} * {1 - a} + {a}) END, CASE WHEN e.y_{c} IS NULL OR g.{x} IS NOT NULL THEN 1.0 ELSE e.w_{c} * {1 - a} END, e.n_{c} + CASE WHEN g.{x} IS NULL THEN 0 ELSE 1 END"
+        for c, (x, a) in columns.items()
+    )
+    return f"{name}(symbol, sess, {heads}) AS (SELECT symbol, sess, {first} FROM {source} WHERE sess = 1 UNION ALL SELECT g.symbol, g.sess, {step} FROM {name} e JOIN {source} g ON g.symbol = e.symbol AND g.sess = e.sess + 1)"
+
+
+def recurrences(base: str) -> str:
+    """CTEs up to ew (symbol, sess, rsi14, rsi2, macd_hist, atr14, adx14): every session is a row, with nulls where there is no bar."""
+
+    def rsi(n: int) -> str:
+        return f"coalesce(CASE WHEN n_gain{n} >= {n} THEN 100 - 100 / (1 + y_gain{n} / nullif(y_loss{n}, 0)) END, 50)"
+
+    one = {"gain14": ("gain", 1 / 14), "loss14": ("loss", 1 / 14), "gain2": ("gain", 1 / 2), "loss2": ("loss", 1 / 2), "tr": ("tr", 1 / 14), "plus": ("plus", 1 / 14), "minus": ("minus", 1 / 14), "e12": ("close", 2 / 13), "e26": ("close", 2 / 27)}
+    order = "OVER (PARTITION BY symbol ORDER BY sess)"
+    return f"""{base.replace('WITH', 'WITH RECURSIVE', 1)},
+g0 AS MATERIALIZED (SELECT s.symbol, c.sess, high, low, close FROM (SELECT symbol, max(sess) AS newest FROM w GROUP BY symbol) s JOIN cal c ON c.sess <= newest LEFT JOIN w ON w.symbol = s.symbol AND w.sess = c.sess),
+g1 AS (SELECT *, close - lag(close) {order} AS move, high - lag(high) {order} AS up, lag(low) {order} - low AS down, lag(close) {order} AS before FROM g0),
+g2 AS MATERIALIZED (SELECT symbol, sess, close, greatest(move, 0) + 0 * move AS gain, greatest(-move, 0) + 0 * move AS loss, greatest(high - low, abs(high - before), abs(low - before)) AS tr,
+CASE WHEN up > down AND up > 0 THEN up ELSE 0.0::DOUBLE END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0.0::DOUBLE END AS minus FROM g1),
+{_ewm('e1', 'g2', one)},
+g3 AS (SELECT e1.*, close, CASE WHEN n_tr >= 14 THEN y_tr END AS atr14, CASE WHEN n_e26 >= 13 THEN y_e12 - y_e26 END AS line, 100 * y_plus / nullif(CASE WHEN n_tr >= 14 AND n_plus >= 14 THEN y_tr END, 0) AS p, 100 * y_minus / nullif(CASE WHEN n_tr >= 14 AND n_minus >= 14 THEN y_tr END, 0) AS m FROM e1 JOIN g2 USING (symbol, sess)),
+g4 AS MATERIALIZED (SELECT *, 100 * abs(p - m) / nullif(p + m, 0) AS dx FROM g3),
+{_ewm('e2', 'g4', {'signal': ('line', 2 / 10), 'adx': ('dx', 1 / 14)})},
+ew AS MATERIALIZED (SELECT symbol, sess, {rsi(14)} AS rsi14, {rsi(2)} AS rsi2, (line - y_signal) / close AS macd_hist, atr14, CASE WHEN n_adx >= 14 THEN y_adx END AS adx14 FROM g4 JOIN e2 USING (symbol, sess) WHERE close IS NOT NULL)"""
+
+
 def scores(source: str, weights: dict[str, dict[str, float]]) -> str:
     """CTEs up to s: scores of the rows of ``source`` (date, symbol, grp, close, features as floats)."""
     used = sorted({f for ws in weights.values() for f in ws})
