@@ -63,7 +63,8 @@ def with_decile(scored: DataFrame, forward: DataFrame, horizon: str, bins: int =
     rows = rows.where("x is not null and fwd is not null and grp is not null")
     peers = Window.partitionBy("date", "grp")
     rank = F.row_number().over(peers.orderBy("x", "symbol"))
-    rows = rows.withColumns({"rank": rank, "size": F.count("*").over(peers), "values": F.size(F.collect_set("x").over(peers))}).where(F.col("values") >= bins)
+    rows = rows.withColumn("level", F.dense_rank().over(peers.orderBy("x")))  # of the largest: how many values there are
+    rows = rows.withColumns({"rank": rank, "size": F.count("*").over(peers), "values": F.max("level").over(peers)}).where(F.col("values") >= bins)
     return rows.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.try_divide((F.col("rank") - 1) * bins, F.col("size") - 1)))).select("date", "grp", "symbol", "fwd", F.col("bin").cast("int").alias("bin"))
 
 

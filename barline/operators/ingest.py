@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 
 def keep_last(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """Of rows with equal keys the one of largest sequence."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(sequence))
+    """Of rows with equal keys the one of largest sequence; of several such, the largest by their hash, whatever their order."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(sequence), F.desc(F.xxhash64(*[c for c in rows.columns if c not in keys])))
     return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
@@ -70,10 +70,11 @@ def plan_downloads(universe: DataFrame, store: DataFrame, asked: DataFrame, toda
     now = F.to_date(F.lit(today))
     known = store.groupBy("symbol").agg(F.max("date").alias("last"), F.count("*").alias("n"))
     rows = universe.select("symbol").join(known, "symbol", "left").join(asked.groupBy("symbol").agg(F.max("asked_on").alias("asked_on")), "symbol", "left")
-    share = F.avg(F.when(F.col("last").isNotNull(), 1.0).otherwise(0.0)).over(Window.partitionBy())
+    share = universe.select("symbol").join(known, "symbol", "left").agg(F.avg(F.when(F.col("last").isNotNull(), 1.0).otherwise(0.0)).alias("share"))
+    rows = rows.join(F.broadcast(share))  # one row
     fresh_ask = F.coalesce(F.datediff(now, F.col("asked_on")) < ask_again_days, F.lit(False))
     full = F.col("last").isNull() | (F.datediff(now, F.col("last")) > behind_days) | ((F.col("n") < short_rows) & ~fresh_ask)
-    return rows.select("symbol", F.when(full | (share < 0.5), "full").otherwise("recent").alias("plan"))
+    return rows.select("symbol", F.when(full | (F.col("share") < 0.5), "full").otherwise("recent").alias("plan"))
 
 
 def replace_refreshed(store: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -111,3 +112,30 @@ def coverage_of_last_session(bars: DataFrame, universe: DataFrame) -> DataFrame:
     rows = days.withColumns({"usual": F.percentile("symbols", F.lit(0.5)).over(order.rowsBetween(-20, -1)), "next": F.lead("date").over(order)})
     size = universe.agg(F.countDistinct("symbol").alias("size"))
     return rows.where("next is null").join(F.broadcast(size)).select("date", "symbols", "usual", (F.col("symbols") * 100 / F.col("size")).alias("pct"))
+
+
+class PoorCoverage(RuntimeError):
+    """Too few symbols have a bar on the last session."""
+
+
+def check_coverage(bars: DataFrame, universe: DataFrame, least_pct: float = 75.0) -> float:
+    """Percent of the universe on the last session; raises PoorCoverage under ``least_pct``."""
+    row = coverage_of_last_session(bars, universe).first()
+    if row is None or row.pct < least_pct:
+        raise PoorCoverage(f"{0.0 if row is None else row.pct:.1f} % of the universe on the last session; {least_pct:.0f} % are wanted")
+    return row.pct
+
+
+def download_summary(fresh: DataFrame, asked: DataFrame, store: DataFrame) -> DataFrame:
+    """One row: asked, answered, rows, newest, newest_before, verdict (nothing, few answers, goes back, nothing new, or ok)."""
+    got = fresh.agg(F.countDistinct("symbol").alias("answered"), F.count("*").alias("rows"), F.max("date").alias("newest"))
+    n, before = asked.agg(F.countDistinct("symbol").alias("asked")), store.agg(F.max("date").alias("newest_before"))
+    rows = got.crossJoin(n).crossJoin(before)  # one row each
+    said = (
+        F.when(F.col("rows") == 0, "nothing")
+        .when(F.col("answered") < 0.5 * F.col("asked"), "few answers")
+        .when(F.col("newest") < F.col("newest_before"), "goes back")
+        .when(F.col("newest") == F.col("newest_before"), "nothing new")
+        .otherwise("ok")
+    )
+    return rows.select("asked", "answered", "rows", "newest", "newest_before", said.alias("verdict"))

@@ -140,12 +140,14 @@ def plan_orders(positions: DataFrame, targets: DataFrame, alphas: DataFrame, gro
     return rows.withColumn("decision", decision).select("symbol", F.when(sale, "sale").otherwise("purchase").alias("side"), F.round(amount, 2).alias("amount"), "decision", F.round(avoided, 2).alias("avoided"))
 
 
-FILL_SCHEMA = "scenario string, broker string, symbol string, side string, amount double, fee double, units double, cash_after double"
+FILL_SCHEMA = "scenario string, broker string, symbol string, side string, amount double, fee double, units double, net double, cash_after double, place int"
 
 
 def execute(orders: DataFrame, cash: DataFrame) -> DataFrame:
     """Fills of the orders of each (scenario, broker): sales first, then purchases while cash lasts, fractions of units.
 
+    net: what a purchase puts into the position, or a sale brings, after the fee; cash_after: the cash of the book then; place: from 0.
+
     orders: scenario, broker, symbol, side, amount, units_held, price (in euros; null or not positive: no fill),
     fee, half_spread, turn; cash: scenario, broker, cash. The orders of one portfolio are few, so each is a group.
     """
@@ -167,7 +169,7 @@ def execute(orders: DataFrame, cash: DataFrame) -> DataFrame:
                     continue
                 units = (amount - o.fee) / (o.price * (1 + o.half_spread))
                 money -= amount
-            out.append((o.scenario, o.broker, o.symbol, o.side, round(amount, 2), round(o.fee, 2), units, round(money, 2)))
+            out.append((o.scenario, o.broker, o.symbol, o.side, round(amount, 2), round(o.fee, 2), units, amount - o.fee, money, len(out)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FILL_SCHEMA.split(", ")])
 
     orders = orders.withColumn("symbol", F.col("symbol").cast("string"))

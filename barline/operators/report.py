@@ -66,6 +66,36 @@ def comments(parts: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
     return rows.groupBy("symbol").agg(some("top", up).alias("best"), some("low", down).alias("worst")).select("symbol", F.format_string("Mostly from %s; held back by %s.", "best", "worst").alias("comment"))
 
 
+def tiles(scored: DataFrame, universe: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: date, analysed, universe, quarantined, groups on the last date."""
+    last = scored.join(F.broadcast(scored.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
+    now = last.agg(F.max("date").alias("date"), F.count("*").alias("analysed"), F.countDistinct("grp").alias("groups"))
+    return now.crossJoin(universe.agg(F.countDistinct("symbol").alias("universe"))).crossJoin(report.agg(F.count_if("quarantine").alias("quarantined")))  # one row each
+
+
+def report_rows(scored: DataFrame, panel: DataFrame, columns: tuple[str, ...] = ("ret_1m", "ret_3m", "ret_12m", "vol_252")) -> DataFrame:
+    """Scores of the last date with features of the panel's last date; null where a symbol has none."""
+    last = scored.join(F.broadcast(scored.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
+    now = panel.join(F.broadcast(panel.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
+    return last.join(now.select("symbol", *columns), "symbol", "left")
+
+
+def savings(dropped: DataFrame, books: DataFrame) -> DataFrame:
+    """scenario, broker, dropped, avoided (of the last decision), saved (of all of them)."""
+    now = dropped.groupBy("scenario", "broker").agg(F.count("*").alias("dropped"), F.round(F.sum(F.coalesce("avoided", F.lit(0.0))), 2).alias("avoided"))
+    return books.select("scenario", "broker", "saved").join(now, ["scenario", "broker"], "left").select("scenario", "broker", F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("avoided", F.lit(0.0)).alias("avoided"), "saved")
+
+
+def period_of_books(curve: DataFrame, bench: DataFrame, day_count: int) -> DataFrame:
+    """scenario, broker, pct, cost (paid within the period), excess (over the benchmark; null without it) over the last natural days."""
+    top = curve.agg(F.max("date").alias("top"))
+    rows = curve.join(F.broadcast(top), F.col("date") >= F.date_sub("top", day_count))  # one row
+    own = rows.groupBy("scenario", "broker").agg(F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"), F.min_by("costs", "date").alias("before"), F.max_by("costs", "date").alias("after"), F.count("*").alias("n")).where("n >= 2")
+    side = bench.join(F.broadcast(top), (F.col("date") >= F.date_sub("top", day_count)) & (F.col("date") <= F.col("top"))).agg(F.min_by("value", "date").alias("b0"), F.max_by("value", "date").alias("b1"))
+    pct = F.try_divide("last", "first") * 100 - 100
+    return own.crossJoin(side).select("scenario", "broker", pct.alias("pct"), (F.col("after") - F.col("before")).alias("cost"), (pct - (F.try_divide("b1", "b0") * 100 - 100)).alias("excess"))  # one row
+
+
 def page(title: str, tables: dict[str, DataFrame], rows: int = 200) -> str:
     """An HTML page of short tables (their first rows)."""
     out = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

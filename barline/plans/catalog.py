@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions import rolling as r
-from barline.operators import anomalies, calendar, evidence, ewm, features, ingest, portfolio, report, scoring
+from barline.operators import anomalies, calendar, evidence, ewm, features, ingest, portfolio, report, scoring, simulation
 from barline.plans import sql
-from barline.sources import bars, html_tables, store, universe
+from barline.sources import bars, feeds, html_tables, store, universe
 from barline.streaming import bars as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,6 +697,87 @@ def sparklines(spark: SparkSession, d: str) -> DataFrame:
     return report.sparkline(week(spark, d))
 
 
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{g}{chr(39)})' for g, names in feeds.MACRO.items() for x in names.split())}) AS t(symbol, grp)")
+def macro_universe(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.macro(spark).select("symbol", "grp")
+
+
+@query("SELECT grp FROM (VALUES ('equity_us'), ('equity_eu'), ('etf'), ('crypto'), ('commodity'), ('fx'), ('index'), ('bond')) AS t(grp) WHERE grp NOT IN (SELECT 'equity_us' FROM supplier UNION SELECT 'crypto' FROM customer)")
+def missing_groups(spark: SparkSession, d: str) -> DataFrame:
+    us = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.lit("equity_us").alias("grp"))
+    coins = bars.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_name").alias("name"), F.lit("crypto").alias("grp"))
+    return universe.build({"us": us, "crypto": coins})[1]
+
+
+@query(
+    f"""{sql.WEEK}, n AS (SELECT * FROM w WHERE symbol % 3 <> 0 AND date >= DATE '2001-06-01') SELECT (SELECT count(DISTINCT s_suppkey) FROM supplier) AS asked, (SELECT count(DISTINCT symbol) FROM n) AS answered, (SELECT count(*) FROM n) AS rows,
+(SELECT max(date) FROM n) AS newest, (SELECT max(date) FROM w WHERE date < DATE '2001-08-01') AS newest_before, CASE WHEN (SELECT count(*) FROM n) = 0 THEN 'nothing' WHEN (SELECT count(DISTINCT symbol) FROM n) < 0.5 * (SELECT count(DISTINCT s_suppkey) FROM supplier) THEN 'few answers' ELSE 'ok' END AS verdict"""
+)
+def download_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.supplier_week(spark, d)
+    asked = bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"))
+    return ingest.download_summary(rows.where("symbol % 3 <> 0 and date >= '2001-06-01'"), asked, rows.where("date < '2001-08-01'"))
+
+
+@query("SELECT o_orderkey, try_cast(split_part(o_orderpriority, '-', 1) AS FLOAT) AS close, try_cast(o_orderpriority AS FLOAT) AS volume, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS date FROM orders")
+def coerced(spark: SparkSession, d: str) -> DataFrame:
+    rows = bars.table(spark, d, "orders").select("o_orderkey", F.split("o_orderpriority", "-")[0].alias("close"), F.col("o_orderpriority").alias("volume"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("no date").alias("date"))
+    return store.coerce(rows)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type = 'error' AND CAST(json_extract(props, '$.k') AS INTEGER) > 3 AS loud FROM events")
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    k = F.from_json("props", "k int")["k"]
+    return bars.table(spark, d, "events").select("event_id", k.alias("k"), ((F.col("event_type") == "error") & (k > 3)).alias("loud"))
+
+
+@scores_query(f"{_SCORED}, {_FLAGS} SELECT max(date) AS date, count(*) AS analysed, count(DISTINCT grp) AS groups, (SELECT count(*) FROM supplier) AS universe, (SELECT count(*) FROM rp WHERE severity >= {anomalies.QUARANTINE_AT}) AS quarantined FROM s WHERE date = (SELECT max(date) FROM s)")
+def kpi_tiles(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return report.tiles(scored(spark, d, plain), bars.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")), anomalies.detect(week(spark, d)))
+
+
+_SHOWN = ("ret_1m", "ret_3m", "ret_12m", "vol_252")
+
+
+@scores_query(
+    f"""{_SCORED} SELECT s.symbol, round(score_medium, 4) + 0.0 AS score_medium, {', '.join(f'round(CAST(CAST(x.{c} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {c}' for c in _SHOWN)} FROM s LEFT JOIN (SELECT * FROM f WHERE date = (SELECT max(date) FROM p) AND coalesce(dollar_vol, 0) >= 1000) x USING (symbol) WHERE s.date = (SELECT max(date) FROM s)"""
+)
+def report_rows(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    rows = panel(spark, d, plain)
+    shown = report.report_rows(scoring.score_panel(rows, weights_of(plain)), rows).withColumns({c: F.col(c).cast("double") for c in _SHOWN})
+    return rounded(shown, {"score_medium": 4} | {c: 4 for c in _SHOWN}, "symbol")
+
+
+@query(
+    f"""{sql.WEEK}, b AS (SELECT date AS bought, open FROM w WHERE symbol = 3 AND date = (SELECT min(date) FROM w WHERE date > DATE '1998-01-05')), v AS (SELECT c.date, coalesce((40000.0::DOUBLE - 1) / (open * (1 + 8 / 2e4::DOUBLE)) * close, 40000.0) AS value FROM cal c JOIN b ON c.date >= bought LEFT JOIN (SELECT date, close FROM w WHERE symbol = 3) USING (date))
+SELECT date, round(round(value, 2), 0) + 0.0 AS value FROM v"""
+)
+def benchmark_book(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(simulation.benchmark(bars.supplier_week(spark, d), "1998-01-05", 3), {"value": 0}, "date")
+
+
+@query()
+def chosen_portfolio(spark: SparkSession, d: str) -> DataFrame:
+    """place, symbol: by quotas of two horizons from all symbols that are scored."""
+    rows = scored(spark, d)
+    none = spark.createDataFrame([], "symbol long")
+    names = simulation.select(rows.withColumn("grp", F.lit("ALL")), none, week(spark, d), 8, {"short": 0.25, "medium": 0.75})
+    return spark.createDataFrame(list(enumerate(names)), "place int, symbol long")
+
+
+@query()
+def simulated_days(spark: SparkSession, d: str) -> DataFrame:
+    """The curve of two weeks of every book, bought from a fixed list."""
+    rows = bars.supplier_week(spark, d).withColumn("symbol", F.col("symbol").cast("string"))
+    groups = bars.supplier_region(spark, d).select(F.col("symbol").cast("string").alias("symbol"), "grp")
+    folder, names = stream.work_dir(spark), [str(k) for k in range(1, 9)]
+    alphas = spark.createDataFrame([(s, 0.05 + 0.01 * k) for k, s in enumerate(names)], "symbol string, alpha double")
+    for day in ("1998-01-05", "1998-01-12", "1998-01-19"):
+        past = rows.where(F.col("date") <= day)
+        simulation.step(spark, folder, day, past, groups, {s: names for s in portfolio.SCENARIOS}, {s: alphas for s in portfolio.SCENARIOS})
+    return simulation.ledger(spark, folder, "curve")
+
+
 # ---- streams --------------------------------------------------------------------------------------
 
 
@@ -719,7 +800,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 (SELECT user_id AS u, max(rn) FILTER (event_type <> 'error') AS ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1) ON u = user_id GROUP BY 1"""
 )
 def stream_failures(spark: SparkSession, d: str) -> DataFrame:
-    return stream.run_counters(stream.failure_counters(stream.ticks(spark, d))).select("symbol", "failures")
+    return stream.run_counters(stream.ticks(spark, d)).select("symbol", "failures")
 
 
 # ---- flagship -------------------------------------------------------------------------------------

@@ -39,6 +39,13 @@ def to_long(wide: DataFrame, key: str, fields: list[str], symbols: list[str]) ->
     return rows.where("close is not null and not isnan(close)")
 
 
+def coerce(rows: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume"), date: str = "date") -> DataFrame:
+    """Numbers and dates out of whatever a download holds; what is none is null, as are NaN and infinities."""
+    number = {f: F.expr(f"try_cast(`{f}` AS float)") for f in fields if f in rows.columns}
+    sound = {f: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v) for f, v in number.items()}
+    return rows.withColumns(sound | {date: F.expr(f"try_cast(`{date}` AS date)")})
+
+
 def append_keyed(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A ledger with new rows: the last row of each key, or distinct rows where it has no key."""
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)), allowMissingColumns=True)

@@ -1,18 +1,17 @@
-"""Streams: bars from ticks, upserts with a late-data bound, failure counters as keyed state."""
+"""Streams: bars from ticks, upserts with a late-data bound, failure counters."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.operators.ingest import upsert
 
+FAILURES = "symbol long, failures int, since timestamp_ntz"
+
 
 def work_dir(spark: SparkSession) -> str:
     """A folder of its own under the shared one that the session names; a temporary one where it names none."""
@@ -52,21 +51,34 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_counters(stream: DataFrame) -> DataFrame:
-    """Runs what is available now of keyed counters, and returns the last row of each symbol."""
-    spark = stream.sparkSession
-    folder = work_dir(spark)
+def run_counters(stream: DataFrame, failed: str = "event_type = 'error'") -> DataFrame:
+    """symbol, failures, since: of each symbol the failures in a row, by event time within a batch; a success clears them.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    Each batch is reduced by Spark to the failures after the last success of each symbol, however many events that has; only
+    these sums meet the state, a table for each batch, of which a repeated batch rewrites its own.
+    """
+    folder = work_dir(stream.sparkSession)
 
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.groupBy("symbol").agg(F.max_by(F.struct("failures", "since"), "batch").alias("x")).select("symbol", "x.failures", "x.since")
+    def count(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.struct("ts", "event_id").alias("turn"), F.coalesce(F.expr(failed), F.lit(False)).alias("failed"))
+        sound = rows.groupBy("symbol").agg(F.max(F.when(~F.col("failed"), F.col("turn"))).alias("sound"))
+        after = rows.join(sound, "symbol").where(F.col("failed") & (F.col("sound").isNull() | (F.col("turn") > F.col("sound")))).groupBy("symbol").agg(F.count("*").alias("more"), F.min("ts").alias("first"))
+        new = sound.join(after, "symbol", "left")
+        before = batch.sparkSession.read.schema(FAILURES).parquet(f"{folder}/out/batch={number - 1}") if number else batch.sparkSession.createDataFrame([], FAILURES)
+        kept = F.when(F.col("sound").isNull(), F.coalesce("failures", F.lit(0))).otherwise(0)
+        both = before.join(new, "symbol", "full_outer").select("symbol", (kept + F.coalesce("more", F.lit(0))).cast("int").alias("failures"), F.when(kept > 0, F.col("since")).otherwise(F.col("first")).alias("since"))
+        both.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    states = stream.sparkSession.read.schema(FAILURES + ", batch int").parquet(f"{folder}/out")
+    return states.join(F.broadcast(states.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")  # one row
 
 
 def merge_stream(stream: DataFrame, store_path: str, keys: list[str]) -> None:
-    """Upserts each batch into a store: the new store is written beside the old one, whose place it then takes."""
+    """Upserts each batch into a store: the new store is written beside the old one, whose place it then takes.
+
+    A batch that was stopped between the two steps has left the whole new store beside: it takes its place first.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -74,29 +86,11 @@ def merge_stream(stream: DataFrame, store_path: str, keys: list[str]) -> None:
         jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
         here, beside = jvm.org.apache.hadoop.fs.Path(store_path), jvm.org.apache.hadoop.fs.Path(f"{store_path}.next")
         files = here.getFileSystem(conf)
+        if not files.exists(here) and files.exists(jvm.org.apache.hadoop.fs.Path(beside, "_SUCCESS")):
+            files.rename(beside, here)
         merged = upsert(session.read.parquet(store_path), batch, keys) if files.exists(here) else batch
         merged.write.mode("overwrite").parquet(f"{store_path}.next")
         files.delete(here, True)
         files.rename(beside, here)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{work_dir(spark)}/state").trigger(availableNow=True).start().awaitTermination()
-
-
-FAILURES = "symbol long, failures int, since timestamp_ntz"
-
-
-def failure_counters(stream: DataFrame, failed: str = "event_type = 'error'") -> DataFrame:
-    """Of each symbol the failures in a row, by event time within a batch; a success clears them. One row for each batch."""
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, since = state.get if state.exists else (0, None)
-        for row in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            if row.failed:
-                failures, since = failures + 1, since if failures else row.ts
-            else:
-                failures, since = 0, None
-        state.update((int(failures), since))
-        yield pd.DataFrame({"symbol": [key[0]], "failures": [failures], "since": [since]})
-
-    rows = stream.select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.expr(failed).alias("failed"))
-    return rows.groupBy("symbol").applyInPandasWithState(count, FAILURES, "failures int, since timestamp_ntz", "update", GroupStateTimeout.NoTimeout)
