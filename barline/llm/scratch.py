@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's own: texts are long, and a batch is held by the JVM and by Python in each task."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """A folder of its own for one run of an operator.
 
@@ -32,6 +38,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        short_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, table: str) -> str:
