@@ -758,11 +758,11 @@ def benchmark_book(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chosen_portfolio(spark: SparkSession, d: str) -> DataFrame:
-    """place, symbol: by quotas of two horizons from all symbols that are scored."""
-    rows = scored(spark, d)
-    none = spark.createDataFrame([], "symbol long")
-    names = simulation.select(rows.withColumn("grp", F.lit("ALL")), none, week(spark, d), 8, {"short": 0.25, "medium": 0.75})
-    return spark.createDataFrame(list(enumerate(names)), "place int, symbol long")
+    """place, symbol: by quotas of two horizons from the brands that are scored; the long one has no scores yet, and is filled up."""
+    rows = month(spark, d)
+    scores = scoring.score_panel(features.sample_panel(features.build_features(rows), calendar.rebalance_dates(rows), 0.0)).where("score_short is not null")
+    names = simulation.select(scores, spark.createDataFrame([], "symbol string"), rows, 8, {"short": 0.75, "long": 0.25})
+    return spark.createDataFrame(list(enumerate(names)), "place int, symbol string")
 
 
 @query()
