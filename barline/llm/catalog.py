@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontamination, langid, licenses, oracle, pieces, quality, toxicity, url_rules, warc
+from barline.llm import conversations, decontamination, fim, langid, licenses, oracle, pieces, quality, repeats, toxicity, url_rules, warc
 from barline.llm.jaccard_join import jaccard_components
 from barline.llm.scratch import Scratch
 from barline.llm.sharding import histogram_shards
@@ -67,6 +67,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sharding,
@@ -79,10 +94,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_language_id,
         op10_jaccard_join,
+        op11_conversation_repair,
+        op12_substring_dedup,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express all of a result: the others come from trained models, hashing or iteration."""
-    return {"op5_license_scan": oracle.license_sql(), "op8_warc": oracle.WARC_SQL, "op10_jaccard_join": oracle.JACCARD_SQL}
+    return {"op5_license_scan": oracle.license_sql(), "op8_warc": oracle.WARC_SQL, "op10_jaccard_join": oracle.JACCARD_SQL, "op11_conversation_repair": oracle.CONVERSATION_SQL, "op12_substring_dedup": oracle.REPEATS_SQL, "op13_fill_in_middle": oracle.FIM_SQL}
