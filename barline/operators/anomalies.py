@@ -50,7 +50,9 @@ def detect(bars: DataFrame, min_dollar_volume: float = 1e6, stale_sessions: int
     c, v = F.col("close"), F.col("volume")
     rows = rows.withColumns({"before": r.at(c, -1), "after5": r.at(c, 5)})
     rows = rows.withColumns({"lr": F.ln(F.try_divide(c, F.col("before"))), "jump": F.try_divide(c, F.col("before")), "still": F.coalesce(F.abs(c - F.col("before")) <= 1e-12, F.lit(False))})
-    rows = rows.withColumns({"sigma": r.guarded(F.stddev_samp("lr"), F.col("lr"), 120, 40), "lr_next": r.at(F.col("lr"), 1), "own_sd": F.stddev_samp("lr").over(Window.partitionBy("symbol"))})
+    w = r.Windows()
+    rows = rows.withColumns({"lr_next": r.at(F.col("lr"), 1), "own_sd": F.stddev_samp("lr").over(Window.partitionBy("symbol"))})
+    rows = w.add(rows, {"sigma": w.guarded(w.deviation("lr", 120), "lr", 120, 40)})
     tolerance = F.least(F.greatest(2.5 * F.coalesce("own_sd", F.lit(0.02)), F.lit(0.02)), F.lit(0.10))
     ratios = F.array(*[F.lit(float(x)) for k in SPLIT_RATIOS for x in (k, 1 / k)])
     near = F.exists(ratios, lambda x: F.abs(F.col("jump") - x) / x < F.col("tolerance"))

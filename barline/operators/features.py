@@ -46,44 +46,49 @@ def build_features(bars: DataFrame, bench: DataFrame | None = None, ewm: bool =
     c = F.col("close")
     side = benchmark_windows(benchmark(bars) if bench is None else bench)
     df = with_ewm(bars) if ewm else bars
+    df = df.withColumn("dv", c * F.col("volume"))
+    df = r.with_medians(df, {"volume_20": ("volume", 20), "dv_63": ("dv", 63)})
     df = df.join(F.broadcast(side), "sess", "left")  # a row for each session
-    df = df.withColumns({"before": r.at(c, -1), "logp": F.when(c > 0, F.ln(c)), "rel": F.try_divide(c, F.col("bench")), "drop126": r.drawdown(c, 126), "dv": c * F.col("volume")})
-    df = df.withColumns({"ret": F.ln(F.try_divide(c, F.col("before"))), "vol_252": r.volatility(F.ln(F.try_divide(c, F.col("before"))), 252)})
-    ret = F.col("ret")
+    df = r.with_extremes(df, "close", {"low_20": ("min", 20), "high_20": ("max", 20), "high_126": ("max", 126), "low_252": ("min", 252), "high_252": ("max", 252)})
+    df = df.withColumns({"before": r.at(c, -1), "logp": F.when(c > 0, F.ln(c)), "rel": F.try_divide(c, F.col("bench")), "drop126": r.drawdown(c, F.col("high_126"))})
+    df = r.centred(r.in_units(df, "close", "unit"), "logp", "level")
+    df = df.withColumn("ret", F.ln(F.try_divide(c, F.col("before"))))
+    w = r.Windows()
+    vol = w.volatility("ret", 252)
     out = {
-        "ma20_dist": r.distance_to_sma(c, 20),
-        "ma50_dist": r.distance_to_sma(c, 50),
-        "ma200_dist": r.distance_to_sma(c, 200),
-        "ma50_over_200": r.ratio(r.sma(c, 50), r.sma(c, 200)) - 1,
-        "slope_3m": r.slope(F.col("logp"), 63),
-        "trendfit_3m": r.fit(F.col("logp"), 63),
-        "slope_12m": r.slope(F.col("logp"), 252),
-        "trendfit_12m": r.fit(F.col("logp"), 252),
-        "ret_1w": r.change(c, 5),
-        "ret_1m": r.change(c, 21),
-        "ret_3m": r.change(c, 63),
-        "ret_6m": r.change(c, 126),
-        "ret_12m": r.change(c, 252),
-        "mom_12_1": r.momentum(c, 252, 21),
-        "vol_21": r.volatility(ret, 21),
-        "vol_ratio": r.ratio(r.volatility(ret, 21), F.col("vol_252")),
-        "dd_from_high": r.drawdown(c, 252),
-        "ulcer_6m": r.ulcer(F.col("drop126"), 126),
-        "sharpe_12m": r.ratio(r.change(c, 252), F.col("vol_252")),
-        "sortino_6m": r.sortino(ret, 126),
-        "donch_20": r.donchian(c, 20),
-        "donch_252": r.donchian(c, 252),
-        "boll_z": r.bollinger(c, 20),
-        "gap_ratio": r.gap_ratio(F.col("open"), c, F.col("before")),
-        "vol_surge": r.surge(F.col("volume"), 20),
-        "dollar_vol": r.median(F.col("dv"), 63),
-        "beta_6m": r.beta(ret, F.col("bench_r"), F.col("bench_var"), 126),
-        "rs_3m": r.change(F.col("rel"), 63),
-        "rs_12m": r.change(F.col("rel"), 252),
+        "ma20_dist": w.distance_to_sma("unit", 20),
+        "ma50_dist": w.distance_to_sma("unit", 50),
+        "ma200_dist": w.distance_to_sma("unit", 200),
+        "ma50_over_200": r.ratio(w.sma("unit", 50), w.sma("unit", 200)) - 1,
+        "slope_3m": w.slope("level", 63),
+        "trendfit_3m": w.fit("level", 63),
+        "slope_12m": w.slope("level", 252),
+        "trendfit_12m": w.fit("level", 252),
+        "vol_21": w.volatility("ret", 21),
+        "vol_252": vol,
+        "vol_ratio": r.ratio(w.volatility("ret", 21), vol),
+        "dd_from_high": r.drawdown(c, F.col("high_252")),
+        "ulcer_6m": w.ulcer("drop126", 126),
+        "sortino_6m": w.sortino("ret", 126),
+        "donch_20": w.donchian("close", "low_20", "high_20", 20),
+        "donch_252": w.donchian("close", "low_252", "high_252", 252),
+        "boll_z": w.bollinger("unit", 20),
+        "gap_ratio": w.gap_ratio("open", "close", "before"),
+        "vol_surge": w.surge("volume", "volume_20", 20),
+        "dollar_vol": w.guarded(F.col("dv_63"), "dv", 63, 21),
+        "beta_6m": w.beta("ret", "bench_r", "bench_var", 126),
+        "_mean_6m": w.guarded(w.mean("ret", 126), "ret", 126, 63),
     }
+    reads = {f"_ago_{n}": r.at(c, -n) for n in (5, 21, 63, 126, 252)} | {f"_rel_{n}": r.at(F.col("rel"), -n) for n in (63, 252)}
+    df = w.add(df.withColumns(reads), out)
+    changed = {"ret_1w": 5, "ret_1m": 21, "ret_3m": 63, "ret_6m": 126, "ret_12m": 252}
+    out = {f: r.ratio(c, F.col(f"_ago_{n}")) - 1 for f, n in changed.items()}
+    out |= {"mom_12_1": r.ratio(F.col("_ago_21"), F.col("_ago_252")) - 1, "sharpe_12m": r.ratio(out["ret_12m"], F.col("vol_252"))}
+    out |= {f: r.ratio(F.col("rel"), F.col(f"_rel_{n}")) - 1 for f, n in (("rs_3m", 63), ("rs_12m", 252))}
+    out |= {"alpha_6m": (F.col("_mean_6m") - F.col("beta_6m") * F.col("bench_mean")) * 252}
     if ewm:
         out |= {"atr_pct": r.ratio(F.col("atr14"), c)}
-    df = df.withColumns(out).withColumn("alpha_6m", r.alpha(ret, F.col("beta_6m"), F.col("bench_mean"), 126))
+    df = df.withColumns(out)
     have = [f for f in FEATURES if f in df.columns]
     return df.select("symbol", "grp", "date", "sess", "open", "high", "low", "close", "volume", *have)
 

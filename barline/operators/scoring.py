@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from barline.sources.shared import saved
+
 # Signed weights of the features of each horizon.
 WEIGHTS: dict[str, dict[str, float]] = {
     "short": {"donch_20": 0.16, "macd_hist": 0.14, "ma20_dist": 0.10, "adx14": 0.10, "vol_surge": 0.08, "rs_3m": 0.08, "rsi2": -0.14, "ret_1w": -0.10, "boll_z": -0.06, "vol_ratio": -0.04},
@@ -22,20 +24,38 @@ def peers_window() -> WindowSpec:
     return Window.partitionBy("date", "grp")
 
 
-def z_scores(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """keep, feature, value, n (non-null peers), z: a row for each feature, so that few windows serve all of them.
+def _number(feature: str) -> Column:
+    return F.col(feature).cast("double")
+
 
-    Under five values z is null; without spread it is 0 for every row, values or not.
+def with_z(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Adds peers, and n_<feature> (non-null peers) and z_<feature> of each feature, within (date, grp).
+
+    Two aggregates, quantiles first and then moments of the clipped values, are joined back: no window, no row is
+    multiplied, and a group of any size is first reduced where its rows are. Under five values z is null; without spread it
+    is 0 for every row, values or not.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
-    long = rows.select("date", "grp", *keep, each.alias("x")).select("date", "grp", *keep, "x.feature", "x.value")
-    own = Window.partitionBy("date", "grp", "feature")
-    v, q = F.col("value"), F.col("q")
-    long = long.withColumns({"n": F.count(v).over(own), "q": F.percentile(v, F.array(F.lit(LOW), F.lit(HIGH))).over(own)})
-    long = long.withColumn("clipped", F.when(v.isNotNull(), F.least(F.greatest(v, F.get(q, F.lit(0))), F.get(q, F.lit(1)))))
-    long = long.withColumns({"mean": F.avg("clipped").over(own), "spread": F.stddev_pop("clipped").over(own)})
-    z = F.when(F.col("n") < 5, F.lit(None).cast("double")).when(F.coalesce("spread", F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(F.col("clipped") - F.col("mean"), F.col("spread")))
-    return long.withColumn("z", z).drop("q", "clipped", "mean", "spread")
+    keys = ["date", "grp"]
+    rows = saved(rows, "panel")
+    lows = {f: F.percentile(_number(f), F.array(F.lit(LOW), F.lit(HIGH))).alias(f"q_{f}") for f in features}
+    held = rows.groupBy(*keys).agg(F.count("*").alias("peers"), *[F.count(f).alias(f"n_{f}") for f in features], *lows.values())
+    rows = rows.join(held, keys)
+    clipped = {f"c_{f}": F.when(F.col(f).isNotNull(), F.least(F.greatest(_number(f), F.get(f"q_{f}", F.lit(0))), F.get(f"q_{f}", F.lit(1)))) for f in features}
+    rows = rows.withColumns(clipped).drop(*[f"q_{f}" for f in features])
+    moments = rows.groupBy(*keys).agg(*[F.avg(f"c_{f}").alias(f"m_{f}") for f in features], *[F.stddev_pop(f"c_{f}").alias(f"s_{f}") for f in features])
+    rows = rows.join(moments, keys)
+
+    def z(f: str) -> Column:
+        spread = F.col(f"s_{f}")
+        return F.when(F.col(f"n_{f}") < 5, F.lit(None).cast("double")).when(F.coalesce(spread, F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(F.col(f"c_{f}") - F.col(f"m_{f}"), spread))
+
+    return rows.withColumns({f"z_{f}": z(f) for f in features}).drop(*[f"{k}_{f}" for k in "cms" for f in features])
+
+
+def z_scores(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """date, grp, keep, peers, feature, value, n, z: a row for each feature."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _number(f).alias("value"), F.col(f"n_{f}").alias("n"), F.col(f"z_{f}").alias("z")) for f in features]))
+    return with_z(rows, features).select("date", "grp", *keep, "peers", each.alias("x")).select("date", "grp", *keep, "peers", "x.*")
 
 
 def _total(parts: list[Column]) -> Column:
@@ -45,28 +65,26 @@ def _total(parts: list[Column]) -> Column:
     return out
 
 
-def score_aggregates(weights: dict[str, float], horizon: str) -> dict[str, Column]:
-    """Sums over the features of a row; a feature without any z is not usable."""
-    w = F.try_element_at(F.create_map(*[F.lit(x) for item in weights.items() for x in item]), F.col("feature"))
-    z, has = F.col("z"), F.col("z").isNotNull() & w.isNotNull()
-    signed = F.when(has, z * F.signum(w))
-    return {
-        f"usable_{horizon}": F.sum(F.when((F.col("n") >= 5) & w.isNotNull(), F.abs(w)).otherwise(0.0)),
-        f"present_{horizon}": F.sum(F.when(has, F.abs(w)).otherwise(0.0)),
-        f"total_{horizon}": F.sum(F.when(has, z * w)),
-        f"sd_{horizon}": F.stddev_samp(signed),
+def score_columns(weights: dict[str, float], horizon: str, min_coverage: float = MIN_COVERAGE) -> list[dict[str, Column]]:
+    """Three steps of columns that end in score_, cov_ and spread_ of a horizon; a feature without any z is not usable."""
+    z = {f: F.col(f"z_{f}") for f in weights}
+    n, total, mean, sd = (F.col(f"_{k}_{horizon}") for k in ("n", "total", "mean", "sd"))
+    present, usable = F.col(f"_present_{horizon}"), F.col(f"_usable_{horizon}")
+    sums = {
+        f"_usable_{horizon}": _total([F.when(F.col(f"n_{f}") >= 5, abs(w)).otherwise(0.0) for f, w in weights.items()]),
+        f"_present_{horizon}": _total([F.when(z[f].isNotNull(), abs(w)).otherwise(0.0) for f, w in weights.items()]),
+        f"_total_{horizon}": _total([F.coalesce(z[f] * w, F.lit(0.0)) for f, w in weights.items()]),
+        f"_n_{horizon}": _total([z[f].isNotNull().cast("double") for f in weights]),
+        f"_mean_{horizon}": F.try_divide(_total([F.coalesce(z[f] if w > 0 else -z[f], F.lit(0.0)) for f, w in weights.items()]), _total([z[f].isNotNull().cast("double") for f in weights])),
     }
-
-
-def score_columns(horizon: str, min_coverage: float = MIN_COVERAGE) -> dict[str, Column]:
-    """score_, cov_ and spread_ of a horizon from its aggregates."""
-    enough = F.col("peers") >= MIN_PEERS
-    cover = F.try_divide(f"present_{horizon}", f"usable_{horizon}")
-    return {
-        f"score_{horizon}": F.when(enough & (cover >= min_coverage), F.try_divide(f"total_{horizon}", f"present_{horizon}")),
+    around = _total([F.coalesce(F.pow((z[f] if w > 0 else -z[f]) - mean, F.lit(2)), F.lit(0.0)) for f, w in weights.items()])
+    enough, cover = F.col("peers") >= MIN_PEERS, F.try_divide(present, usable)
+    said = {
+        f"score_{horizon}": F.when(enough & (n > 0) & (cover >= min_coverage), F.try_divide(total, present)),
         f"cov_{horizon}": F.when(enough, cover),
-        f"spread_{horizon}": F.when(enough, F.col(f"sd_{horizon}")),
+        f"spread_{horizon}": F.when(enough & (n > 1), sd),
     }
+    return [sums, {f"_sd_{horizon}": F.sqrt(F.try_divide(around, n - 1))}, said]
 
 
 def average_rank(value: str, peers: list[str]) -> Column:
@@ -80,15 +98,11 @@ def score_panel(panel: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS
     """date, symbol, grp, close, score_/cov_/spread_/pct_ of each horizon, score_global. Rows without a group are left out."""
     used = {h: {f: w for f, w in ws.items() if f in panel.columns} for h, ws in weights.items()}
     features = sorted({f for ws in used.values() for f in ws})
-    rows = panel.where("grp is not null").withColumn("peers", F.count("*").over(peers_window()))
-    sums: dict[str, Column] = {}
-    columns: dict[str, Column] = {}
-    for h, ws in used.items():
-        sums |= score_aggregates(ws, h)
-        columns |= score_columns(h)
-    long = z_scores(rows, features, ["symbol", "close", "peers"])
-    rows = long.groupBy("date", "grp", "symbol", "close", "peers").agg(*[c.alias(n) for n, c in sums.items()])
-    rows = rows.select("date", "symbol", "grp", "close", *[c.alias(n) for n, c in columns.items()])
+    rows = with_z(panel.where("grp is not null").select("date", "symbol", "grp", "close", *features), features)
+    steps = [score_columns(ws, h) for h, ws in used.items()]
+    for k in range(3):
+        rows = rows.withColumns({name: c for step in steps for name, c in step[k].items()})
+    rows = rows.select("date", "symbol", "grp", "close", *[name for step in steps for name in step[2]])
     share = {f"pct_{h}": F.bround(F.try_divide(average_rank(f"score_{h}", ["date", "grp"]), F.count(f"score_{h}").over(peers_window())) * 100, 1) for h in weights}
     mean = F.try_divide(_total([F.coalesce(f"score_{h}", F.lit(0.0)) for h in weights]), _total([F.when(F.col(f"score_{h}").isNotNull(), 1.0).otherwise(0.0) for h in weights]))
     return rows.withColumns(share).withColumn("score_global", mean)
@@ -98,9 +112,9 @@ def contributions(panel: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Of the last date: date, symbol, grp, feature, z (signed), weight, contribution, value."""
     day = panel.join(F.broadcast(panel.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
     used = {f: w for f, w in weights.items() if f in panel.columns}
-    rows = day.where("grp is not null").withColumn("peers", F.count("*").over(peers_window())).where(F.col("peers") >= MIN_PEERS)
+    rows = day.where("grp is not null")
     w = F.element_at(F.create_map(*[F.lit(x) for item in used.items() for x in item]), F.col("feature"))
-    long = z_scores(rows, sorted(used), ["symbol"]).withColumns({"z": F.col("z") * F.signum(w), "weight": F.abs(w)})
+    long = z_scores(rows, sorted(used), ["symbol"]).where(F.col("peers") >= MIN_PEERS).withColumns({"z": F.col("z") * F.signum(w), "weight": F.abs(w)})
     return long.select("date", "symbol", "grp", "feature", "z", "weight", (F.col("z") * F.col("weight")).alias("contribution"), "value")
 
 

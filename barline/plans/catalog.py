@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barline.functions import rolling as r
 from barline.operators import anomalies, calendar, evidence, ewm, features, ingest, portfolio, report, scoring, simulation
 from barline.plans import sql
-from barline.sources import bars, feeds, html_tables, store, universe
+from barline.sources import bars, feeds, html_tables, shared, store, universe
 from barline.streaming import bars as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +49,11 @@ def rounded(df: DataFrame, columns: dict[str, int], *keys: str) -> DataFrame:
 
 
 def week(spark: SparkSession, d: str) -> DataFrame:
-    return calendar.with_sessions(bars.supplier_week(spark, d))
+    return shared.saved(calendar.with_sessions(bars.supplier_week(spark, d)), "bars", by="symbol")
 
 
 def month(spark: SparkSession, d: str) -> DataFrame:
-    return calendar.with_sessions(bars.brand_month(spark, d))
+    return shared.saved(calendar.with_sessions(bars.brand_month(spark, d)), "bars", by="symbol")
 
 
 def queries() -> dict[str, Query]:
@@ -135,8 +135,8 @@ def sessions_late(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{sql.WEEK} SELECT symbol, sess, round({sql.sma('close', 20)}, 3) + 0.0 AS sma20, round({sql.change('close', 5)}, 6) + 0.0 AS roc5, round({sql.at('close', -21)} / {sql.at('close', -52)} - 1, 6) + 0.0 AS mom FROM w")
 def moving_averages(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("close")
-    rows = week(spark, d).withColumns({"sma20": r.sma(c, 20), "roc5": r.change(c, 5), "mom": r.momentum(c, 52, 21)})
+    c, w = F.col("close"), r.Windows()
+    rows = w.add(r.in_units(week(spark, d).withColumns({"roc5": r.change(c, 5), "mom": r.momentum(c, 52, 21)}), "close", "unit"), {"sma20": w.sma("unit", 20) * F.try_divide(c, F.col("unit"))})
     return rounded(rows, {"sma20": 3, "roc5": 6, "mom": 6}, "symbol", F.col("sess").cast("long").alias("sess"))
 
 
@@ -148,8 +148,9 @@ _PRE = f"x AS (SELECT *, ln(close) AS y, {sql.at('close', -1)} AS before FROM w)
 round(CASE WHEN var_pop(y) {sql.over(12)} > 0 THEN {sql.guarded('regr_r2(y, sess)', 'y', 12, 12)} END, 6) + 0.0 AS fit FROM x"""
 )
 def trend(spark: SparkSession, d: str) -> DataFrame:
-    rows = month(spark, d).withColumn("y", F.ln("close"))
-    return rounded(rows.withColumns({"slope": r.slope(F.col("y"), 12), "fit": r.fit(F.col("y"), 12)}), {"slope": 6, "fit": 6}, "symbol", "date")
+    rows = r.centred(month(spark, d).withColumn("log", F.ln("close")), "log", "y")
+    w = r.Windows()
+    return rounded(w.add(rows, {"slope": w.slope("y", 12), "fit": w.fit("y", 12)}), {"slope": 6, "fit": 6}, "symbol", "date")
 
 
 @query(f"{sql.WEEK}, {_PRE} SELECT symbol, date, greatest(high - low, abs(high - before), abs(low - before)) AS true_range, round(close / max(close) OVER (PARTITION BY symbol ORDER BY sess) - 1, 6) + 0.0 AS drop FROM x")

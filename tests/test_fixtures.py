@@ -31,8 +31,8 @@ def column(df, name, key="sess"):
 
 def test_frames_count_sessions_and_not_rows(spark):
     bars = series(spark, [1.0, 2.0, None, None, 5.0, 6.0])
-    c = F.col("close")
-    out = bars.select("sess", r.at(c, -1).alias("before"), r.change(c, 4).alias("change"), r.sma(c, 4).alias("sma"))
+    c, w = F.col("close"), r.Windows()
+    out = w.add(bars.withColumns({"before": r.at(c, -1), "change": r.change(c, 4)}), {"sma": w.sma("close", 4)})
     assert column(out, "before") == [None, 1.0, None, 5.0]
     assert column(out, "change") == [None, None, 4.0, 2.0]
     assert column(out, "sma") == [None, 1.5, 3.5, 5.5]
@@ -48,7 +48,8 @@ def test_rising_closes_have_rsi_50_and_no_trend_is_null(spark):
     out = ewm.with_ewm(bars)
     assert set(column(out, "rsi14")) == {50.0}
     flat = series(spark, [7.0] * 12).withColumn("y", F.ln("close"))
-    assert column(flat.withColumn("fit", r.fit(F.col("y"), 5)), "fit") == [None] * 12
+    w = r.Windows()
+    assert column(w.add(flat, {"fit": w.fit("y", 5)}), "fit") == [None] * 12
 
 
 def test_z_scores(spark):
