@@ -15,14 +15,19 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 INDICATORS = ("ema12", "ema26", "rsi14", "rsi2", "macd_hist", "atr14", "adx14")
 DECAY, BACK = 18, 2
 
-_BY_SESSION = Window.partitionBy("symbol").orderBy("sess")
-_SO_FAR = _BY_SESSION.rowsBetween(Window.unboundedPreceding, 0)
-_EARLIER = _BY_SESSION.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _by_session() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("sess")
+
+
+def _so_far() -> WindowSpec:
+    return _by_session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 class Sum:
@@ -68,7 +73,7 @@ def _places(rows: DataFrame) -> DataFrame:
     out = {}
     for p, x in PATTERNS.items():
         at = F.when(F.col(x).isNotNull(), F.col("sess"))
-        out |= {f"_{p}_n": F.count(at).over(_SO_FAR), f"_{p}_d": at - F.last(at, True).over(_EARLIER), f"_{p}_age": F.coalesce(F.last(at, True).over(_SO_FAR) - F.first(at, True).over(_SO_FAR), F.lit(0))}
+        out |= {f"_{p}_n": F.count(at).over(_so_far()), f"_{p}_d": at - F.last(at, True).over(_by_session().rowsBetween(Window.unboundedPreceding, -1)), f"_{p}_age": F.coalesce(F.last(at, True).over(_so_far()) - F.first(at, True).over(_so_far()), F.lit(0))}
     return rows.withColumns(out)
 
 
@@ -86,7 +91,7 @@ def _average(p: str, a: float, columns: dict[str, str]) -> Sum:
 
 def _carried(x: str, a: float) -> Column:
     """Addends of an average of x, which keeps its value through gaps; weight 1 for its first value."""
-    before, d = F.lag(x).over(_BY_SESSION), F.col("sess") - F.lag("sess").over(_BY_SESSION)
+    before, d = F.lag(x).over(_by_session()), F.col("sess") - F.lag("sess").over(_by_session())
     return F.when(before.isNull(), F.col(x)).otherwise((1 - F.pow(F.lit(1 - a), d - 1)) * (1 - a) * before + a * F.col(x))
 
 
@@ -99,8 +104,8 @@ def indicators(bars: DataFrame) -> DataFrame:
     one = bars.where("symbol is not null and sess is not null").groupBy("symbol", F.col("sess").cast("long").alias("sess")).agg(F.max(F.struct(*number.values())).alias("bar"))
     rows = one.select("symbol", "sess", "bar.close", "bar.high", "bar.low")
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in number})
-    follows = F.lag("sess").over(_BY_SESSION) == F.col("sess") - 1
-    rows = rows.withColumns({f"_{c}": F.when(follows, F.lag(c).over(_BY_SESSION)) for c in number})
+    follows = F.lag("sess").over(_by_session()) == F.col("sess") - 1
+    rows = rows.withColumns({f"_{c}": F.when(follows, F.lag(c).over(_by_session())) for c in number})
     move, up, down = F.col("close") - F.col("_close"), F.col("high") - F.col("_high"), F.col("_low") - F.col("low")
     zero = F.lit(0.0)
     rows = rows.withColumns(
@@ -117,7 +122,7 @@ def indicators(bars: DataFrame) -> DataFrame:
     gaps = {}  # the logarithms of the weights that gaps leave, as running sums
     for p, a in (("c", ema12), ("c", ema26), ("m", w14), ("m", w2), ("r", w14)):
         left = F.when(F.col(f"_{p}_d") > 1, F.ln(_left(p, a) + a)).otherwise(0.0)
-        gaps[f"_{p}_{round(1000 / a)}"] = F.sum(left).over(_SO_FAR)
+        gaps[f"_{p}_{round(1000 / a)}"] = F.sum(left).over(_so_far())
     rows = rows.withColumns(gaps)
     closes = [_average("c", ema26, {"_ema26": "close"}), _average("c", ema12, {"_ema12": "close"})]
     moves, quick = [_average("m", w14, {"_gain14": "_gain", "_loss14": "_loss"})], [_average("m", w2, {"_gain2": "_gain", "_loss2": "_loss"})]
@@ -129,7 +134,7 @@ def indicators(bars: DataFrame) -> DataFrame:
     wide = F.when(F.col("sess") >= 14, 100 / F.nullif(known["_atr14"], zero))
     plus, minus = F.col("_up") * wide, F.col("_down") * wide
     rows = rows.withColumns(known | {"_dx": F.try_divide(100 * F.abs(plus - minus), plus + minus), "_line": known["_ema12"] - known["_ema26"]})
-    rows = rows.withColumns({"_dx_from": F.min(F.when(F.col("_dx").isNotNull(), F.col("sess"))).over(_SO_FAR), "_dx_in": _carried("_dx", w14), "_line_in": _carried("_line", nine)})
+    rows = rows.withColumns({"_dx_from": F.min(F.when(F.col("_dx").isNotNull(), F.col("sess"))).over(_so_far()), "_dx_in": _carried("_dx", w14), "_line_in": _carried("_line", nine)})
     rows = weighted_sums(rows, [Sum(w14, F.col("sess"), {"_adx": F.col("_dx_in")}), Sum(nine, F.col("sess"), {"_signal": F.col("_line_in")})])
     rsi = {f"rsi{n}": F.coalesce(100 - 100 / (1 + F.try_divide(f"_gain{n}", f"_loss{n}")), F.lit(50.0)) for n in (14, 2)}
     out = rows.withColumns(rsi | {"macd_hist": F.try_divide(F.col("_line") - F.col("_signal"), F.col("close")), "adx14": F.when(F.col("sess") - F.col("_dx_from") >= 13, F.col("_adx"))})
