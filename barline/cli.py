@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.operators import anomalies, calendar, evidence, features, ingest, portfolio, report, scoring
-from barline.sources import feeds, state, store, universe
-from barline.sources.batches import BarFiles
+from barline.sources import feeds, shared, state, store, universe
+from barline.sources.batches import register
+from barline.sources.versions import VersionedStore
 
 
 def _bars(spark: SparkSession, path: str) -> DataFrame:
-    rows = calendar.trim_incomplete(calendar.business_days(store.load(spark, path)))
+    rows = ingest.quality_filter(VersionedStore(spark, path, store.BAR_SCHEMA).read())
+    rows = calendar.trim_incomplete(calendar.business_days(rows))
     return calendar.with_sessions(rows.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume")}))
 
 
@@ -33,32 +35,60 @@ def run_universe(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"no symbol in group {grp}")
 
 
+def _feed(spark: SparkSession, a: argparse.Namespace, plan: DataFrame) -> DataFrame:
+    """Bars of the planned symbols from their own start on; what a first pass lacked is asked for once more."""
+    register(spark)
+    earliest = plan.agg(F.min("start").alias("start")).first().start
+    files = spark.read.format("bar_files").option("path", a.feed).load()
+    files = files.where(F.col("date") >= F.lit(earliest)) if earliest else files
+    asked = lambda p: files.join(p.select("symbol", "start"), "symbol").where("start is null or date >= start").drop("start")
+    first = shared.saved(asked(plan), "first-pass")
+    lacking = plan.join(first.select("symbol").distinct(), "symbol", "left_anti")
+    return first.unionByName(shared.saved(asked(lacking), "second-pass"))
+
+
 def run_update(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Recent or whole history of each symbol from the folder, what it lacks from the reserve; plausible rows replace the store."""
-    spark.dataSource.register(BarFiles)
+    """The planned history of each symbol from the feed, what it lacks from the reserve; a version of the store with poor coverage is never made.
+
+    Every ``--refresh-days`` days, or with ``--full``, whole histories replace the stored ones and the screens of whole series apply; on the days
+    between, bars since seven days before the last one are merged. Marks and failures are written after the store: a stop in between asks again.
+    """
     listed = spark.read.option("header", True).csv(a.universe).select("symbol", "grp")
-    symbols = sorted(r.symbol for r in listed.select("symbol").collect())  # names only
-    old = store.load(spark, a.store)
-    plan = ingest.plan_downloads(listed, old, state.read_marks(spark, f"{a.store}-marks"), a.today)
-    got = spark.read.format("bar_files").option("path", a.feed).option("symbols", ",".join(symbols[: a.limit or None])).option("start", a.start).load()
-    got = got.join(F.broadcast(listed), "symbol").select(*old.columns)  # a row for each symbol of the universe, checked to be a list above
+    bars = VersionedStore(spark, a.store, store.BAR_SCHEMA)
+    old, failed = bars.read(), state.read_failed(spark, f"{a.store}-failed")
+    marks = state.read_marks(spark, f"{a.store}-marks")
+    full = a.full or state.reload_due(bars.notes().get("reloaded_on"), a.today, a.refresh_days)
+    begin = F.coalesce(F.lit(a.start or None).cast("date"), F.add_months(F.lit(a.today).cast("date"), -12 * a.years))
+    plan = ingest.plan_downloads(listed, old, marks, a.today).join(ingest.not_worth_asking(failed, a.today), "symbol", "left_anti")
+    plan = plan.join(ingest.last_dates(old), "symbol", "left")
+    plan = plan.orderBy("symbol").limit(a.limit) if a.limit else plan
+    start = F.when((F.col("plan") == "recent") & F.lit(not full), F.date_sub("last_date", 7)).otherwise(begin)
+    plan = shared.saved(plan.select("symbol", "plan", start.alias("start")), "plan")
+    got = _feed(spark, a, plan).join(listed, "symbol").select(*old.columns)
     if a.reserve:
-        lacking = listed.join(got.select("symbol").distinct(), "symbol", "left_anti")
+        lacking = plan.join(got.select("symbol").distinct(), "symbol", "left_anti").select("symbol")
         more, reasons = feeds.reserve(spark, a.reserve, lacking, a.start)
         got = got.unionByName(ingest.splice(more.join(listed, "symbol"), old).select(*old.columns))
         print({r.reason: r.symbols for r in reasons.collect()})
-    got = store.coerce(got)
-    print(ingest.download_summary(got, listed, old).first().asDict())
-    both = ingest.replace_refreshed(old, got.select(*old.columns)) if a.full else ingest.upsert(old, got.select(*old.columns), ["symbol", "date"])
-    kept = ingest.prune(ingest.quality_filter(both), listed)
-    store.save(kept.withColumn("_sequence", F.lit(0)), f"{a.store}.next", "_sequence")
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = path(a.store).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(path(a.store), True)
-    files.rename(path(f"{a.store}.next"), path(a.store))
-    state.write_state(plan.where("plan = 'full'").select("symbol", F.lit(a.today).alias("asked_on")), f"{a.store}-marks")
+    got = shared.saved(store.coerce(got).where("close > 0 and high >= low").select(*old.columns), "bars")
+    told = ingest.download_summary(got, plan, old).first().asDict()
+    print(told)
+    gate = lambda rows: ingest.check_coverage(rows, listed, a.min_coverage)
+    if told["verdict"] == "nothing":
+        print("the store stays as it is")
+    elif full or not bars.versions():
+        kept = ingest.prune(ingest.quality_filter(ingest.replace_refreshed(old, got)), listed)
+        bars.replace(store.clean(kept.withColumn("_sequence", F.lit(0)), "_sequence").drop("_sequence"), {"reloaded_on": a.today}, gate)
+    else:
+        bars.merge(got, gate=gate)
+    answered = got.select("symbol").distinct()
+    asked_on = marks.unionByName(plan.where("plan = 'full'").select("symbol", F.to_date(F.lit(a.today)).alias("asked_on"))).groupBy("symbol").agg(F.max("asked_on").alias("asked_on"))
+    failures = ingest.count_failures(failed, plan, answered, a.today)
+    for name, rows in (("marks", shared.saved(asked_on, "marks")), ("failed", shared.saved(failures, "failed"))):  # they read what they replace
+        state.write_state(rows, f"{a.store}-{name}")
+    bars.vacuum(a.keep_versions)
     if not a.no_freshness:
-        calendar.check_freshness(store.load(spark, a.store), a.today, a.max_late)
+        calendar.check_freshness(bars.read(), a.today, a.max_late)
 
 
 def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -125,7 +155,7 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(flag, default=default, type=type(default))
 
     command("universe", run_universe, listing="")
-    command("update", run_update, feed="feed", reserve="", start="", limit=0, full=False, max_late=2, no_freshness=False)
+    command("update", run_update, feed="feed", reserve="", start="", years=8, limit=0, full=False, refresh_days=30, min_coverage=75.0, keep_versions=2, max_late=2, no_freshness=False)
     command("scan", run_scan, period="month", history_months=96, min_dollar_volume=1e6)
     command("validate", run_validate, cost_bps=10.0)
     command("report", run_report, top=30, comment_top=12, no_comments=False, no_portfolio=False)

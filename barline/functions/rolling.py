@@ -144,7 +144,7 @@ class Windows:
         """R squared of that regression; null for constant y."""
         lean = self.leaning(y, n)
         r2 = F.try_divide(lean * lean, self.around(y, n) * (n * (n * n - 1) / 12))
-        return self.guarded(F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0)), y, n, n)
+        return self.guarded(F.when(r2.isNotNull(), F.least(r2, F.lit(1.0))), y, n, n)
 
     def ulcer(self, drop: str, n: int) -> Column:
         """Root mean square of drawdowns from the running maximum of the same length."""
@@ -169,8 +169,8 @@ class Windows:
         return ratio(self.guarded(self.mean(r, n), r, n, n // 2) * math.sqrt(252), down)
 
     def gap_ratio(self, open_: str, close: str, before: str, n: int = 63) -> Column:
-        gap, whole_ = f"abs(try_divide({open_}, {before}) - 1)", f"abs(try_divide({close}, {before}) - 1)"
-        return ratio(self.guarded(self.total(gap, n), gap, n, n // 3), self.guarded(self.total(whole_, n), whole_, n, n // 3))
+        gap, all_ = f"abs(try_divide({open_}, {before}) - 1)", f"abs(try_divide({close}, {before}) - 1)"
+        return ratio(self.guarded(self.total(gap, n), gap, n, n // 3), self.guarded(self.total(all_, n), all_, n, n // 3))
 
     def beta(self, r: str, bench: str, bench_var: str, n: int) -> Column:
         """bench: the benchmark's return on the same row; bench_var: its variance over the window, gaps or not."""

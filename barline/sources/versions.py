@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,14 +94,16 @@ class VersionedStore:
     def _part(folder: str) -> str:
         return folder.split("/", 1)[1]
 
-    def replace(self, rows: DataFrame, notes: dict | None = None) -> int:
-        """A new version of these rows alone."""
+    def replace(self, rows: DataFrame, notes: dict | None = None, gate: Callable[[DataFrame], object] | None = None) -> int:
+        """A new version of these rows alone. gate: sees the whole table before it becomes a version; if it raises, there is none."""
         was = self.entry()
         folders = self.write_folders(rows)
+        if gate:
+            gate(self._of(folders))
         self.commit(was["version"] + 1, folders, was["notes"] | (notes or {}))
         return was["version"] + 1
 
-    def merge(self, rows: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), notes: dict | None = None) -> int:
+    def merge(self, rows: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), notes: dict | None = None, gate: Callable[[DataFrame], object] | None = None) -> int:
         """Upserts rows (the last of equal keys is any one of them, by its hash).
 
         Folders of other groups and periods stay as they are. A symbol that comes with another group takes its old rows there.
@@ -116,7 +119,10 @@ class VersionedStore:
         before = self._of(old).join(groups, "symbol", "left")
         before = before.withColumn("grp", F.coalesce("new_grp", "grp")).drop("new_grp")
         folders = self.write_folders(upsert(before, rows.select(*before.columns), list(keys)))
-        self.commit(was["version"] + 1, [f for f in was["folders"] if f not in set(old)] + folders, was["notes"] | (notes or {}))
+        folders += [f for f in was["folders"] if f not in set(old)]
+        if gate:
+            gate(self._of(folders))
+        self.commit(was["version"] + 1, folders, was["notes"] | (notes or {}))
         return was["version"] + 1
 
     def _named(self, grp: str | None, period: str | None) -> str:

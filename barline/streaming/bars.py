@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.operators.ingest import upsert
+from barline.sources.shared import new_folder
+from barline.sources.versions import VersionedStore
 
 FAILURES = "symbol long, failures int, since timestamp_ntz"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder of its own under the shared one that the session names; a temporary one where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='barline-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own under the shared one."""
+    return new_folder(spark, "stream")
 
 
 def ticks(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -42,22 +39,23 @@ def session_activity(stream: DataFrame, gap: str = "6 hours", late: str = "1 hou
     return runs.select("symbol", F.col("run.start").cast("timestamp_ntz").alias("start"), F.col("run.end").cast("timestamp_ntz").alias("end"), "events")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs what is available now into Parquet files, and returns them."""
+def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs what is available now into Parquet files, and returns them. With a folder given, the next call goes on from there."""
     spark = stream.sparkSession
-    folder = work_dir(spark)
+    folder = folder or work_dir(spark)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_counters(stream: DataFrame, failed: str = "event_type = 'error'") -> DataFrame:
+def run_counters(stream: DataFrame, failed: str = "event_type = 'error'", folder: str | None = None) -> DataFrame:
     """symbol, failures, since: of each symbol the failures in a row, by event time within a batch; a success clears them.
 
     Each batch is reduced by Spark to the failures after the last success of each symbol, however many events that has; only
-    these sums meet the state, a table for each batch, of which a repeated batch rewrites its own.
+    these sums meet the state, a table for each batch, of which a repeated batch rewrites its own. Tables of batches before the last
+    two are deleted. With a folder given, the next call goes on from there.
     """
-    folder = work_dir(stream.sparkSession)
+    folder = folder or work_dir(stream.sparkSession)
 
     def count(batch: DataFrame, number: int) -> None:
         rows = batch.select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.struct("ts", "event_id").alias("turn"), F.coalesce(F.expr(failed), F.lit(False)).alias("failed"))
@@ -68,29 +66,30 @@ def run_counters(stream: DataFrame, failed: str = "event_type = 'error'") -> Dat
         kept = F.when(F.col("sound").isNull(), F.coalesce("failures", F.lit(0))).otherwise(0)
         both = before.join(new, "symbol", "full_outer").select("symbol", (kept + F.coalesce("more", F.lit(0))).cast("int").alias("failures"), F.when(kept > 0, F.col("since")).otherwise(F.col("first")).alias("since"))
         both.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/out/batch={number - 2}")
+        old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     states = stream.sparkSession.read.schema(FAILURES + ", batch int").parquet(f"{folder}/out")
     return states.join(F.broadcast(states.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")  # one row
 
 
-def merge_stream(stream: DataFrame, store_path: str, keys: list[str]) -> None:
-    """Upserts each batch into a store: the new store is written beside the old one, whose place it then takes.
+def merge_stream(stream: DataFrame, store: VersionedStore, state: str, keys: tuple[str, ...] = ("symbol", "date"), late_days: int = 7) -> None:
+    """Upserts what is available now into a store. ``state`` is the stream's checkpoint: with the same one the next call goes on where this one ended.
 
-    A batch that was stopped between the two steps has left the whole new store beside: it takes its place first.
+    A row more than ``late_days`` days before the newest date of the batches before it is too late: it is counted and left out. Each version notes
+    the stream, its batch and its newest date, so a batch that comes again after a stop is passed over.
     """
-    spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
-        here, beside = jvm.org.apache.hadoop.fs.Path(store_path), jvm.org.apache.hadoop.fs.Path(f"{store_path}.next")
-        files = here.getFileSystem(conf)
-        if not files.exists(here) and files.exists(jvm.org.apache.hadoop.fs.Path(beside, "_SUCCESS")):
-            files.rename(beside, here)
-        merged = upsert(session.read.parquet(store_path), batch, keys) if files.exists(here) else batch
-        merged.write.mode("overwrite").parquet(f"{store_path}.next")
-        files.delete(here, True)
-        files.rename(beside, here)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{work_dir(spark)}/state").trigger(availableNow=True).start().awaitTermination()
+        notes = store.notes()
+        mine = notes.get("streams", {}).get(state, {"batch": -1, "newest": None})
+        if number <= mine["batch"]:
+            return
+        bound = F.date_sub(F.lit(mine["newest"]).cast("date"), late_days)
+        told = batch.agg(F.max("date").cast("string").alias("newest"), F.count_if(F.col("date") < bound).alias("late")).first()
+        newest = max(filter(None, (mine["newest"], told.newest)), default=None)
+        streams = notes.get("streams", {}) | {state: {"batch": number, "newest": newest}}
+        store.merge(batch.where((F.col("date") >= bound) | bound.isNull()), keys, {"streams": streams, "late": notes.get("late", 0) + told.late})
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions import rolling as r
 from barline.operators import anomalies, calendar, evidence, ewm, features, ingest, portfolio, scoring
 from barline.sources import html_tables, store, universe
-from barline.sources.batches import BarFiles
+from barline.sources.batches import register
 from barline.streaming import bars as stream
 
 DAY0 = datetime.date(2024, 1, 1)  # a Monday
@@ -197,8 +197,8 @@ def test_store_and_batches(spark, tmp_path):
     store.save(df, path, "seq")
     assert [(x.symbol, x.close) for x in store.load(spark, path).collect()] == [("a", 2.0)]
     (tmp_path / "AAA.csv").write_text("date,open,high,low,close,volume\n2024-01-01,1,2,0.5,1.5,10\n2024-01-02,1,2,0.5,,10\n")
-    spark.dataSource.register(BarFiles)
-    out = spark.read.format("bar_files").option("path", str(tmp_path)).option("symbols", "AAA,BBB").option("batch", 1).load()
+    register(spark)
+    out = spark.read.format("bar_files").option("path", str(tmp_path)).option("pieces", 2).load()
     assert [(x.symbol, x.close) for x in out.collect()] == [("AAA", 1.5)]
 
 
@@ -215,11 +215,3 @@ def test_execution_never_spends_more_than_there_is(spark):
     fills = {f.symbol: f for f in portfolio.execute(df, cash).collect()}
     assert set(fills) == {"keep", "a", "d"} and fills["keep"].amount == 499.5
     assert fills["d"].amount == pytest.approx(100 + 499.5 - 1 - 400) and fills["d"].cash_after == 0
-
-
-def test_stream_upsert_equals_batch(spark, tmp_path):
-    source, path = tmp_path / "in", str(tmp_path / "store")
-    spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string").write.parquet(path)
-    spark.createDataFrame([(2, "new"), (3, "new")], "k int, v string").write.parquet(str(source))
-    stream.merge_stream(spark.readStream.schema("k int, v string").parquet(str(source)), path, ["k"])
-    assert {tuple(x) for x in spark.read.parquet(path).collect()} == {(1, "old"), (2, "new"), (3, "new")}
