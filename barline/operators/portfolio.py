@@ -109,7 +109,7 @@ def plan_orders(positions: DataFrame, targets: DataFrame, alphas: DataFrame, gro
     alpha = F.coalesce("alpha", F.lit(0.0))
     wanted = target_weights(targets.select("symbol").join(alphas, "symbol", "left"))
     best = wanted.join(groups, "symbol", "left").select(F.struct(F.greatest(alpha, F.lit(0.0)).alias("a"), F.coalesce("grp", F.lit("default")).alias("g"), "symbol").alias("b"))
-    best = best.agg(F.max_by("b", F.col("b.a")).alias("best"))
+    best = best.agg(F.min_by("b", F.struct(-F.col("b.a"), F.col("b.symbol"))).alias("best"))
     held = positions.agg(F.count("*").alias("held"))
     rows = positions.join(wanted.select("symbol", "weight"), "symbol", "full_outer").join(alphas, "symbol", "left").join(groups, "symbol", "left")
     rows = rows.join(F.broadcast(best)).join(F.broadcast(held))  # one row each
@@ -149,11 +149,11 @@ def execute(orders: DataFrame, cash: DataFrame) -> DataFrame:
     net: what a purchase puts into the position, or a sale brings, after the fee; cash_after: the cash of the book then; place: from 0.
 
     orders: scenario, broker, symbol, side, amount, units_held, price (in euros; null or not positive: no fill),
-    fee, half_spread, turn; cash: scenario, broker, cash. The orders of one portfolio are few, so each is a group.
+    fee, half_spread, turn (the place in the plan; equal ones go by symbol); cash: scenario, broker, cash. The orders of one portfolio are few, so each is a group.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(late=rows["side"] != "sale").sort_values(["late", "turn"], kind="stable")
+        rows = rows.assign(late=rows["side"] != "sale").sort_values(["late", "turn", "symbol"], kind="stable")
         money, out = float(rows["cash"].iloc[0]), []
         for o in rows.itertuples():
             if not o.price > 0:

@@ -18,12 +18,11 @@ from barline.operators.scoring import MIN_PEERS, correlations
 
 BOOKS = "scenario string, broker string, cash double, costs double, saved double, last_rebalance date"
 POSITIONS = "scenario string, broker string, symbol string, units double, cost double"
-PENDING = "scenario string, broker string, symbol string, side string, amount double, decided_on date"
+PENDING = "scenario string, broker string, symbol string, side string, amount double, decided_on date, turn int"
 DROPPED = "scenario string, broker string, symbol string, side string, decision string, avoided double"
 TABLES = {"books": BOOKS, "positions": POSITIONS, "pending": PENDING, "dropped": DROPPED}
 CURVE_KEYS = ("date", "scenario", "broker")
 PERIODS = {scenario: period for scenario, (_, period) in portfolio.SCENARIOS.items()}
-SIZES = {scenario: n for scenario, (n, _) in portfolio.SCENARIOS.items()}
 
 
 @dataclass
@@ -76,7 +75,7 @@ def fill(state: State, prices: DataFrame, groups: DataFrame, today: str) -> tupl
     orders = due.join(quote, ["symbol", "session"], "left").join(held, ["scenario", "broker", "symbol"], "left").join(groups.select("symbol", "grp"), "symbol", "left")
     group = F.coalesce("grp", F.lit("default"))
     cost = lambda f: reduce(lambda c, b: F.when(F.col("broker") == b, f(b, group)).otherwise(c), portfolio.BROKERS, F.lit(0.0))
-    orders = orders.withColumns({"units_held": F.coalesce("units_held", F.lit(0.0)), "fee": cost(portfolio.fee), "half_spread": cost(portfolio.half_spread), "turn": F.concat_ws(" ", "symbol", "amount")})
+    orders = orders.withColumns({"units_held": F.coalesce("units_held", F.lit(0.0)), "fee": cost(portfolio.fee), "half_spread": cost(portfolio.half_spread), "turn": F.coalesce("turn", F.lit(2**31 - 1))})
     fills = portfolio.execute(orders, state.books.select("scenario", "broker", "cash")).join(orders.select("scenario", "broker", "symbol", "session", F.col("price").alias("paid"), "half_spread").distinct(), ["scenario", "broker", "symbol"])
     sign = F.when(F.col("side") == "sale", 1.0).otherwise(-1.0)
     fills = fills.withColumn("spread", F.abs("units") * F.col("paid") * F.col("half_spread"))
@@ -132,15 +131,16 @@ def decide(state: State, prices: DataFrame, groups: DataFrame, today: str, targe
         if not chosen or not last.get(scenario):
             continue
         wanted = spark.createDataFrame([(s,) for s in chosen], "symbol string")
+        place = spark.createDataFrame([(str(s), k) for k, s in enumerate(chosen)], "symbol string, turn int")  # purchases go by rank while cash lasts
         for broker in portfolio.BROKERS:
             own = state.positions.where((F.col("scenario") == scenario) & (F.col("broker") == broker)).select("symbol", "cost")
             plan = portfolio.plan_orders(own, wanted, alphas[scenario], groups, values[scenario, broker], broker)
-            plans.append(plan.select(F.lit(scenario).alias("scenario"), F.lit(broker).alias("broker"), F.col("symbol").cast("string").alias("symbol"), "side", "amount", "decision", "avoided"))
+            plans.append(plan.select(F.lit(scenario).alias("scenario"), F.lit(broker).alias("broker"), F.col("symbol").cast("string").alias("symbol"), "side", "amount", "decision", "avoided").join(F.broadcast(place), "symbol", "left"))
     if not plans:
         return state
     every = reduce(DataFrame.unionByName, plans)
     decided = [s for s, chosen in targets.items() if chosen and last.get(s)]
-    new = every.where("decision = 'order'").select("scenario", "broker", "symbol", "side", "amount", now.alias("decided_on"))
+    new = every.where("decision = 'order'").select("scenario", "broker", "symbol", "side", "amount", now.alias("decided_on"), "turn")
     dropped = every.where("decision <> 'order' and decision not in ('inside the band', 'reductions run on')").select(*_names(DROPPED))
     saved = dropped.groupBy("scenario", "broker").agg(F.sum(F.coalesce("avoided", F.lit(0.0))).alias("more"))
     is_due = F.col("scenario").isin(decided)

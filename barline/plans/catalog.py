@@ -791,7 +791,12 @@ def stream_tick_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, {"open": 4, "high": 4, "low": 4, "close": 4}, "symbol", "start", "end", "volume")
 
 
-@query()
+# Of equal times at a pause no session is parted: the next event opens one only after six whole hours.
+@query(
+    """WITH e AS (SELECT user_id AS symbol, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, TRUE) AS opens FROM events),
+n AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM e)
+SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM n GROUP BY symbol, run HAVING "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.run_to_table(stream.session_activity(stream.ticks(spark, d)))
 

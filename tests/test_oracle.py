@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from barline.plans import catalog
+from barline.sources import shared
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -21,6 +22,23 @@ def db():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def made_once():
+    """Bars, panels and scores that many queries begin with are made once for all of them."""
+    patch = pytest.MonkeyPatch()
+    for name in ("week", "month", "panel", "scored"):
+        real, held = getattr(catalog, name), {}
+
+        def once(spark, d, plain=False, real=real, held=held, name=name):
+            if (d, plain) not in held:
+                held[d, plain] = shared.saved(real(spark, d, plain) if name in ("panel", "scored") else real(spark, d), name)
+            return held[d, plain]
+
+        patch.setattr(catalog, name, once)
+    yield
+    patch.undo()
+
+
 def plain(v):
     if isinstance(v, float) and math.isnan(v):
         return None

@@ -54,6 +54,30 @@ def test_days_of_the_portfolios(spark, tmp_path):
         step(DAYS[3], ["A"])
 
 
+def test_purchases_go_by_rank_while_cash_lasts(spark):
+    """Cash for 1.3 of three orders: it goes to the best placed symbols, whatever their names."""
+    book = ("short", "etoro")
+    state_ = simulation.start(spark)
+    cash = state_.books.withColumn("cash", F.when((F.col("scenario") == book[0]) & (F.col("broker") == book[1]), 13_000.0).otherwise(F.col("cash")))
+    ranked = ["ZZZ", "MMM", "AAA"]
+    pending = spark.createDataFrame([(*book, s, "purchase", 10_000.0, DAYS[0], k) for k, s in enumerate(ranked)], simulation.PENDING)
+    quotes = spark.createDataFrame([(s, d, 10.0, 10.0) for s in ranked for d in DAYS[:2]], "symbol string, date date, open double, close double")
+    groups = spark.createDataFrame([(s, "etf") for s in ranked], "symbol string, grp string")
+    _, fills = simulation.fill(simulation.State(cash, state_.positions, pending, state_.dropped), quotes, groups, str(DAYS[1]))
+    assert {r.symbol: r.amount for r in fills.collect()} == {"ZZZ": 10_000.0, "MMM": 3_000.0}
+
+
+def test_best_target_of_equal_alphas_is_the_first_by_name(spark):
+    held = spark.createDataFrame([("OLD", 5000.0)], "symbol string, cost double")
+    targets = spark.createDataFrame([("B",), ("A",)], "symbol string")
+    alphas = spark.createDataFrame([("A", 0.02), ("B", 0.02), ("OLD", 0.0)], "symbol string, alpha double")
+    avoided = set()
+    for groups in ([("A", "crypto"), ("B", "etf")], [("B", "etf"), ("A", "crypto")]):
+        plan = portfolio.plan_orders(held, targets.repartition(3), alphas, spark.createDataFrame(groups, "symbol string, grp string"), 40000.0, "trade_republic")
+        avoided |= {(r.decision, r.avoided) for r in plan.where("symbol = 'OLD'").collect()}
+    assert len(avoided) == 1
+
+
 def test_benchmark_waits_for_an_open(spark):
     out = simulation.benchmark(prices(spark, DAYS[4]), str(DAYS[0]), "A").orderBy("date").collect()
     units = (portfolio.CAPITAL - 1) / (11.0 * (1 + 8 / 2e4))

@@ -122,7 +122,7 @@ def test_a_stream_resumes_and_drops_what_is_too_late(spark, store, tmp_path, mon
 
 def test_a_batch_that_comes_again_is_not_merged_twice(spark, store, tmp_path, monkeypatch):
     folder, state = tmp_path / "in", f"file://{tmp_path}/state"
-    rows(spark, ("A", "x", 0, 1)).write.parquet(str(folder))
+    rows(spark, ("A", "x", 0, 1)).coalesce(1).write.parquet(str(folder))
     real = VersionedStore.merge
 
     def merge(self, *a, **k):
