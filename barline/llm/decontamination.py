@@ -24,6 +24,8 @@ WINDOW = 8
 #: Items of fewer words than this say too little to be looked for.
 LEAST_WORDS = 3
 BITS = 24
+#: Bits of the number of a slot in the table of the benchmark's names (512 KB). Words that share a slot with one are placeholders too, on both sides alike.
+NAME_BITS = 22
 #: Windows of the benchmark (about 100 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
@@ -41,13 +43,20 @@ _ENDS_SENTENCE = np.zeros(256, bool)
 _ENDS_SENTENCE[list(b".!?:")] = True
 
 
-def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical words, slot values (0 for plain words), and where each text's words begin.
 
     A word is a run without ASCII white space, less ASCII punctuation, in lower case (Latin letters). It is a
-    number if it begins with a digit, a unit if listed, a name if it begins with a capital but no sentence. Names that
+    number if it begins with a digit, a unit if listed, a name if it begins with a capital but no sentence, or if it is in
+    ``known`` (a bitmap), whatever its case. Words in capitals next to each other are shouted: that makes no names of them. Names that
     follow each other in a sentence are one, of one value.
     """
+    words, name, fixed, place, begin = _words(column, known)
+    return _slots(words, name, fixed, place, begin)
+
+
+def _words(column: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its hash, whether it is a name, its placeholder if it is a number or unit, its place; and where each text's words begin."""
     offsets, data = utf8(column)
     starts, ends = spans(offsets, data)
     keep = ~_DROP[data]
@@ -72,17 +81,33 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     big = capital[low] | ((text[low] == 0xC3) & capital[second]) if len(low) else np.zeros(0, bool)
     number = (text[low] >= 0x30) & (text[low] <= 0x39)
     unit = np.isin(words, _unit_hashes()) & ~number
-    name = big & ~opens & ~number & ~unit
-    out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words)))
     begin = np.searchsorted(starts, offsets, side="left")
+    small = ((text >= 0x61) & (text <= 0x7A)) | (after_c3 & (text >= 0xA0) & (text <= 0xBE) & (text != 0xB7))
+    letters = np.concatenate([[0], np.cumsum(small)])
+    loud = big & (letters[high] == letters[low])
+    beside = np.zeros(len(loud), bool)  # the word before is in capitals too, in the same text
+    beside[1:] = loud[1:] & loud[:-1]
+    beside[begin[:-1][begin[:-1] < len(loud)]] = False
+    shouted = beside.copy()
+    shouted[:-1] |= beside[1:]
+    name = big & ~opens & ~shouted
+    if known is not None:
+        name |= contains(known, words >> np.uint64(64 - NAME_BITS))
+    name &= ~number & ~unit
+    fixed = np.where(number, NUMBER, np.where(unit, UNIT, np.uint64(0)))
+    return words, name, fixed, np.arange(len(words)), begin
+
+
+def _slots(words: np.ndarray, name: np.ndarray, fixed: np.ndarray, place: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    out = np.where(fixed != 0, fixed, np.where(name, NAME, words))
     goes_on = np.zeros(len(out), bool)  # a name right after a name
     goes_on[1:] = name[1:] & name[:-1]
     goes_on[begin[:-1][begin[:-1] < len(out)]] = False
     first = np.flatnonzero(~goes_on)
-    place = np.arange(len(out)) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(out)))) if len(out) else np.zeros(0, np.int64)
+    place = place - np.maximum.accumulate(np.where(goes_on, 0, place)) if len(out) else place
     whole = np.where(name, mix(words + place.astype(np.uint64)), words)
     value = np.add.reduceat(whole, first) if len(first) else whole
-    slot = (number | unit | name)[first]
+    slot = (name | (fixed != 0))[first]
     return out[first], np.where(slot, value | np.uint64(1), np.uint64(0)), np.searchsorted(first, begin, side="left")
 
 
@@ -96,10 +121,17 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _windows(batch: pa.RecordBatch, sizes: list[int] | None, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words, name, *_ = _words(part.column("text"), None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words[name]).view(np.int64))], names=["name"])
+
+
+def _windows(batch: pa.RecordBatch, sizes: list[int] | None, wanted: np.ndarray | None, known: np.ndarray) -> Iterator[pa.RecordBatch]:
     """id, words (of the text), size, window, at, slots. sizes None: one size for each text, as long as it allows."""
     for part in slices(batch, "text"):
-        words, slots, begin = canonical(part.column("text"))
+        words, slots, begin = canonical(part.column("text"), known)
         n = np.diff(begin)
         ids = part.column("id")
         row = np.repeat(np.arange(len(n)), n)
@@ -140,6 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, doc_
     windows of alignments whose slots correspond one to one; each word of the item counts once. Alignments count together
     where their slots agree with each other too, else the one that covers most stands alone. changed_slots: item
     values that have another value in the document. first_word: where the first match begins, in canonical words.
+    What an item names counts as a name whatever its case, so copies in capitals or in lower case have the same template; other names
+    are known by their capital, so a text in one case hides new ones, and an item all in capitals has none of its own.
     Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words; items of fewer than
     WINDOW words are one window. Rows that repeat a doc_id or an item_id count as one; rows without an id count as one
     of a null id; empty tables give an empty result; other columns are not looked at.
@@ -147,9 +181,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, doc_
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
 
+    names = scratch.save(benchmark.select(F.col(text).alias("text")).mapInArrow(_names, "name long").distinct(), "names")
+    known = spark.sparkContext.broadcast(bitmap(names, F.shiftrightunsigned("name", 64 - NAME_BITS), NAME_BITS))
+
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _windows(batch, None, None)
+            yield from _windows(batch, None, None, known.value)
 
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(of_items, _SCHEMA)
     items = scratch.save(items.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "size", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct(), "items")
@@ -158,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, doc_
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _windows(batch, sizes, wanted.value)
+            yield from _windows(batch, sizes, wanted.value, known.value)
 
     found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(of_docs, _SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), "window", "at", "slots")

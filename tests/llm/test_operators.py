@@ -281,27 +281,41 @@ def test_license_scan(spark, docs, rows):
 # ---- 6 --------------------------------------------------------------------------------------------
 
 
-def plain_canonical(text):
-    """Canonical words, read word by word."""
-    out, before, follows = [], None, False
-    for m in re.finditer("[^\x20\x09-\x0d]+", text or ""):
+def plain_words(text):
+    """lower-cased word, whether it opens a sentence, has a capital first, is all in capitals."""
+    out, before = [], None
+    for m in re.finditer("[^\x20\x09-\x0D]+", text or ""):
         raw = m.group()
         word = re.sub(r"[!-/:-@\[-`{-~]", "", raw)
         opens = before is None or before[0][-1] in ".!?:" or "\n" in text[before[1] : m.start()]
         before = (raw, m.end())
         if word:
             low = "".join(c.lower() if ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×") else c for c in word)
-            kind = "#" if word[0] in "0123456789" else "u" if low in decontamination.UNITS else "n" if word[0] != low[0] and not opens else None
-            if kind == "n" and follows:
-                out[-1] = ("n", out[-1][1] + " " + low)
-            else:
-                out.append((kind or low, low if kind else None))
-            follows = kind == "n"
+            big = word[0] != low[0]
+            out.append((low, opens, big, big and not any("a" <= c <= "z" or "à" <= c <= "þ" and c != "÷" for c in word)))
     return out
 
 
+def plain_canonical(text, known=()):
+    """Canonical words, read word by word; known: names whatever their case."""
+    words, out, follows = plain_words(text), [], False
+    for k, (low, opens, big, loud) in enumerate(words):
+        shouted = loud and (k > 0 and words[k - 1][3] or k + 1 < len(words) and words[k + 1][3])
+        kind = "#" if low[0] in "0123456789" else "u" if low in decontamination.UNITS else "n" if low in known or (big and not opens and not shouted) else None
+        if kind == "n" and follows:
+            out[-1] = ("n", out[-1][1] + " " + low)
+        else:
+            out.append((kind or low, low if kind else None))
+        follows = kind == "n"
+    return out
+
+
+def plain_names(items):
+    return {w for t in items for k, v in plain_canonical(t) if k == "n" for w in v.split()}
+
+
 def test_canonical_words_agree_with_a_plain_reading(rows):
-    texts = [t for _, t in rows][:60] + ["Ann ran 5 km. Ben, 7.5!\nÉva said: Öl\n(Tom) x Tom's 12kg of MILES"]
+    texts = [t for _, t in rows][:60] + ["Ann ran 5 km. Ben, 7.5!\nÉva said: Öl\n(Tom) x Tom's 12kg of MILES", "He saw IBM and then ÉCOLE DE Paris. IT IS A LOUD Word"]
     words, slots, begin = decontamination.canonical(pa.array(texts, pa.string()))
     seen: dict = {}
     for k, text in enumerate(texts):
@@ -327,12 +341,26 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), items).collect() == [] and decontamination.leaks(docs, items.limit(0)).collect() == []
 
 
+def test_copies_in_any_case_are_found(spark):
+    items = [
+        "When Anna Berg left Paris for Oslo she met Otto Klein, who carried 12 books to Emil Stern in Rome before Ida Falk and Jonas Roth came.",
+        "The will of Mark Rose says that May Hope gets 40 acres near York while Rose Mark keeps the house at Bath.",
+    ]
+    forms = [str, str.upper, str.lower, str.title, lambda t: t.replace("Paris", "Bern").replace("12", "99")]
+    rows = [(100 * i + k, "some plain words come first. " + f(t) + " and some more follow") for i, t in enumerate(items) for k, f in enumerate(forms)]
+    docs = spark.createDataFrame(rows + [(999, "NOTHING OF THIS IS IN ANY ITEM AT ALL, it only shouts and then it does not")], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r.coverage for r in decontamination.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    whole = {(100 * i + k, i) for i in range(2) for k in (0, 1, 2, 4)}
+    assert set(out) >= whole and {c for p, c in out.items() if p in whole} == {1.0} and all(d // 100 == i for d, i in out)
+
+
 def plain_leaks(docs, items, least=0.5):
     """Windows compared one by one; (doc_id, item_id): covered_words, slots, changed_slots, first_word."""
     out = {}
-    read = {i: plain_canonical(t) for i, t in items}
+    known = plain_names([t for _, t in items])
+    read = {i: plain_canonical(t, known) for i, t in items}
     for d, text in docs:
-        doc = plain_canonical(text)
+        doc = plain_canonical(text, known)
         for i, item in read.items():
             size = min(len(item), decontamination.WINDOW)
             if size < decontamination.LEAST_WORDS:
