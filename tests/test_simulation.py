@@ -152,7 +152,7 @@ def test_commands(spark, tmp_path, capsys):
         lines = [f"{d},{p},{p * 1.01},{p * 0.99},{p * 1.002},{100000 + k}" for i, d in enumerate(dates) for p in [100 + ((i * (k + 3) * 7) % 23) / 10 + k]]
         (feed / f"S{k:02}.csv").write_text("date,open,high,low,close,volume\n" + "\n".join(lines) + "\n")
     base = ["--store", f"{tmp_path}/bars", "--universe", f"{tmp_path}/universe", "--out-dir", f"{tmp_path}/out", "--today", str(dates[-1])]
-    for command in (["universe", "--listing", str(tmp_path / "l.txt")], ["update", "--feed", str(feed)], ["scan"], ["validate"], ["report", "--top", "5"]):
+    for command in (["universe", "--listing", str(tmp_path / "l.txt")], ["update", "--feed", str(feed), "--min-coverage", "10.0"], ["scan"], ["validate"], ["report", "--top", "5"]):
         cli.main(base + command)
     said = capsys.readouterr().out
     assert "no symbol in group crypto" in said
