@@ -57,6 +57,21 @@ def to_euros(amount: Column, currency: Column, rate: Column) -> Column:
     return F.when((currency == "EUR") | rate.isNull() | (rate <= 0), amount).otherwise(F.try_divide(amount, rate))
 
 
+def in_euros(bars: DataFrame, currencies: DataFrame, rates: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """bars with prices in euros, at the rate last known on their date.
+
+    currencies: symbol, currency (without one, dollars); rates: date, currency, rate. Currencies without rates of their own go at the dollar's;
+    where no valid rate is known yet, prices stay as they are. Rates are laid on the calendar first, a row for each date and currency, so
+    bars meet them in an equi-join.
+    """
+    daily = rates_as_of(bars, rates).select("date", F.col("currency").alias("quoted"), "rate")
+    quoted = rates.select(F.col("currency").alias("quoted")).distinct()
+    rows = bars.join(currencies.select("symbol", F.col("currency").alias("_currency")), "symbol", "left")
+    rows = rows.withColumn("_currency", F.upper(F.coalesce("_currency", F.lit("USD")))).join(quoted, F.col("_currency") == F.col("quoted"), "left")
+    rows = rows.withColumn("quoted", F.coalesce("quoted", F.lit("USD"))).join(daily, ["date", "quoted"], "left")
+    return rows.withColumns({f: to_euros(F.col(f), F.col("_currency"), F.col("rate")) for f in fields}).select(*bars.columns)
+
+
 def median_liquidity(bars: DataFrame, sessions: int = 63) -> DataFrame:
     top = bars.agg(F.max("sess").alias("top"))
     return bars.join(F.broadcast(top), F.col("sess") > F.col("top") - sessions).groupBy("symbol").agg(F.median(F.col("close") * F.col("volume")).alias("liquidity"))

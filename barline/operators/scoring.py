@@ -135,25 +135,38 @@ def report_ranking(scored: DataFrame, horizon: str, n: int = 30) -> DataFrame:
 
 def correlations(bars: DataFrame, symbols: list, window: int = 126) -> DataFrame:
     """a, b (a < b), corr of log returns over the last sessions, for a short list of symbols."""
-    recent = bars.where(F.col("symbol").isin(symbols)).join(F.broadcast(bars.agg(F.max("sess").alias("newest"))), F.col("sess") >= F.col("newest") - window)  # one row
+    return _pairs(bars.where(F.col("symbol").isin(symbols)), bars, window)
+
+
+def _pairs(some: DataFrame, bars: DataFrame, window: int) -> DataFrame:
+    """Correlations of the symbols of some bars over the last sessions of all bars."""
+    recent = some.join(F.broadcast(bars.agg(F.max("sess").alias("newest"))), F.col("sess") >= F.col("newest") - window)  # one row
     before = F.max("close").over(Window.partitionBy("symbol").orderBy("sess").rangeBetween(-1, -1))
     r = recent.withColumn("r", F.ln(F.try_divide("close", before))).where("r is not null").select("symbol", "sess", "r")
     x, y = r.select("sess", F.col("symbol").alias("a"), F.col("r").alias("x")), r.select("sess", F.col("symbol").alias("b"), F.col("r").alias("y"))
     return x.join(y, "sess").where("a < b").groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
 
 
-def redundant(bars: DataFrame, symbols: list, window: int = 126, max_corr: float = 0.8) -> dict:
-    """Of a short ranked list: each symbol that moves with a better placed one, and with which."""
-    known = {}
-    for a, b, corr in correlations(bars, symbols, window).collect():  # pairs of a short list
-        known[a, b] = known[b, a] = abs(corr) if corr is not None else None
-    kept: list = []
-    flagged: dict = {}
-    for s in symbols:
-        near = [(known[s, k], k) for k in kept if known.get((s, k)) is not None]
-        best = max(near, key=lambda x: x[0], default=None)
-        if best is not None and best[0] >= max_corr:
-            flagged[s] = best[1]
-        else:
-            kept.append(s)
-    return flagged
+def redundant(bars: DataFrame, ranked: DataFrame, window: int = 126, max_corr: float = 0.8) -> DataFrame:
+    """symbol, twin, corr: of a short ranked list (symbol, place; places from 1, no two alike) each symbol that moves with a better placed one that is kept.
+
+    The twin is the kept symbol of the largest absolute correlation, the better placed one of equals. A symbol without a twin is kept itself, so
+    the list is folded in its order; it has as many rows as the report shows, and is one array.
+    """
+    places = ranked.select("symbol", F.col("place").cast("int").alias("place"))
+    both = _pairs(bars.join(places.select("symbol"), "symbol", "left_semi"), bars, window)
+    a, b = (places.select(F.col("symbol").alias(k), F.col("place").alias(f"at_{k}")) for k in "ab")
+    both = both.join(a, "a").join(b, "b").where(F.abs("corr") >= max_corr)
+    # back: minus the place of the better one, so that of equal correlations it is the larger
+    near = both.select(F.greatest("at_a", "at_b").alias("place"), F.struct(F.abs("corr").alias("corr"), (-F.least("at_a", "at_b")).alias("back")).alias("x")).groupBy("place").agg(F.collect_list("x").alias("near"))
+    line = places.join(near, "place", "left").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("near", F.array().cast("array<struct<corr:double,back:int>>")).alias("near")))).alias("line"))
+
+    def step(done: Column, x: Column) -> Column:
+        twin = F.array_max(F.filter(x["near"], lambda n: F.array_contains(done["kept"], -n["back"])))
+        kept = F.when(twin.isNull(), F.array_append(done["kept"], x["place"])).otherwise(done["kept"])
+        return F.struct(kept.alias("kept"), F.when(twin.isNull(), done["found"]).otherwise(F.array_append(done["found"], F.struct(x["place"].alias("place"), (-twin["back"]).alias("twin"), twin["corr"].alias("corr")))).alias("found"))
+
+    nothing = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<struct<place:int,twin:int,corr:double>>").alias("found"))
+    found = line.select(F.explode(F.aggregate("line", nothing, step)["found"]).alias("x")).select("x.*")
+    better = places.select(F.col("symbol").alias("twin_symbol"), F.col("place").alias("twin"))
+    return found.join(places, "place").join(better, "twin").select("symbol", F.col("twin_symbol").alias("twin"), "corr")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barline.operators import portfolio
 from barline.operators.calendar import next_session
 from barline.operators.scoring import MIN_PEERS, correlations
+from barline.sources.state import read_json, write_json
 
 BOOKS = "scenario string, broker string, cash double, costs double, saved double, last_rebalance date"
 POSITIONS = "scenario string, broker string, symbol string, units double, cost double"
@@ -50,15 +51,15 @@ def days(spark: SparkSession, folder: str) -> list[str]:
 
 
 def load(spark: SparkSession, folder: str, day: str | None) -> State:
-    """The state of a day as JSON tables; that of the start if there is none."""
+    """The state of a day as JSON tables; that of the start if there is none. A table with a broken line is empty."""
     if day is None:
         return start(spark)
-    return State(*[spark.read.schema(schema).json(f"{folder}/state/day={day}/{name}") for name, schema in TABLES.items()])
+    return State(*[read_json(spark, f"{folder}/state/day={day}/{name}", schema) for name, schema in TABLES.items()])
 
 
 def save(state: State, folder: str, day: str) -> None:
     for name in ("positions", "pending", "dropped", "books"):
-        getattr(state, name).coalesce(1).write.mode("overwrite").json(f"{folder}/state/day={day}/{name}")
+        write_json(getattr(state, name), f"{folder}/state/day={day}/{name}")
 
 
 def fill(state: State, prices: DataFrame, groups: DataFrame, today: str) -> tuple[State, DataFrame]:

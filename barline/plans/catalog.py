@@ -656,7 +656,27 @@ def expected_alpha(spark: SparkSession, d: str, plain: bool = False) -> DataFram
     return rounded(_alphas(spark, d, plain), {"alpha": 5}, "symbol")
 
 
-@query()
+_CHEAP = "the candidate does not beat the cost of the change"
+
+
+def _cost(group: str, amount: str) -> str:
+    """Costs of an order of the first broker for each euro; the regions are no groups that it knows."""
+    return f"CASE WHEN {amount} <= 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / {amount} + 15 / 2e4::DOUBLE END"
+
+
+_PLANNED = f"""{_ALPHA}, ta AS (SELECT symbol, greatest(coalesce(alpha, 0), 0) AS a FROM (SELECT * FROM al ORDER BY alpha DESC, symbol LIMIT 15)),
+tr AS (SELECT *, CASE WHEN sum(a) OVER () > 0 THEN least(greatest(a / sum(a) OVER (), 0.5 / count(*) OVER ()), 2.0 / count(*) OVER ()) ELSE 1.0 / count(*) OVER () END AS raw FROM ta), tw AS (SELECT symbol, a, raw / sum(raw) OVER () AS weight FROM tr),
+he AS (SELECT s_suppkey AS symbol, abs(s_acctbal) + 100 AS cost FROM supplier WHERE s_suppkey % 9 = 0),
+bo AS (SELECT symbol, coalesce(al.alpha, 0) AS alpha, weight, cost, coalesce(cost, 0) AS now, weight * 40000 AS aim, (SELECT max(a) FROM tw) AS best, (SELECT count(*) FROM he) AS held FROM he FULL JOIN tw USING (symbol) LEFT JOIN al USING (symbol)),
+pd AS (SELECT *, 2 * ({_cost('g', 'now')}) AS leave, {_cost('g', 'aim')} AS enter, coalesce(cost > 0, FALSE) AS owned FROM bo),
+pl AS (SELECT *, CASE WHEN weight IS NULL AND coalesce(best, 0) - alpha < 1.5 * leave THEN '{_CHEAP}' WHEN weight IS NULL THEN 'order' WHEN owned AND abs(aim - now) < 0.25 * greatest(now, 1) THEN 'inside the band'
+WHEN owned AND abs(aim - now) < 1000 THEN 'adjustment below the least amount' WHEN owned AND aim < now THEN 'reductions run on' WHEN owned THEN 'order' WHEN aim < 1000 THEN 'too small for its commission' WHEN held > 0 AND alpha < 1.5 * enter THEN 'alpha below the cost of entry' ELSE 'order' END AS decision FROM pd)"""
+
+
+@query(
+    f"""{_PLANNED} SELECT symbol, CASE WHEN weight IS NULL THEN 'sale' ELSE 'purchase' END AS side, round(CASE WHEN weight IS NULL THEN now WHEN owned THEN abs(aim - now) ELSE aim END, 2) AS amount, decision,
+round(CASE WHEN decision = '{_CHEAP}' THEN leave * now WHEN decision IN ('adjustment below the least amount', 'too small for its commission') THEN 1.0::DOUBLE WHEN decision = 'alpha below the cost of entry' THEN enter * aim END, 2) AS avoided FROM pl""".replace(_SCORED, _ALL_SCORED)
+)
 def plan_orders(spark: SparkSession, d: str) -> DataFrame:
     alphas = _alphas(spark, d)  # of every symbol: what is held may stand anywhere in the ranking
     held = bars.table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("symbol"), (F.abs("s_acctbal") + 100).alias("cost"))
@@ -693,9 +713,14 @@ def period_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(report.period_returns(bars.supplier_week(spark, d).select(F.col("symbol").alias("key"), "date", F.col("close").alias("value")), 90), {"pct": 5}, "key")
 
 
-@query()
+@query(
+    f"""{sql.WEEK}, k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY sess) AS place, close, min(close) OVER (PARTITION BY symbol) AS low, max(close) OVER (PARTITION BY symbol) AS high FROM w WHERE sess > (SELECT max(sess) FROM w) - 252)
+SELECT symbol, CAST(place AS INTEGER) AS place, round(coalesce((close - low) / nullif(high - low, 0), 0.5), 6) + 0.0 AS point FROM k"""
+)
 def sparklines(spark: SparkSession, d: str) -> DataFrame:
-    return report.sparkline(week(spark, d))
+    """The points of each line, a row for each."""
+    rows = report.sparkline(week(spark, d)).select("symbol", F.posexplode("points").alias("place", "point"))
+    return rows.select("symbol", (F.col("place") + 1).alias("place"), (F.round("point", 6) + 0.0).alias("point"))
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{g}{chr(39)})' for g, names in feeds.MACRO.items() for x in names.split())}) AS t(symbol, grp)")
@@ -817,3 +842,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     rows = month(spark, d)
     panel_ = features.sample_panel(features.build_features(rows), calendar.rebalance_dates(rows), 0.0)
     return scoring.top_picks(scoring.score_panel(panel_).where("score_short is not null"), "short", 10).select("date", "symbol", "score_short", "pct_short")
+
+
+from barline.plans import desk  # noqa: E402, F401  registers its queries here

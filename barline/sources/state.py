@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructField, StructType, StringType
 
 MARKS = "symbol string, asked_on date"
 FAILED = "symbol string, since date, failures int"
@@ -79,3 +80,36 @@ def save_stage(tables: dict[str, DataFrame], folder: str) -> None:
             write_state(rows, f"{folder}/{name}")
         else:
             rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def finite(value: Column, kind: DataType) -> Column:
+    """The value with null for each NaN and infinity at any depth of structs, arrays and maps' values; keys of maps stay."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, x: finite(x, kind.valueType))
+    return value
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One small JSON file, without NaN or infinities."""
+    rows.select(*[finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small JSON table; empty where there is none, or where any of its lines is broken: half a state is none."""
+    wanted = spark.createDataFrame([], schema)
+    told = StructType([*wanted.schema.fields, StructField("_corrupt", StringType())])
+    try:
+        lines = spark.read.text(path).where("trim(value) <> ''")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return wanted
+    rows = lines.select(F.from_json("value", told, {"columnNameOfCorruptRecord": "_corrupt"}).alias("x")).select("x.*")
+    broken = rows.agg(F.count_if(F.col("_corrupt").isNotNull()).alias("broken"))
+    return rows.join(F.broadcast(broken)).where("broken = 0").select(*wanted.columns)  # one row
