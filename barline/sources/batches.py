@@ -16,11 +16,11 @@ class Piece(InputPartition):
         self.piece = piece
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder, self.pieces = options["path"], int(options.get("pieces", "16"))
-        self.symbols: set[str] | None = None
-        self.start = ""
+class Narrowed(DataSourceReader):
+    """A reader that keeps to ``symbols`` (None: all) and to dates from ``start`` on (ISO; empty: all)."""
+
+    symbols: set[str] | None = None
+    start = ""
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Takes filters on the symbol and on the earliest date; gives the others back."""
@@ -35,6 +35,11 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
+
+class _Reader(Narrowed):
+    def __init__(self, options: dict):
+        self.folder, self.pieces = options["path"], int(options.get("pieces", "16"))
+
     def partitions(self) -> list[Piece]:
         return [Piece(k) for k in range(self.pieces)]
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from barline.sources.batches import Narrowed
 from barline.sources.universe import reserve_symbol
 
 # The macro series of each group.
@@ -41,51 +42,128 @@ def first_venue(venues: DataFrame) -> DataFrame:
     return venues.where("reachable").orderBy("place", "venue").limit(1).select("venue", "quote")
 
 
-class SymbolFile(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
+class Span(InputPartition):
+    """Of a symbol the rows after the first ``skip`` bytes of page ``first``, up to ``stop`` bytes of page ``last``."""
 
+    def __init__(self, symbol: str, first: int = 0, skip: int = 0, last: int | None = None, stop: int | None = None):
+        self.symbol, self.first, self.skip, self.last, self.stop = symbol, first, skip, last, stop
+
+
+class _Folder:
+    """Folders of pages: <symbol>/page-<number>.csv, in which rows are only ever added at the end."""
 
-class _Pages(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.symbols = [s for s in options.get("symbols", "").split(",") if s]
-        self.start = int(options.get("start_ms", "0"))
-        self.size = int(options.get("page", "1000"))
+        from pyarrow import fs
+
+        uri = options["path"]
+        self.store, self.root = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+    def symbols(self) -> list[str]:
+        from pyarrow import fs
+
+        return sorted(f.base_name for f in self.store.get_file_info(fs.FileSelector(self.root)) if f.type == fs.FileType.Directory)
 
-    def partitions(self) -> list[SymbolFile]:
-        return [SymbolFile(s) for s in self.symbols]
+    def ends(self) -> dict[str, list[int]]:
+        """Of each symbol the last page and its bytes, from names and sizes alone."""
+        from pyarrow import fs
 
-    def read(self, partition: SymbolFile):
-        import csv
-        import datetime
+        out: dict[str, list[int]] = {}
+        for f in self.store.get_file_info(fs.FileSelector(self.root, recursive=True)):
+            if f.type == fs.FileType.File and f.base_name.startswith("page-"):
+                symbol, number = f.path.rsplit("/", 2)[1], int(f.base_name[5:10])
+                out[symbol] = max(out.get(symbol, [-1, 0]), [number, f.size])
+        return out
 
+    def page(self, symbol: str, number: int, stop: int | None = None) -> list[tuple[int, bool, dict]] | None:
+        """The rows of a page, each with the byte it ends at and whether its line has its end. None where there is no page."""
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
-        cursor, number = self.start, 0
-        while True:
-            # A page holds the rows from the cursor on; a short one is the last.
-            path = f"{root}/{partition.symbol}/page-{number:05d}.csv"
-            if store.get_file_info(path).type != fs.FileType.File:
-                return
-            with store.open_input_stream(path) as raw:
-                rows = list(csv.DictReader(raw.read().decode().splitlines()))
-            for row in rows:
-                at = int(row["ts"])
-                if at >= cursor:
-                    cursor = at + 1
-                    date = datetime.datetime.fromtimestamp(at / 1000, datetime.UTC).date()
-                    yield (partition.symbol, date, *[float(row[c]) if row.get(c) else None for c in ("open", "high", "low", "close", "volume")])
+        path = f"{self.root}/{symbol}/page-{number:05d}.csv"
+        if number < 0 or self.store.get_file_info(path).type != fs.FileType.File:
+            return None
+        with self.store.open_input_stream(path) as raw:
+            text = raw.read()[:stop]
+        out, head, at = [], None, 0
+        for line in text.splitlines(keepends=True):
+            at += len(line)
+            cells = line.decode().strip().split(",")
+            if head is None:
+                head = cells
+            elif len(cells) == len(head):
+                out.append((at, line.endswith(b"\n"), dict(zip(head, cells, strict=True))))
+        return out
+
+
+def _bar(symbol: str, row: dict) -> tuple:
+    import datetime
+
+    date = datetime.datetime.fromtimestamp(int(row["ts"]) / 1000, datetime.UTC).date()
+    return symbol, date, *[float(row[c]) if row.get(c) else None for c in ("open", "high", "low", "close", "volume")]
+
+
+class _Pages(Narrowed):
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.symbols = {s for s in options.get("symbols", "").split(",") if s} or None
+        self.from_ms, self.size = int(options.get("start_ms", "0")), int(options.get("page", "1000"))
+
+    def partitions(self) -> list[Span]:
+        return [Span(s) for s in _Folder(self.options).symbols() if self.symbols is None or s in self.symbols]
+
+    def read(self, partition: Span):
+        folder, cursor, number = _Folder(self.options), self.from_ms, 0
+        # A page holds the rows from the cursor on; a short one is the last.
+        while (rows := folder.page(partition.symbol, number)) is not None:
+            for _, _, row in rows:
+                if int(row["ts"]) >= cursor:
+                    cursor = int(row["ts"]) + 1
+                    bar = _bar(partition.symbol, row)
+                    if bar[1].isoformat() >= self.start:
+                        yield bar
             number += 1
             if len(rows) < self.size:
                 return
 
 
+class _PageStream(DataSourceStreamReader):
+    """An offset is the last page of each symbol and its bytes; what is between two offsets never changes, so a batch can be read again."""
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.from_ms = int(options.get("start_ms", "0"))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return _Folder(self.options).ends()
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(s, *start.get(s, [0, 0]), *at) for s, at in end.items() if start.get(s) != at]
+
+    def read(self, partition: Span):
+        folder, cursor = _Folder(self.options), self.from_ms
+        # Where the rows before the span ended: in its first page or, if that had none then, in the page before.
+        for number, stop in ((partition.first - 1, None), (partition.first, partition.skip)):
+            for _, whole, row in folder.page(partition.symbol, number, stop) or ():
+                if whole or number < partition.first:
+                    cursor = max(cursor, int(row["ts"]) + 1)
+        for number in range(partition.first, partition.last + 1):
+            newest = number == partition.last
+            for at, whole, row in folder.page(partition.symbol, number, partition.stop if newest else None) or ():
+                before = number == partition.first and whole and at <= partition.skip
+                coming = newest and not whole  # a line of the newest page is there once it has its end
+                if not before and not coming and int(row["ts"]) >= cursor:
+                    cursor = int(row["ts"]) + 1
+                    yield _bar(partition.symbol, row)
+
+
 class PagedCandles(DataSource):
-    """Options: path (folder of <symbol>/page-<number>.csv with ts in milliseconds), symbols, start_ms, page (rows of a full page).
+    """Options: path (folder of <symbol>/page-<number>.csv with ts in milliseconds), symbols, start_ms, page (rows of a full page; batches only).
 
-    A row comes once: pages may overlap, and the cursor goes on from the last time read. A symbol without a page has no row.
+    A row comes once: pages may overlap, and the cursor goes on from the last time read. A symbol without a page has no row. Filters on the
+    symbol and the earliest date reach the reader. As a stream it goes on where its checkpoint ends, also within a page that has grown since. A
+    symbol is one task: its pages follow each other.
     """
 
     @classmethod
@@ -98,6 +176,9 @@ class PagedCandles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Pages(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PageStream(self.options)
+
 
 RESERVE_SCHEMA = "Date string, Open string, High string, Low string, Close string, Volume string"
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import portfolio, scoring
-from barline.sources import state
+from barline.sources import batches, feeds, state
 
 DEEP = "a double, s struct<x: double, l: array<float>>, m map<string, double>, n string"
 
@@ -81,3 +81,67 @@ def test_prices_in_euros(spark):
     # The rate of December is known on the first session, whatever the sessions are.
     assert got == {(s, d): 110.0 if s == "EU" or d == 1 else 100.0 for s in ("EU", "US", "SE", "NEW") for d in (1, 2, 3)} | {("GB", 1): 220.0, ("GB", 2): 220.0, ("GB", 3): 110.0}
     assert out.columns == bars.columns
+
+
+DAY = 86400000
+
+
+def put_page(folder, symbol, number, days, torn=""):
+    (folder / symbol).mkdir(exist_ok=True)
+    lines = [f"{k * DAY},1,2,0.5,{k},3\n" for k in days]
+    (folder / symbol / f"page-{number:05d}.csv").write_text("ts,open,high,low,close,volume\n" + "".join(lines) + torn)
+
+
+def days_of(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.symbol, []).append(int(r.close))
+    return {s: sorted(v) for s, v in out.items()}
+
+
+def test_a_stream_of_pages_goes_on_where_it_stopped(spark, tmp_path):
+    spark.dataSource.register(feeds.PagedCandles)
+    pages, checkpoint = tmp_path / "pages", f"{tmp_path}/state"
+    pages.mkdir()
+    seen = []
+
+    def run(stop=False):
+        def take(batch, number):
+            seen.append((number, days_of(batch)))
+            if stop:
+                raise RuntimeError("stopped")
+
+        stream = spark.readStream.format("paged_candles").option("path", str(pages)).option("start_ms", DAY).load()
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    put_page(pages, "BTC", 0, (0, 1, 2))
+    put_page(pages, "BTC", 1, (2, 3))
+    run()
+    assert [rows for _, rows in seen] == [{"BTC": [1, 2, 3]}]  # none before the start, no overlap
+    seen.clear()
+    run()
+    assert not any(rows for _, rows in seen)  # nothing is read twice
+    seen.clear()
+    put_page(pages, "BTC", 1, (2, 3, 4), torn=f"{5 * DAY},1,2,0.5,5,")  # a page that grows, and a line that is not whole yet
+    put_page(pages, "ETH", 0, (7,))
+    with pytest.raises(Exception, match="stopped"):
+        run(stop=True)
+    put_page(pages, "BTC", 1, (2, 3, 4, 5))
+    put_page(pages, "BTC", 2, (5, 6))
+    run()
+    run()  # what came after the batch that was repeated
+    first = [rows for number, rows in seen if number == seen[0][0]]
+    assert first[0] == first[1] == {"BTC": [4], "ETH": [7]}  # the batch that was stopped comes again as it was
+    assert [rows for number, rows in seen if number > seen[0][0]] == [{"BTC": [5, 6]}]
+
+
+def test_filters_reach_the_pages(spark, tmp_path):
+    spark.dataSource.register(feeds.PagedCandles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    for s in ("AAA", "BBB", "CCC"):
+        put_page(tmp_path, s, 0, (1, 2, 3))
+    rows = spark.read.format("paged_candles").option("path", str(tmp_path)).load()
+    some = rows.where(F.col("symbol").isin("AAA", "CCC") & (F.col("date") >= F.lit("1970-01-03").cast("date")))
+    assert days_of(some) == {"AAA": [2, 3], "CCC": [2, 3]} and days_of(rows)["BBB"] == [1, 2, 3]
+    reader = feeds._Pages({"path": str(tmp_path)})
+    assert list(reader.pushFilters([batches.EqualTo(("symbol",), "BBB")])) == [] and [p.symbol for p in reader.partitions()] == ["BBB"]
