@@ -6,13 +6,15 @@ Downloads are files of the same contract: pipe-separated listings, a folder of <
 from __future__ import annotations
 
 import argparse
+import traceback
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from barline.operators import anomalies, calendar, evidence, features, ingest, portfolio, report, scoring
-from barline.sources import feeds, shared, state, store, universe
+from barline.operators import anomalies, calendar, evidence, features, ingest, portfolio, report, scoring, simulation
+from barline.sources import feeds, html_tables, shared, state, store, universe
 from barline.sources.batches import register
 from barline.sources.versions import VersionedStore
 
@@ -24,14 +26,19 @@ def _bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_universe(spark: SparkSession, a: argparse.Namespace) -> None:
-    """The union of the listings and the macro series, and its snapshot of the day; groups without a symbol are told."""
+    """The union of macro series, listing, pages of European indices and pairs, and its snapshot of the day; groups without a symbol are told."""
     sources = {"macro": feeds.macro(spark)}
     if a.listing:
         sources["us"] = universe.listed(spark, a.listing, "US")
+    if a.eu_pages and not a.no_eu:
+        sources["eu"] = html_tables.listed_pages(spark, a.eu_pages)
+    if a.pairs and not a.no_crypto:
+        sources["crypto"] = universe.crypto(universe.read_pairs(spark, a.pairs), a.quote, a.most_pairs)
     rows, missing = universe.build(sources)
     state.write_state(rows, a.universe)
     state.save_universe(rows, f"{a.universe}-snapshots", a.today)
-    for (grp,) in missing.collect():  # of the eight groups
+    unasked = {g for g, out in (("equity_eu", a.no_eu), ("crypto", a.no_crypto)) if out}
+    for (grp,) in missing.where(~F.col("grp").isin(*unasked)).collect():  # of the eight groups
         print(f"no symbol in group {grp}")
 
 
@@ -116,24 +123,59 @@ def run_validate(spark: SparkSession, a: argparse.Namespace) -> None:
         spread = evidence.decile_spread(evidence.with_decile(scored, forward, h))
         state.save_stage({f"net_{h}.csv": evidence.net_of_costs(spread, evidence.turnover(scored, h), a.cost_bps)}, a.out_dir)
     state.save_stage({"verdict": said}, a.out_dir)
+    state.save_stage({"verdict.csv": spark.read.parquet(f"{a.out_dir}/verdict")}, a.out_dir)
+
+
+def _portfolio_sections(spark: SparkSession, a: argparse.Namespace, bars: DataFrame, listed: DataFrame) -> list[str]:
+    """What the portfolios hold in euros, their returns, fills and dropped orders; nothing where no day is done."""
+    done = simulation.days(spark, a.portfolio_dir)
+    if not done:
+        return []
+    books = simulation.load(spark, a.portfolio_dir, done[-1])
+    money = listed.select("symbol", "currency" if "currency" in listed.columns else F.lit("USD").alias("currency"))
+    prices = portfolio.in_euros(bars, money, portfolio.rates_of(bars))
+    closes = prices.join(F.broadcast(prices.agg(F.max("date").alias("date"))), "date", "left_semi")  # one row
+    one = F.col("broker") == next(iter(portfolio.BROKERS))  # all brokers hold the same; costs differ
+    held = report.composition(books.positions.where(one), closes, books.books.where(one)).orderBy("scenario", F.desc("value"), "symbol")
+    state.save_stage({"composition.csv": held}, a.portfolio_dir)
+    curve, fills = (simulation.ledger(spark, a.portfolio_dir, t) for t in ("curve", "fills"))
+    bench = simulation.benchmark(prices, done[0], a.benchmark).select("date", "value")
+    tables = {f"Returns, {n} days": report.period_of_books(curve, bench, n).orderBy("scenario", "broker") for n in (30, 90, 365)}
+    tables |= {"Composition": held, "Trades": fills.orderBy(F.desc("date"), "scenario", "broker", "symbol"), "Dropped orders": books.dropped.orderBy("scenario", "broker", "symbol")}
+    tables["Saved by dropping"] = report.savings(books.dropped, books.books).orderBy("scenario", "broker")
+    return [report.section(name, rows) for name, rows in tables.items()]
 
 
 def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A page of short tables. A symbol that moves with a better placed one is marked; its year is drawn beside it."""
     scored, panel, said = (spark.read.parquet(f"{a.out_dir}/{t}") for t in ("scores", "panel", "verdict"))
     listed = spark.read.option("header", True).csv(a.universe)
+    bars = shared.saved(_bars(spark, a.store), "bars", by="symbol")
     tables = {"Overview": report.tiles(scored, listed, spark.read.parquet(f"{a.out_dir}/anomalies")), "Evidence": said}
+    tables["Scores"] = report.histogram(report.report_rows(scored, panel), "score_global").orderBy("bin")
     rows = report.report_rows(scored, panel)
     for h in features.HORIZONS:
-        best = scoring.report_ranking(rows, h, a.top)
-        tables[f"Ranking, {h}"] = best
+        order = [F.desc_nulls_last(f"pct_{h}"), F.desc_nulls_last(f"score_{h}"), "symbol"]
+        best = shared.saved(scoring.report_ranking(rows, h, a.top).withColumn("place", F.row_number().over(Window.orderBy(*order))), "ranking")  # the list only
+        twins = scoring.redundant(bars, best, max_corr=a.max_corr).select("symbol", F.col("twin").alias("moves_with"))
+        lines = report.sparkline(bars).join(best.select("symbol"), "symbol", "left_semi").select("symbol", report.drawn(F.col("points")).alias("year"))
+        tables[f"Ranking, {h}"] = best.join(twins, "symbol", "left").join(lines, "symbol", "left").orderBy("place")
         if not a.no_comments:
             parts = scoring.contributions(panel, scoring.WEIGHTS[h]).join(best.select("symbol"), "symbol", "left_semi")
-            tables[f"Comments, {h}"] = report.comments(parts).limit(a.comment_top)
+            tables[f"Comments, {h}"] = report.comments(parts).join(best.select("symbol", "place"), "symbol").where(F.col("place") <= a.comment_top).orderBy("place")
+    sections = [report.section(name, rows) for name, rows in tables.items()]
     if not a.no_portfolio:
         weights = {r.horizon: r.weight for r in evidence.evidence_weights(said).collect()}
-        tables["Expected alpha"] = portfolio.expected_alpha(scored, said, _bars(spark, a.store), weights).orderBy(F.desc("alpha"), "symbol").limit(a.top)
-    page = report.page("Ranking of series", tables)
-    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out_dir}/report")
+        best = portfolio.expected_alpha(scored, said, bars, weights).orderBy(F.desc("alpha"), "symbol").limit(a.top)
+        sections.append(report.section("Expected alpha", best))
+        try:
+            sections += _portfolio_sections(spark, a, bars, listed)
+        except Exception:
+            if not a.portfolio_optional:
+                raise
+            traceback.print_exc()  # told in full; the rest of the report stands
+    text = report.page("Ranking of series", sections)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out_dir}/report")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -154,11 +196,11 @@ def parser() -> argparse.ArgumentParser:
             else:
                 c.add_argument(flag, default=default, type=type(default))
 
-    command("universe", run_universe, listing="")
+    command("universe", run_universe, listing="", eu_pages="", pairs="", quote="USDT", most_pairs=300, no_eu=False, no_crypto=False)
     command("update", run_update, feed="feed", reserve="", start="", years=8, limit=0, full=False, refresh_days=30, min_coverage=75.0, keep_versions=2, max_late=2, no_freshness=False)
     command("scan", run_scan, period="month", history_months=96, min_dollar_volume=1e6)
     command("validate", run_validate, cost_bps=10.0)
-    command("report", run_report, top=30, comment_top=12, no_comments=False, no_portfolio=False)
+    command("report", run_report, top=30, comment_top=12, max_corr=0.8, no_comments=False, no_portfolio=False, portfolio_optional=False, portfolio_dir="portfolio", benchmark="SPY")
     return p
 
 

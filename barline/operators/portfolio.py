@@ -52,6 +52,13 @@ def rates_as_of(calendar: DataFrame, rates: DataFrame) -> DataFrame:
     return both.withColumn("rate", F.last("rate", ignorenulls=True).over(w)).join(dates, "date", "left_semi")
 
 
+def rates_of(bars: DataFrame) -> DataFrame:
+    """date, currency, rate: the closes of the pairs that tell what a euro is worth."""
+    pairs = {"EURUSD=X": "USD", "EURGBP=X": "GBP"}
+    named = F.create_map(*[F.lit(x) for item in pairs.items() for x in item])
+    return bars.where(F.col("symbol").isin(*pairs)).select("date", F.try_element_at(named, F.col("symbol")).alias("currency"), F.col("close").alias("rate")).where("rate is not null")
+
+
 def to_euros(amount: Column, currency: Column, rate: Column) -> Column:
     """Rates are units of a currency for a euro; without a valid rate an amount stays as it is."""
     return F.when((currency == "EUR") | rate.isNull() | (rate <= 0), amount).otherwise(F.try_divide(amount, rate))

@@ -96,12 +96,18 @@ def period_of_books(curve: DataFrame, bench: DataFrame, day_count: int) -> DataF
     return own.crossJoin(side).select("scenario", "broker", pct.alias("pct"), (F.col("after") - F.col("before")).alias("cost"), (pct - (F.try_divide("b1", "b0") * 100 - 100)).alias("excess"))  # one row
 
 
-def page(title: str, tables: dict[str, DataFrame], rows: int = 200) -> str:
-    """An HTML page of short tables (their first rows)."""
-    out = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
-    for name, df in tables.items():
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}" for c in df.columns))
-        for row in df.limit(rows).collect():
-            out.append("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}" for v in row))
-        out.append("</table>")
-    return "\n".join(out)
+def drawn(points: Column, every: int = 4) -> Column:
+    """A line of points from 0 to 1 as blocks of eight heights; every fourth point is shown."""
+    return F.concat_ws("", F.transform(F.filter(points, lambda x, i: i % every == 0), lambda x: F.substring(F.lit("▁▂▃▄▅▆▇█"), (F.floor(x * 7) + 1).cast("int"), F.lit(1))))
+
+
+def section(name: str, table: DataFrame, rows: int = 200) -> str:
+    """The first rows of a short table as HTML."""
+    out = [f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}" for c in table.columns)]
+    for row in table.limit(rows).collect():
+        out.append("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}" for v in row))
+    return "\n".join([*out, "</table>"])
+
+
+def page(title: str, sections: list[str]) -> str:
+    return "\n".join([f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>", *sections])

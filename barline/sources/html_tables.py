@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADS = ("ticker", "symbol", "epic")
@@ -59,3 +59,13 @@ def ticker_rows(pages: DataFrame, id_col: str = "page_id", html: str = "html", s
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), html).mapInArrow(run, "page_id long, symbol string")
     return rows.withColumn("currency", F.when(F.col("symbol").endswith(".L"), "GBP").otherwise("EUR"))
+
+
+def listed_pages(spark: SparkSession, folder: str, least_rows: int = 15) -> DataFrame:
+    """symbol, name, grp, exchange, currency of the members of European indices: a page <index>.<SUFFIX>.html for each, members without a dot take its suffix."""
+    at = F.input_file_name()
+    pages = spark.read.option("wholetext", True).text(folder).select(F.xxhash64(at).alias("page_id"), F.regexp_extract(at, r"(\.[A-Z]+)\.html?$", 1).alias("suffix"), F.col("value").alias("html"))
+    found = ticker_rows(pages, least_rows=least_rows).join(pages.select("page_id", "suffix"), "page_id")
+    symbol = F.when(F.col("symbol").contains("."), F.col("symbol")).otherwise(F.concat("symbol", "suffix"))
+    rows = found.select(symbol.alias("symbol")).distinct()
+    return rows.select("symbol", F.col("symbol").alias("name"), F.lit("equity_eu").alias("grp"), F.lit("").alias("exchange"), F.when(F.col("symbol").endswith(".L"), "GBP").otherwise("EUR").alias("currency"))

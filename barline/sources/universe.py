@@ -54,6 +54,12 @@ def crypto(markets: DataFrame, quote: str = "USDT", most: int = 300) -> DataFram
     return rows.select("symbol", F.col("base").alias("name"), F.lit("crypto").alias("grp"), F.lit("").alias("exchange"), F.lit("USD").alias("currency"))
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The markets of a venue out of a CSV file: symbol, base, quote, spot, active, quote_volume; what is no number or truth value is null."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("symbol", "base", "quote", *[F.expr(f"coalesce(try_cast({c} AS boolean), false)").alias(c) for c in ("spot", "active")], F.expr("try_cast(quote_volume AS double)").alias("quote_volume"))
+
+
 def build(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The union by priority of the source, one row for each symbol, and the groups that have none."""
     both = None

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barline import cli
 from barline.operators import ingest, portfolio, report, simulation
-from barline.sources import feeds, state
+from barline.sources import feeds, state, store
 from barline.sources.feeds import PagedCandles
+from barline.sources.versions import VersionedStore
 
 DAYS = [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(12)]
 
@@ -152,11 +153,40 @@ def test_commands(spark, tmp_path, capsys):
         lines = [f"{d},{p},{p * 1.01},{p * 0.99},{p * 1.002},{100000 + k}" for i, d in enumerate(dates) for p in [100 + ((i * (k + 3) * 7) % 23) / 10 + k]]
         (feed / f"S{k:02}.csv").write_text("date,open,high,low,close,volume\n" + "\n".join(lines) + "\n")
     base = ["--store", f"{tmp_path}/bars", "--universe", f"{tmp_path}/universe", "--out-dir", f"{tmp_path}/out", "--today", str(dates[-1])]
-    for command in (["universe", "--listing", str(tmp_path / "l.txt")], ["update", "--feed", str(feed), "--min-coverage", "10.0"], ["scan"], ["validate"], ["report", "--top", "5"]):
+    for command in (["universe", "--listing", str(tmp_path / "l.txt")], ["update", "--feed", str(feed), "--min-coverage", "10.0"], ["scan"], ["validate"]):
         cli.main(base + command)
+    book = f"{tmp_path}/portfolio"
+    prices = VersionedStore(spark, f"{tmp_path}/bars", store.BAR_SCHEMA).read()
+    alphas = spark.createDataFrame([(s, 0.05) for s in ("S01", "S02", "S03")], "symbol string, alpha double")
+    for day in dates[-40:-36]:
+        simulation.step(spark, book, str(day), prices.where(F.col("date") <= F.lit(day)), prices.select("symbol", "grp").distinct(), {"short": ["S01", "S02", "S03"]}, {"short": alphas})
+    report_ = ["report", "--top", "5", "--max-corr", "0.5", "--portfolio-dir", book, "--benchmark", "S00"]
+    cli.main(base + report_)
     said = capsys.readouterr().out
     assert "no symbol in group crypto" in said
     assert spark.read.parquet(f"{tmp_path}/out/scores").where("score_short is not null").count() > 0
     page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/out/report").collect())
-    assert "Ranking, short" in page and "S0" in page
+    assert "Ranking, short" in page and "S0" in page and "moves_with" in page and "▁" in page
+    assert all(f"<h2>{t}" in page for t in ("Composition", "Trades", "Dropped orders", "Returns, 365 days", "Scores"))
+    held = {(r.scenario, r.symbol) for r in spark.read.option("header", True).csv(f"{book}/composition.csv").collect()}
+    assert {("short", f"S0{k}") for k in (1, 2, 3)} <= held and ("long", "CASH") in held
     assert state.universe_on(spark, f"{tmp_path}/universe-snapshots", "2030-01-01").count() == 152
+
+
+def test_universe_of_four_sources(spark, tmp_path, capsys):
+    (tmp_path / "l.txt").write_text("Symbol|Security Name|ETF\nAAA|Name|N\nTLT|Bonds|Y\n")
+    (tmp_path / "eu").mkdir()
+    for name, marks in {"dax.DE": ["SAP", "ALV.DE", "AAA.DE"], "ftse.L": ["VOD"]}.items():
+        rows = "".join(f"<tr><td>x</td><td>{m}</td></tr>" for m in [*marks, *[f"{name[0]}{k}" for k in range(15)]])
+        (tmp_path / "eu" / f"{name}.html").write_text(f"<table><tr><th>Company</th><th>Ticker</th></tr>{rows}</table>")
+    (tmp_path / "pairs.csv").write_text("symbol,base,quote,spot,active,quote_volume\nBTC/USDT,BTC,USDT,true,true,9\nETH/USDT,ETH,USDT,true,false,8\nXRP/USDT,XRP,USDT,true,true,x\nBTC/EUR,BTC,EUR,true,true,7\n")
+    base = ["--universe", f"{tmp_path}/u", "--today", "2024-01-02", "universe", "--listing", f"{tmp_path}/l.txt", "--eu-pages", f"{tmp_path}/eu", "--pairs", f"{tmp_path}/pairs.csv"]
+    read = lambda: {r.symbol: (r.grp, r.currency) for r in spark.read.option("header", True).csv(f"{tmp_path}/u").collect()}
+    cli.main(base)
+    got = read()
+    assert got["TLT"][0] == "bond" and got["AAA"] == ("equity_us", "USD") and got["SAP.DE"] == ("equity_eu", "EUR") and got["VOD.L"] == ("equity_eu", "GBP")
+    assert {s for s, (g, _) in got.items() if g == "crypto"} == {"BTC/USDT", "XRP/USDT"} and "AAA.DE" in got and "no symbol" in capsys.readouterr().out  # no ETF is left
+    cli.main([*base, "--no-eu", "--no-crypto", "--most-pairs", "1"])
+    assert not {g for g, _ in read().values()} & {"crypto", "equity_eu"}
+    told = capsys.readouterr().out
+    assert "equity_eu" not in told and "crypto" not in told and "etf" not in told.replace("no symbol in group etf", "")
