@@ -68,7 +68,10 @@ class _Reader(Narrowed):
 
 
 class BarFiles(DataSource):
-    """Options: path (folder of <symbol>.csv), pieces (tasks). A symbol whose file is broken has no rows."""
+    """Options: path (folder of <symbol>.csv), pieces (tasks). A symbol whose file is broken has no rows.
+
+    Load it anew for each query: Spark keeps what one query pushed into a DataFrame for a next one without filters.
+    """
 
     @classmethod
     def name(cls) -> str:

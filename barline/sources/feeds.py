@@ -163,7 +163,8 @@ class PagedCandles(DataSource):
 
     A row comes once: pages may overlap, and the cursor goes on from the last time read. A symbol without a page has no row. Filters on the
     symbol and the earliest date reach the reader. As a stream it goes on where its checkpoint ends, also within a page that has grown since. A
-    symbol is one task: its pages follow each other.
+    symbol is one task: its pages follow each other. Load it anew for each query: Spark keeps what one query pushed into a DataFrame for
+    a next one without filters. ``register`` it, which also allows filters to be pushed.
     """
 
     @classmethod
@@ -180,6 +181,11 @@ class PagedCandles(DataSource):
         return _PageStream(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    spark.dataSource.register(PagedCandles)
+
+
 RESERVE_SCHEMA = "Date string, Open string, High string, Low string, Close string, Volume string"
 
 

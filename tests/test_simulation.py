@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barline import cli
 from barline.operators import ingest, portfolio, report, simulation
 from barline.sources import feeds, state, store
-from barline.sources.feeds import PagedCandles
 from barline.sources.versions import VersionedStore
 
 DAYS = [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(12)]
@@ -98,7 +97,7 @@ def test_selection_by_quotas(spark):
 
 
 def test_feeds(spark, tmp_path):
-    spark.dataSource.register(PagedCandles)
+    feeds.register(spark)
     (tmp_path / "BTC").mkdir()
     row = lambda k: f"{k * 86400000},1,2,0.5,{k},3"
     head = "ts,open,high,low,close,volume\n"

@@ -100,7 +100,7 @@ def days_of(rows):
 
 
 def test_a_stream_of_pages_goes_on_where_it_stopped(spark, tmp_path):
-    spark.dataSource.register(feeds.PagedCandles)
+    feeds.register(spark)
     pages, checkpoint = tmp_path / "pages", f"{tmp_path}/state"
     pages.mkdir()
     seen = []
@@ -136,12 +136,11 @@ def test_a_stream_of_pages_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_filters_reach_the_pages(spark, tmp_path):
-    spark.dataSource.register(feeds.PagedCandles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    feeds.register(spark)
     for s in ("AAA", "BBB", "CCC"):
         put_page(tmp_path, s, 0, (1, 2, 3))
-    rows = spark.read.format("paged_candles").option("path", str(tmp_path)).load()
-    some = rows.where(F.col("symbol").isin("AAA", "CCC") & (F.col("date") >= F.lit("1970-01-03").cast("date")))
-    assert days_of(some) == {"AAA": [2, 3], "CCC": [2, 3]} and days_of(rows)["BBB"] == [1, 2, 3]
+    load = lambda: spark.read.format("paged_candles").option("path", str(tmp_path)).load()
+    some = load().where(F.col("symbol").isin("AAA", "CCC") & (F.col("date") >= F.lit("1970-01-03").cast("date")))
+    assert days_of(some) == {"AAA": [2, 3], "CCC": [2, 3]} and days_of(load())["BBB"] == [1, 2, 3]
     reader = feeds._Pages({"path": str(tmp_path)})
     assert list(reader.pushFilters([batches.EqualTo(("symbol",), "BBB")])) == [] and [p.symbol for p in reader.partitions()] == ["BBB"]
