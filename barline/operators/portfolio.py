@@ -1,7 +1,9 @@
-"""Cost-aware portfolios: brokers, expected alpha, order planning by sets, and execution as a keyed fold."""
+"""Cost-aware portfolios: brokers, expected alpha, order planning by sets, and execution as a fold over each book's ordered rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,31 +173,41 @@ def execute(orders: DataFrame, cash: DataFrame) -> DataFrame:
     net: what a purchase puts into the position, or a sale brings, after the fee; cash_after: the cash of the book then; place: from 0.
 
     orders: scenario, broker, symbol, side, amount, units_held, price (in euros; null or not positive: no fill),
-    fee, half_spread, turn (the place in the plan; equal ones go by symbol); cash: scenario, broker, cash. The orders of one portfolio are few, so each is a group.
+    fee, half_spread, turn (the place in the plan; equal ones go by symbol); cash: scenario, broker, cash. A book's orders stream through one task in
+    their order, of which only its cash and place are held; the books are dealt over the tasks.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(late=rows["side"] != "sale").sort_values(["late", "turn", "symbol"], kind="stable")
-        money, out = float(rows["cash"].iloc[0]), []
-        for o in rows.itertuples():
-            if not o.price > 0:
-                continue
-            if o.side == "sale":
-                if not o.units_held > 0:
+    columns = [c.split()[0] for c in FILL_SCHEMA.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, money, place = None, 0.0, 0
+        for rows in batches:
+            out = []
+            for o in rows.itertuples():
+                if (o.scenario, o.broker) != book:
+                    book, money, place = (o.scenario, o.broker), float(o.cash), 0
+                if not o.price > 0:
                     continue
-                amount, units = o.units_held * o.price * (1 - o.half_spread), -o.units_held
-                money += amount - o.fee
-            else:
-                amount = min(o.amount, money)
-                if amount <= o.fee:
-                    continue
-                units = (amount - o.fee) / (o.price * (1 + o.half_spread))
-                money -= amount
-            out.append((o.scenario, o.broker, o.symbol, o.side, round(amount, 2), round(o.fee, 2), units, amount - o.fee, money, len(out)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FILL_SCHEMA.split(", ")])
-
-    orders = orders.withColumn("symbol", F.col("symbol").cast("string"))
-    return orders.join(cash, ["scenario", "broker"]).groupBy("scenario", "broker").applyInPandas(fold, FILL_SCHEMA)
+                if o.side == "sale":
+                    if not o.units_held > 0:
+                        continue
+                    amount, units = o.units_held * o.price * (1 - o.half_spread), -o.units_held
+                    money += amount - o.fee
+                else:
+                    amount = min(o.amount, money)
+                    if amount <= o.fee:
+                        continue
+                    units = (amount - o.fee) / (o.price * (1 + o.half_spread))
+                    money -= amount
+                out.append((o.scenario, o.broker, o.symbol, o.side, round(amount, 2), round(o.fee, 2), units, amount - o.fee, money, place))
+                place += 1
+            yield pd.DataFrame(out, columns=columns)
+
+    numbers = [F.col(c).cast("double").alias(c) for c in ("amount", "units_held", "price", "fee", "half_spread", "cash")]
+    late = (~F.col("side").eqNullSafe("sale")).alias("late")
+    rows = orders.withColumn("symbol", F.col("symbol").cast("string")).join(F.broadcast(cash), ["scenario", "broker"])  # a row for each book
+    rows = rows.select("scenario", "broker", "symbol", "side", "turn", late, *numbers)
+    turns = ["scenario", "broker", "late", F.asc_nulls_last("turn"), F.asc_nulls_last("symbol")]
+    return rows.repartition("scenario", "broker").sortWithinPartitions(*turns).mapInPandas(fold, FILL_SCHEMA)
 
 
 def value_of(positions: DataFrame, closes: DataFrame, cash: DataFrame) -> DataFrame:
@@ -207,7 +219,7 @@ def value_of(positions: DataFrame, closes: DataFrame, cash: DataFrame) -> DataFr
 def books(spark: SparkSession) -> DataFrame:
     """scenario, broker: every scenario is run with every broker."""
     s = spark.createDataFrame([(k,) for k in SCENARIOS], "scenario string")
-    return s.crossJoin(spark.createDataFrame([(k,) for k in BROKERS], "broker string"))
+    return s.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in BROKERS], "broker string")))
 
 
 def choose(ranked: list[tuple], correlation: dict, liquidity: dict, n: int, taken: list | None = None) -> list:
