@@ -3,9 +3,11 @@
 from contextlib import redirect_stdout
 from io import StringIO
 
+from pyspark.sql import functions as F
 
-from barline.operators import portfolio
+from barline.operators import ewm, features, portfolio
 from barline.plans import catalog
+from barline.sources import shared
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,6 +18,41 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
+def market(spark, folder) -> object:
+    k = F.col("id")
+    rows = spark.range(30 * 150).select((k % 30).alias("symbol"), F.lit("g").alias("grp"), F.expr("date_add(date'2020-01-01', int(id / 30))").alias("date"), (k / 30).cast("int").alias("sess"))
+    price = 50 + F.pmod(F.hash("symbol", "sess"), F.lit(1000)) / 100
+    rows = rows.where(F.pmod(F.hash("sess", "symbol"), F.lit(11)) != 3).withColumns({"open": price, "high": price + 1, "low": price - 1, "close": price + 0.25, "volume": 100 * price})
+    rows.write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+def values(df) -> dict:
+    return {(x["symbol"], x["date"]): [round(v, 9) if isinstance(v, float) else v for v in x] for x in df.collect()}
+
+
+def moves(df) -> list[str]:
+    """The exchanges of a plan that deal rows by a hash."""
+    return [x.strip(" :+-") for x in plan_of(df).splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_histories_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    bars = market(spark, tmp_path / "bars")
+    one = values(ewm.with_ewm(bars)), values(features.build_features(bars))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    tasks = -(-bars.count() // 100)
+    assert tasks > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for make, want in zip((ewm.with_ewm, features.build_features), one, strict=True):
+        assert values(make(bars)) == want
+        assert all(f", {tasks}), REPARTITION_BY_NUM" in x for x in moves(make(bars)) if "symbol" in x) and moves(make(bars))
+
+
+def test_blocks_end_with_their_last_session(spark):
+    """The windows over blocks share a sort by session within a block; by block alone, the last row is left to chance."""
+    rows = spark.range(100).selectExpr("id % 5 as symbol", "id as sess", "1.0D as close", "2.0D as high", "0.5D as low")
+    assert not [x for x in plan_of(ewm.indicators(rows)).splitlines() if "Sort [" in x and "_b#" in x and "sess" not in x]
+
+
 def test_orders_are_not_computed_anew_for_each_book(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_alphas", lambda spark, d: spark.createDataFrame([(k, (50 - k) / 100) for k in range(1, 101)], "symbol long, alpha double"))
     assert "CartesianProduct" not in plan_of(catalog.execute_orders(spark, DATA))
