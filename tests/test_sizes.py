@@ -5,7 +5,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from barline.operators import ewm, features, portfolio
+from barline.operators import ewm, features, portfolio, scoring
 from barline.plans import catalog
 from barline.sources import shared
 
@@ -47,6 +47,17 @@ def test_histories_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
         assert all(f", {tasks}), REPARTITION_BY_NUM" in x for x in moves(make(bars)) if "symbol" in x) and moves(make(bars))
 
 
+def test_panels_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    bars = market(spark, tmp_path / "bars")
+    panel = features.build_features(bars).where("sess % 10 = 9").select("*")
+    one = values(scoring.score_panel(panel))
+    monkeypatch.setattr(shared, "PANEL_ROWS_A_TASK", 30)
+    scored = scoring.score_panel(panel)
+    tasks = -(-panel.count() // 30)
+    assert tasks > 8 and values(scored) == one
+    assert moves(scored) and all(f", {tasks}), REPARTITION_BY_NUM" in x for x in moves(scored))
+
+
 def test_blocks_end_with_their_last_session(spark):
     """The windows over blocks share a sort by session within a block; by block alone, the last row is left to chance."""
     rows = spark.range(100).selectExpr("id % 5 as symbol", "id as sess", "1.0D as close", "2.0D as high", "0.5D as low")
