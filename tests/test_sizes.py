@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import ewm, features, portfolio, scoring
 from barline.plans import catalog
+from barline.sources import bars as sources
 from barline.sources import shared
 
 DATA = "/root/testdata/sf0.001"
@@ -58,6 +59,34 @@ def test_panels_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert moves(scored) and all(f", {tasks}), REPARTITION_BY_NUM" in x for x in moves(scored))
 
 
+def test_panels_are_not_sorted_to_meet_their_quantiles(spark, tmp_path, monkeypatch):
+    panel = features.build_features(market(spark, tmp_path / "bars")).where("sess % 10 = 9")
+    one = values(scoring.score_panel(panel))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # below the footers of the saved quantiles
+    try:
+        scored = scoring.score_panel(panel)
+        assert plan_of(scored).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan_of(scored) and values(scored) == one
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(shared, "PANEL_ROWS_A_TASK", 30)
+        scored = scoring.score_panel(panel)
+        tasks = -(-panel.count() // 30)
+        assert plan_of(scored).count("SortMergeJoin") == 2 and values(scored) == one
+        assert all(f", {tasks}), REPARTITION_BY_NUM" in x for x in moves(scored)) and tasks > 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_and_bars_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    saved = market(spark, tmp_path / "bars")
+    one = values(sources.supplier_week(spark, DATA)), values(features.forward_returns(saved))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    lines = sources.table(spark, DATA, "lineitem").count()
+    for made, want, rows in ((sources.supplier_week(spark, DATA), one[0], lines), (features.forward_returns(saved), one[1], saved.count())):
+        got = [x for x in moves(made) if "suppkey" in x or "symbol" in x]
+        assert values(made) == want and got and all(f", {-(-rows // 100)}), REPARTITION_BY_NUM" in x for x in got)
+        assert "SortMergeJoin" not in plan_of(made)
+
+
 def test_blocks_end_with_their_last_session(spark):
     """The windows over blocks share a sort by session within a block; by block alone, the last row is left to chance."""
     rows = spark.range(100).selectExpr("id % 5 as symbol", "id as sess", "1.0D as close", "2.0D as high", "0.5D as low")
