@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barline.functions import rolling as r
+from barline.sources.shared import dealt, tasks_for
 
 # Usual split ratios, severity of each flag, severity of a quarantine.
 SPLIT_RATIOS = (2, 2.5, 3, 4, 5, 6, 7, 8, 10, 15, 20)
@@ -45,8 +46,8 @@ def duplicates(bars: DataFrame, sessions: int = 250, least: int = 100) -> DataFr
 
 
 def detect(bars: DataFrame, min_dollar_volume: float = 1e6, stale_sessions: int = 8, lookback: int = 504) -> DataFrame:
-    """symbol, the flags of SEVERITY, severity, quarantine, dollar_volume (median), last_date."""
-    rows = recent(bars, lookback)
+    """symbol, the flags of SEVERITY, severity, quarantine, dollar_volume (median), last_date. Bars are counted, and dealt as those of ``build_features``."""
+    rows = dealt(recent(bars, lookback), tasks_for(bars), "symbol")
     c, v = F.col("close"), F.col("volume")
     rows = rows.withColumns({"before": r.at(c, -1), "after5": r.at(c, 5)})
     rows = rows.withColumns({"lr": F.ln(F.try_divide(c, F.col("before"))), "jump": F.try_divide(c, F.col("before")), "still": F.coalesce(F.abs(c - F.col("before")) <= 1e-12, F.lit(False))})

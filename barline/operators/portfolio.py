@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barline.operators.features import HORIZONS
+from barline.sources.shared import dealt, tasks_for
 
 # Scenarios, brokers, thresholds.
 CAPITAL = 40_000.0
@@ -89,7 +90,8 @@ def median_liquidity(bars: DataFrame, sessions: int = 63) -> DataFrame:
 def annual_volatility(bars: DataFrame, sessions: int = 252) -> DataFrame:
     top = bars.agg(F.max("sess").alias("top"))
     before = F.max("close").over(Window.partitionBy("symbol").orderBy("sess").rangeBetween(-1, -1))
-    rows = bars.withColumn("lr", F.ln(F.try_divide("close", before))).join(F.broadcast(top), F.col("sess") > F.col("top") - sessions)
+    own = dealt(bars.select("symbol", "sess", "close"), tasks_for(bars), "symbol")  # counted, so bars should be a saved table
+    rows = own.withColumn("lr", F.ln(F.try_divide("close", before))).join(F.broadcast(top), F.col("sess") > F.col("top") - sessions)
     return rows.groupBy("symbol").agg((F.stddev_samp("lr") * F.sqrt(F.lit(252.0))).alias("vol"))
 
 

@@ -5,7 +5,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from barline.operators import ewm, features, portfolio, scoring
+from barline.operators import anomalies, ewm, features, portfolio, scoring
 from barline.plans import catalog
 from barline.sources import bars as sources
 from barline.sources import shared
@@ -87,6 +87,15 @@ def test_lines_and_bars_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
         assert "SortMergeJoin" not in plan_of(made)
 
 
+def test_screening_and_volatility_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    bars = market(spark, tmp_path / "bars")
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    dealt = f", {-(-bars.count() // 100)}), REPARTITION_BY_NUM"
+    found = portfolio.annual_volatility(bars)
+    assert moves(found) and all(dealt in x for x in moves(found))
+    assert any(dealt in x for x in moves(anomalies.detect(bars)))
+
+
 def test_blocks_end_with_their_last_session(spark):
     """The windows over blocks share a sort by session within a block; by block alone, the last row is left to chance."""
     rows = spark.range(100).selectExpr("id % 5 as symbol", "id as sess", "1.0D as close", "2.0D as high", "0.5D as low")
