@@ -87,6 +87,20 @@ def test_lines_and_bars_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
         assert "SortMergeJoin" not in plan_of(made)
 
 
+def test_no_task_holds_all_lines_that_it_reads(spark, monkeypatch):
+    """Dealt over many tasks, lines would be held as they are read, a whole row group at once; they are spread over few tasks first."""
+    lines = sources.table(spark, DATA, "lineitem").count()
+    one = values(sources.supplier_week(spark, DATA))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", lines // 250)
+    tasks = shared.tasks_for(sources.table(spark, DATA, "lineitem"))
+    steps = [x for x in moves(sources.supplier_week(spark, DATA)) if "l_orderkey" in x or "l_suppkey" in x]
+    assert tasks > 200 and len(steps) == 2
+    assert f", {tasks}), REPARTITION_BY_NUM" in steps[0] and "l_orderkey" in steps[1] and ", 200), REPARTITION_BY_NUM" in steps[1]
+    monkeypatch.setattr(shared, "ROWS_A_TASK", lines // 20)
+    monkeypatch.setattr(shared, "unheld", lambda _: 8)
+    assert values(sources.supplier_week(spark, DATA)) == one and any(", 8), REPARTITION_BY_NUM" in x for x in moves(sources.supplier_week(spark, DATA)))
+
+
 def test_screening_and_volatility_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     bars = market(spark, tmp_path / "bars")
     monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
