@@ -5,7 +5,7 @@ from io import StringIO
 
 from pyspark.sql import functions as F
 
-from barline.operators import anomalies, ewm, features, portfolio, scoring
+from barline.operators import anomalies, evidence, ewm, features, portfolio, scoring
 from barline.plans import catalog
 from barline.sources import bars as sources
 from barline.sources import shared
@@ -101,6 +101,31 @@ def test_no_task_holds_all_lines_that_it_reads(spark, monkeypatch):
     assert values(sources.supplier_week(spark, DATA)) == one and any(", 8), REPARTITION_BY_NUM" in x for x in moves(sources.supplier_week(spark, DATA)))
 
 
+def test_evidence_is_dealt_by_the_number_of_scores(spark, monkeypatch):
+    """Ranks of scores and the join with forward returns follow neither the session's partitions nor a broadcast that Spark chooses by the size of files."""
+    k = F.col("id")
+    rows = spark.range(40 * 30).select(F.expr("date_add(date'2020-01-01', int(id / 40))").alias("date"), (k % 40).alias("symbol"), F.lit("G").alias("grp"))
+    scored = rows.withColumn("score_short", F.when(F.col("symbol") % 13 > 0, F.pmod(F.hash("date", "symbol"), F.lit(25)) / 10))
+    forward = rows.union(rows.withColumn("date", F.date_add("date", 1000))).select("date", "symbol", (F.pmod(F.hash("symbol", "date"), F.lit(97)) / 100).alias("fwd_short"))
+
+    def made() -> dict:
+        return {
+            "ic": evidence.information_coefficient(scored, forward, "short", 5),
+            "deciles": evidence.with_decile(scored, forward, "short", 5),
+        }
+
+    one = {name: sorted(df.collect()) for name, df in made().items()}
+    assert all(one.values())
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    tasks = {"ic": -(-scored.where("score_short is not null").count() // 100), "deciles": -(-scored.where("score_short is not null").count() // 100)}
+    for name, df in made().items():
+        assert sorted(df.collect()) == one[name]
+        dealt = [x for x in moves(df) if f", {tasks[name]}), REPARTITION_BY_NUM" in x]
+        assert len(dealt) >= 3 and tasks[name] > 8
+        assert all("date" in x and "symbol" not in x and "grp" not in x for x in moves(df) if x not in dealt)  # by the session's own partitions: the dates
+
+
 def test_screening_and_volatility_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     bars = market(spark, tmp_path / "bars")
     monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
