@@ -130,7 +130,7 @@ def plan_orders(positions: DataFrame, targets: DataFrame, alphas: DataFrame, gro
 
     positions: symbol, cost (held at cost); targets: symbol; alphas: symbol, alpha; groups: symbol, grp. A sale must
     gain SAFETY times the cost of the change, a purchase that of its entry unless nothing is held; adjustments stay
-    inside a band; amounts must bear the commission; reductions are not carried out.
+    inside a band; amounts must bear the commission; reductions are not carried out. Targets and alphas are read several times, so they should be saved tables.
     """
     alpha = F.coalesce("alpha", F.lit(0.0))
     wanted = target_weights(targets.select("symbol").join(alphas, "symbol", "left"))
